@@ -5,16 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LETTERS = re.compile(r"[^\W\d_]+")
-ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,15 +88,51 @@ def chain(parts: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def per_batch(f: Callable[[dict[str, list]], dict[str, object]], schema: pa.Schema, columns: list[str], rows: int = 2000):
-    """A mapInArrow function that hands f at most `rows` rows at a time as lists and takes columns back."""
+@dataclass(frozen=True)
+class Words:
+    """The words of a batch of texts: `tokens` are the distinct ones, `at` the number of every word in
+    order, and text i has those from first[i] to first[i + 1]."""
+
+    tokens: list[str]
+    at: np.ndarray
+    first: np.ndarray
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """For every text the sum of one value a word."""
+        total = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
+        return total[self.first[1:]] - total[self.first[:-1]]
+
+
+def words_of(texts: pa.Array, lower: bool = False) -> Words:
+    """Words are runs of anything but U+0020 and U+0009 to U+000D; `lower` turns A-Z small. Null texts have none."""
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = lists.flatten().dictionary_encode()
+    tokens, at, first = coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
+    if "" in tokens:  # white space at an end of a text
+        keep = at != tokens.index("")
+        at, first = at[keep], np.concatenate([[0], np.cumsum(keep)])[first]
+    return Words(tokens, at, first)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most_bytes` of text, one row at least, so that memory follows no row count."""
+    size = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_numpy(zero_copy_only=False).astype(float)) + 64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most_bytes)))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def mapped(f: Callable[[pa.RecordBatch], list], schema: pa.Schema):
+    """A mapInArrow function from parts of batches with a text column to the schema's columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                out = f({c: part.column(part.schema.get_field_index(c)).to_pylist() for c in columns})
-                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in schema], schema=schema)
+            for part in slices(batch):
+                out = [x if isinstance(x, pa.Array) else pa.array(x) for x in f(part)]
+                yield pa.RecordBatch.from_arrays([x.cast(t.type) for x, t in zip(out, schema, strict=True)], schema=schema)
 
     return run
 

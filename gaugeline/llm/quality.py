@@ -15,6 +15,7 @@ rows get equal scores; without labels the score is 0.5; extra columns of the inp
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import labelled_sample, mix, per_batch, remainder
+from gaugeline.llm.common import Words, labelled_sample, mapped, mix, remainder, slices, words_of
 
 BITS = 18
 SCALE = 8.0
@@ -46,9 +47,10 @@ class Terms(dict):
         return i
 
     def of(self, tokens: list[str]) -> np.ndarray:
+        """Hashes of distinct tokens."""
         if len(self) + len(tokens) > self.most:
             self.clear()
-            if len(tokens) > self.most:  # a text of more tokens than the table has rows
+            if len(tokens) > self.most:
                 self.most = 2 * len(tokens)
                 self.hashes = np.zeros((self.most, 2), np.uint64)
         return self.hashes[np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))]
@@ -66,21 +68,28 @@ def shape(token: str) -> str:
 TERMS = Terms()
 
 
-def terms(text: str) -> tuple[np.ndarray, int]:
-    """Weight numbers of all terms, repeated ones too, and the number of tokens."""
-    tokens = text.split()
-    if not tokens:
-        return np.zeros(0, np.int64), 1
-    t = TERMS.of(tokens)
-    pairs = mix(t[:-1] * np.uint64(0xD6E8FEB86659FD93) + t[1:])
-    return (np.concatenate([t.ravel(), pairs.ravel()]) % np.uint64(2**BITS - 1)).astype(np.int64) + 1, len(tokens)
+def terms(texts: pa.Array) -> tuple[Words, np.ndarray]:
+    """Weight numbers of the four terms of every word: form, shape, and both paired with the next word's.
 
+    The last word of a text has no pairs; theirs are number 0, which is the bias."""
+    words = words_of(texts)
+    t = TERMS.of(words.tokens)[words.at]
+    pairs = mix(t * np.uint64(0xD6E8FEB86659FD93) + np.roll(t, -1, 0))
+    out = (np.concatenate([t, pairs], 1) % np.uint64(2**BITS - 1)).astype(np.int32) + 1
+    last = words.first[1:][words.first[1:] > words.first[:-1]] - 1
+    out[last, 2:] = 0
+    return words, out
 
-def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Weight numbers and values of a text; number 0 is the bias."""
-    at, tokens = terms(text)
-    at, n = np.unique(at, return_counts=True)
-    return np.concatenate([[0], at]), np.concatenate([[1.0], SCALE * n / tokens])
+
+def vectors(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weight numbers and values of every text; number 0 is the bias, with value 1."""
+    words, t = terms(texts)
+    out = []
+    for a, b in itertools.pairwise(words.first.tolist()):
+        at, n = np.unique(t[a:b], return_counts=True)
+        n = SCALE * n[at > 0] / max(b - a, 1)
+        out.append((np.concatenate([[0], at[at > 0]]).astype(np.int32), np.concatenate([[1.0], n]).astype(np.float32)))
+    return out
 
 
 class Ftrl:
@@ -106,12 +115,11 @@ class Ftrl:
 class Model:
     weights: np.ndarray
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        out = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            at, tokens = terms(t or "")
-            out[i] = self.weights[0] + SCALE * self.weights[at].sum() / tokens
-        return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
+    def score(self, texts: pa.Array) -> np.ndarray:
+        words, t = terms(texts)
+        w = np.concatenate([[0.0], self.weights[1:]])
+        dot = words.sums(w[t].sum(1)) * SCALE / np.maximum(np.diff(words.first), 1)
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + dot, -35, 35)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = 16_000, shards: int = 4, epochs: int = 2) -> Model:
@@ -127,11 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 16_000, shards: int = 4
 
     def train(batches):
         held: dict[int, list] = {}
-        for batch in batches:
-            for b in [batch.slice(i, 500).to_pydict() for i in range(0, batch.num_rows, 500)]:
-                for s, y, t in zip(b["shard"], b["label"], b["text"], strict=True):
-                    at, x = vector(t or "")
-                    held.setdefault(s, []).append((at.astype(np.int32), x.astype(np.float32), y))
+        for part in (p for batch in batches for p in slices(batch)):
+            for s, y, (at, x) in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), vectors(part.column(3)), strict=True):
+                held.setdefault(s, []).append((at, x, y))
         for s, docs in held.items():
             model = Ftrl()
             for _ in range(epochs):
@@ -147,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 16_000, shards: int = 4
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
-    f = per_batch(lambda b: b | {"score": model.score(b["text"])}, schema, ["doc_id", "held_out", "text"])
+    f = mapped(lambda b: [b.column(0), b.column(1), model.score(b.column(2))], schema)
     rows = docs.select(F.col("doc_id").cast("long"), (remainder(3) == 1).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(f, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -157,7 +163,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array(model.score(texts) >= 0.5))
+            for part in slices(batch):
+                yield part.filter(pa.array(model.score(part.column(part.schema.get_field_index("text"))) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

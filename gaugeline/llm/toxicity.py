@@ -17,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm import boosting
-from gaugeline.llm.common import LETTERS, labelled_sample, per_batch, remainder
+from gaugeline.llm.common import LETTERS, Words, labelled_sample, mapped, remainder, slices, words_of
 
 #: Insults and second-person words that stand at the start of the lexicon.
 INSULTS = (
@@ -71,11 +72,11 @@ class Tokens(dict):
         return i
 
     def of(self, tokens: list[str]) -> np.ndarray:
-        """Row numbers of the tokens; `counts` holds them all."""
+        """Row numbers of distinct tokens; `counts` holds them all."""
         if len(self) + len(tokens) > self.most:
             self.clear()
             self.hits.clear()
-            if len(tokens) > self.most:  # a text of more tokens than the table has rows
+            if len(tokens) > self.most:
                 self.most = 2 * len(tokens)
                 self.counts = np.zeros((self.most, 14), np.float32)
         at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
@@ -85,59 +86,58 @@ class Tokens(dict):
         return at
 
 
-def spaced_out(tokens: list[str], single: np.ndarray, lexicon: dict[str, float]) -> tuple[int, int]:
-    """Runs of four or more one-letter tokens, and how many of them spell a word of the lexicon."""
-    border = np.flatnonzero(np.diff(np.concatenate([[0], single > 0, [0]])))
-    runs = [(a, b) for a, b in border.reshape(-1, 2) if b - a >= 4]
-    return len(runs), sum("".join(LETTERS.findall("".join(tokens[a:b]).lower())) in lexicon for a, b in runs)
-
-
-def features(text: str, known: Tokens) -> list[float]:
-    tokens = text.split()
-    at = known.of(tokens)
-    c = known.counts[at]
-    t = c.sum(0, dtype=np.float64)
-    n, letters, size = max(t[WORDS], 1.0), max(t[LETTER], 1.0), max(len(text), 1)
-    hits = np.flatnonzero(c[:, HIT]) if t[HIT] else ()
-    names = {w for i in hits for w in known.hits[at[i]]}
-    near = 0
-    if t[YOUS] and t[HIT]:
-        spots = np.concatenate([[-(10**9)], np.flatnonzero(c[:, YOUS]), [10**9]])
-        after = np.searchsorted(spots, hits)
-        near = int((np.minimum(hits - spots[after - 1], spots[after] - hits) <= 5).sum())
-    runs, spelt = spaced_out(tokens, c[:, SINGLE], known.lexicon) if t[SINGLE] >= 4 else (0, 0)
-    return [
-        np.log1p(t[WORDS]),
-        np.log1p(t[HIT]),
-        t[HIT] / n,
-        float(len(names)),
-        max((known.lexicon[w] for w in names), default=0.0),
-        t[WEIGHT],
-        t[WEIGHT] / n,
-        t[WEIGHT] / np.sqrt(n),
-        t[YOUS] / n,
-        np.log1p(near),
-        near / n,
-        t[UPPER] / letters,
-        t[BANG] / size,
-        t[QUERY] / size,
-        t[MARKS] / size,
-        t[RUNS] / n,
-        t[MIX] / n,
-        t[HIDDEN] + spelt,
-        runs / n,
-        t[STRETCHED] / n,
-    ]
+def spaced_out(words: Words, single: np.ndarray, lexicon: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """For every text, its runs of four or more one-letter tokens and how many of them spell a word of the lexicon."""
+    runs, spelt = np.zeros(len(words.first) - 1), np.zeros(len(words.first) - 1)
+    full = np.flatnonzero(single[:-3] * single[1:-2] * single[2:-1] * single[3:]) if len(single) > 3 else ()
+    end = -1
+    for i in map(int, full):
+        text = int(np.searchsorted(words.first, i, "right")) - 1
+        if i < end or i + 4 > words.first[text + 1]:
+            continue
+        end = i + 4
+        while end < words.first[text + 1] and single[end]:
+            end += 1
+        runs[text] += 1
+        spelt[text] += "".join(LETTERS.findall("".join(words.tokens[k] for k in words.at[i:end]).lower())) in lexicon
+    return runs, spelt
 
 
 #: The last model's tokens, in each Python worker.
 KNOWN: list[Tokens] = []
 
 
-def matrix(texts: list[str | None], lexicon: dict[str, float]) -> np.ndarray:
+def features(texts: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
+    """A row of features for every text."""
     if not KNOWN or KNOWN[0].lexicon != lexicon:
         KNOWN[:] = [Tokens(lexicon)]
-    return np.array([features(t or "", KNOWN[0]) for t in texts], float).reshape(-1, N_FEATURES)
+    known, words = KNOWN[0], words_of(texts)
+    row = known.of(words.tokens)
+    column = lambda k: known.counts[row, k][words.at]
+    t = np.stack([words.sums(column(k)) for k in range(14)], 1)
+    n, letters = np.maximum(t[:, WORDS], 1), np.maximum(t[:, LETTER], 1)
+    size = np.maximum(np.nan_to_num(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(float)), 1)
+    names, top, near = np.zeros(len(t)), np.zeros(len(t)), np.zeros(len(t))
+    hit, you = column(HIT), column(YOUS)
+    for i in np.flatnonzero(t[:, HIT]):
+        a, b = words.first[i], words.first[i + 1]
+        hits = np.flatnonzero(hit[a:b])
+        found = {w for k in set(words.at[a + hits].tolist()) for w in known.hits[row[k]]}
+        names[i], top[i] = len(found), max(lexicon[w] for w in found)
+        if t[i, YOUS]:
+            spots = np.concatenate([[-(10**9)], np.flatnonzero(you[a:b]), [10**9]])
+            after = np.searchsorted(spots, hits)
+            near[i] = (np.minimum(hits - spots[after - 1], spots[after] - hits) <= 5).sum()
+    runs, spelt = spaced_out(words, column(SINGLE), lexicon)
+    return np.stack(
+        [
+            np.log1p(t[:, WORDS]), np.log1p(t[:, HIT]), t[:, HIT] / n, names, top,
+            t[:, WEIGHT], t[:, WEIGHT] / n, t[:, WEIGHT] / np.sqrt(n), t[:, YOUS] / n, np.log1p(near), near / n,
+            t[:, UPPER] / letters, t[:, BANG] / size, t[:, QUERY] / size, t[:, MARKS] / size, t[:, RUNS] / n,
+            t[:, MIX] / n, t[:, HIDDEN] + spelt, runs / n, t[:, STRETCHED] / n,
+        ],
+        1,
+    )
 
 
 @dataclass(frozen=True)
@@ -147,8 +147,8 @@ class Model:
     centres: np.ndarray
     values: np.ndarray
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        return np.interp(self.trees.margin(matrix(texts, self.lexicon)), self.centres, self.values)
+    def score(self, texts: pa.Array) -> np.ndarray:
+        return np.interp(self.trees.margin(features(texts, self.lexicon)), self.centres, self.values)
 
 
 def learn_lexicon(sample: DataFrame, most: int = 200, support: int = 5) -> dict[str, float]:
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 12_000) -> Model:
     sample = labelled_sample(docs, labels, "toxic", remainder(5) != 0, bound)
     lexicon = learn_lexicon(sample)
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
-    f = per_batch(lambda b: b | {"x": list(matrix(b["text"], lexicon))}, schema, ["doc_id", "label", "text"])
+    f = mapped(lambda b: [b.column(0), b.column(1), pa.array(list(features(b.column(2), lexicon)), pa.list_(pa.float64()))], schema)
     rows = (
         sample.select(F.col("doc_id").cast("long"), "label", "text")
         .mapInArrow(f, "doc_id long, label int, x array<double>")
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 12_000) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
-    f = per_batch(lambda b: b | {"score": model.score(b["text"])}, schema, ["doc_id", "held_out", "text"])
+    f = mapped(lambda b: [b.column(0), b.column(1), model.score(b.column(2))], schema)
     rows = docs.select(F.col("doc_id").cast("long"), (remainder(5) == 0).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(f, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -205,7 +205,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array(model.score(texts) < 0.5))
+            for part in slices(batch):
+                yield part.filter(pa.array(model.score(part.column(part.schema.get_field_index("text"))) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
