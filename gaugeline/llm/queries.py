@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeline.llm import near_dedup, packing, quality, toxicity
+from gaugeline.llm import near_dedup, packing, pii, quality, toxicity
 from gaugeline.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(rows)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op5_near_dedup, op8_toxicity, op9_quality)}
+    return {f.__name__: f for f in (op2_packing, op3_pii, op5_near_dedup, op8_toxicity, op9_quality)}
 
 
 #: Full shingle sets, pairs that share a shingle, and the closure of the links; for small tables only.
