@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from gaugeline.llm import near_dedup, packing, pii, quality, toxicity
 from gaugeline.llm.common import table
 
@@ -35,7 +36,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_pii, op5_near_dedup, op8_toxicity, op9_quality)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_packing, op3_pii, op5_near_dedup, op8_toxicity, op9_quality)}
 
 
 #: Full shingle sets, pairs that share a shingle, and the closure of the links; for small tables only.
