@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gaugeline.llm import near_dedup, packing, pii, quality, toxicity
+from gaugeline.llm import near_dedup, packing, pii, quality, simhash, toxicity, url_trees
 from gaugeline.llm.common import table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trees.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(rows)
@@ -25,6 +29,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -36,7 +44,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_packing, op3_pii, op5_near_dedup, op8_toxicity, op9_quality)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_url_filters, op2_packing, op3_pii, op5_near_dedup, op6_fingerprints, op8_toxicity, op9_quality)}
 
 
 #: Full shingle sets, pairs that share a shingle, and the closure of the links; for small tables only.
