@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gaugeline.llm import near_dedup, packing, pii, quality, simhash, toxicity, url_trees
+from gaugeline.llm import crf_langid, kmeans_tree, near_dedup, packing, pii, quality, simhash, toxicity, url_trees
 from gaugeline.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return crf_langid.predict(docs, crf_langid.fit(docs))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -44,7 +53,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_url_filters, op2_packing, op3_pii, op5_near_dedup, op6_fingerprints, op8_toxicity, op9_quality)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_url_filters, op2_packing, op3_pii, op4_language, op5_near_dedup, op6_fingerprints, op7_neighbours, op8_toxicity, op9_quality)}
 
 
 #: Full shingle sets, pairs that share a shingle, and the closure of the links; for small tables only.
