@@ -1 +1,57 @@
+"""Models composed into one logical plan, and the incremental refresh."""
 
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gaugeline.config import ScoringConfig, ZoneConfig
+from gaugeline.operators import current, scoring, staging
+
+
+def panel_of(weather: DataFrame, air: DataFrame, river: DataFrame, observed: DataFrame) -> DataFrame:
+    """The panel from raw feeds."""
+    return staging.signal_panel(
+        staging.daily_weather(staging.latest_weather(weather)), staging.daily_air(staging.latest_air(air)), staging.latest_river(river), staging.latest_observed(observed)
+    )
+
+
+def build(
+    weather: DataFrame, air: DataFrame, river: DataFrame, observed: DataFrame, normals: DataFrame, as_of: date | None = None, scoring_cfg: ScoringConfig = ScoringConfig(), zones: ZoneConfig = ZoneConfig()
+) -> dict[str, DataFrame]:
+    """Every model by name, all lazy."""
+    models = {
+        "latest_weather": staging.latest_weather(weather),
+        "latest_air": staging.latest_air(air),
+        "latest_river": staging.latest_river(river),
+        "latest_observed": staging.latest_observed(observed),
+    }
+    models["daily_weather"] = staging.daily_weather(models["latest_weather"])
+    models["daily_air"] = staging.daily_air(models["latest_air"])
+    models["signal_panel"] = staging.signal_panel(models["daily_weather"], models["daily_air"], models["latest_river"], models["latest_observed"])
+    models["risk_history"] = scoring.risk_history(models["signal_panel"], normals, scoring_cfg)
+    models["risk_current"] = current.risk_current(models["risk_history"], as_of)
+    models["zone_summary"] = current.zone_summary(models["risk_current"], zones)
+    return models
+
+
+def refresh_history(existing: DataFrame, panel: DataFrame, changed: DataFrame, normals: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
+    """The history after some (city_id, date) of the panel changed: only those sites' rows are scored again,
+    from the row before the first changed date, whose velocity looks ahead, to the last changed date.
+
+    A date that left the panel must be among the changed ones. The result equals a full rebuild."""
+    span = changed.groupBy("city_id").agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
+    dates = panel.select("city_id", "date").join(span, "city_id")
+    reach = dates.groupBy("city_id", "_from", "_to").agg(
+        F.coalesce(F.max(F.when(F.col("date") < F.col("_from"), F.col("date"))), F.col("_from")).alias("_first"),
+        F.coalesce(F.min(F.when(F.col("date") > F.col("_to"), F.col("date"))), F.col("_to")).alias("_next"),
+    )
+    part = panel.join(reach.select("city_id", "_first", "_next"), "city_id").where(F.col("date").between(F.col("_first"), F.col("_next"))).select(*panel.columns)
+    fresh = scoring.risk_history(part, normals, cfg).join(reach.select("city_id", "_first", "_to"), "city_id").where(F.col("date").between(F.col("_first"), F.col("_to")))
+    gone = reach.select(F.col("city_id").alias("_city"), "_first", "_to").unionByName(
+        span.join(reach, "city_id", "left_anti").select(F.col("city_id").alias("_city"), F.col("_from").alias("_first"), "_to")
+    )
+    kept = existing.join(gone, (F.col("city_id") == F.col("_city")) & F.col("date").between(F.col("_first"), F.col("_to")), "left_anti")
+    return kept.unionByName(fresh.select(*existing.columns))
