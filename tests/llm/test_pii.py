@@ -65,3 +65,11 @@ def test_sanitised_texts_keep_columns_and_lose_the_data(docs):
 def test_empty_table(docs):
     assert pii.digest(pii.find(docs([]))).count() == 0
     assert pii.sanitised(docs([])).count() == 0
+
+
+def test_term_counts_are_distinct_texts(spark, docs):
+    rows = [(i, f"alpha beta {i % 5}") for i in range(20)] + [(20, "alpha"), (21, "alpha, Gamma"), (22, None)]
+    d = docs(rows)
+    terms = spark.createDataFrame([("alpha",), ("beta",), ("gamma",), ("absent",)], "term string")
+    got = {r["term"]: r["n_term"] for r in pii.term_counts(d, pii.base_pass(d), terms).collect()}
+    assert got == {"alpha": 7, "beta": 5, "gamma": 1}
