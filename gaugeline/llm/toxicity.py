@@ -31,7 +31,7 @@ INSULTS = (
 ).split()
 YOU = frozenset("you your yours yourself u ur du dich dir dein deine tu te toi ton ta vous votre tú ti tus usted".split())
 LEET = str.maketrans("013457@$!", "oieastasi")
-MIXED = re.compile(r"[^\W\d_]+[0-9@$!*]+[^\W\d_]+")
+MIXED = re.compile(r"[0-9@$]+[^\W\d_]+(?:[0-9@$!*]+[^\W\d_]+)*|[^\W\d_]+(?:[0-9@$!*]+[^\W\d_]+)+")
 MARK = re.compile(r"[^\w\s]")
 RUN = re.compile(r"[!?*#$%&@]{2,}")
 STRETCH = re.compile(r"([^\W\d_])\1\1")
@@ -52,7 +52,7 @@ class Tokens(dict):
     def __missing__(self, token: str) -> int:
         i = self[token] = len(self)
         low, lexicon = token.lower(), self.lexicon
-        plain = token if token.isalpha() else token[:-1] if token[-1] in ".,;:" and token[:-1].isalpha() else ""
+        plain = token if token.isalpha() else token[:-1] if token[-1:] in ".,;:" and token[:-1].isalpha() else ""
         if plain and plain == low[: len(plain)].capitalize() or plain == low[: len(plain)] != "":
             word, n = low[: len(plain)], len(plain)
             if hit := word in lexicon:

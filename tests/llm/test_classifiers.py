@@ -4,7 +4,7 @@ import pytest
 from gaugeline.llm import quality, toxicity
 from gaugeline.llm.queries import op8_toxicity, op9_quality
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"  # enough held-out rows of the rare label
 
 
 def auc(scores, labels):
