@@ -54,6 +54,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+_in_use: dict[str, Callable[[], object]] = {}
+
+
+def using(name: str, clear: Callable[[], object]) -> None:
+    """Says whose words a Python worker keeps. A worker serves one stage after another; when another
+    operator's turn comes, what was kept for the one before is emptied."""
+    if name not in _in_use:
+        for empty in _in_use.values():
+            empty()
+        _in_use.clear()
+        _in_use[name] = clear
+
+
 class WordHashes(dict):
     """Word -> 64-bit xxh3, kept up to `most` words; the same in every process."""
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import HASHES, Words, chain, groups, hold, mapped, mix, words_of
+from gaugeline.llm.common import HASHES, Words, chain, groups, hold, mapped, mix, using, words_of
 from gaugeline.llm.components import components
 
 SHINGLE = 5
@@ -41,6 +41,7 @@ ADD = _rng.integers(0, 2**32, HASH_COUNT, dtype=np.uint64).astype(np.uint32)
 
 def shingle_sets(texts: pa.Array) -> tuple[Words, list[np.ndarray]]:
     """For every text the 64-bit hashes of its runs of five words, a set in order of size."""
+    using("hashes", HASHES.clear)
     words = words_of(texts, lower=True)
     h = HASHES.of(words.tokens)[words.at]
     whole = chain([h[i : len(h) - SHINGLE + 1 + i] for i in range(SHINGLE)]) if len(h) >= SHINGLE else h

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import hold, mapped, words_of
+from gaugeline.llm.common import hold, mapped, using, words_of
 
 SALTS = 64
 #: A word of Latin letters, then at most one run of marks: each is one word to the tokenizer.
@@ -99,6 +99,7 @@ ENCODERS: list[Encoder] = []
 
 
 def encoder(path: str) -> Encoder:
+    using("packing", ENCODERS.clear)
     if not ENCODERS or ENCODERS[0].path != path:
         ENCODERS[:] = [Encoder(path)]
     return ENCODERS[0]

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import mapped
+from gaugeline.llm.common import mapped, using
 
 SPACE = "▁"
 RUN = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -239,6 +239,7 @@ CODECS: list[Codec] = []
 
 
 def codec(path: str) -> Codec:
+    using("pieces", CODECS.clear)
     if not CODECS or CODECS[0].path != path:
         CODECS[:] = [Codec(path)]
     return CODECS[0]

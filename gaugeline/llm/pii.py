@@ -10,7 +10,7 @@ of at least `generalise` are replaced by a general word; a pair must stand in `s
 
 Texts are read twice: once for the patterns and the terms around them, once to count the texts of terms.
 The second reading skips words that cannot be wanted with a bitmap of fixed size, and counts the rest
-exactly; the bitmap is the only thing sent to tasks.
+exactly; two such bitmaps are all that is sent to tasks.
 
 Defined results: a null text counts as empty; rows that repeat a document get equal results; an empty
 table gives no rows; extra columns are ignored, and sanitised() hands them on.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import HASHES, hold, mapped, slices, words_of
+from gaugeline.llm.common import HASHES, hold, mapped, slices, using, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns. Email is matched from its @; the local part is the run before it.
@@ -117,39 +117,59 @@ def slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_term): in how many distinct texts each term occurs, over the whole corpus."""
+def bitmap(values: DataFrame) -> np.ndarray:
+    """Which slots of a fixed number of them the values (one text column) fall in; 2^BITS bits at any scale."""
 
     def slots(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(slot(HASHES.of(b.column(0).to_pylist())))], names=["slot"])
 
-    at = terms.select("term").mapInArrow(slots, "slot long").select((F.col("slot") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 AS int))").alias("bit"))
-    bits = np.zeros(2**BITS // 64, np.int64)  # at most so many rows, whatever the corpus
+    at = values.mapInArrow(slots, "slot long").select((F.col("slot") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 AS int))").alias("bit"))
+    bits = np.zeros(2**BITS // 64, np.int64)
     for r in at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         bits[r["word"]] = r["bits"]
-    wanted = np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+
+
+def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n_term): in how many distinct texts each term occurs, over the whole corpus.
+
+    A task counts the rows of each wanted term, which gives at most a row a term and task. Texts that
+    have copies also leave the task, once each, with their terms; what the copies add is taken off."""
+    copies = found.groupBy("text_hash").agg((F.count(F.lit(1)) - 1).alias("more")).where("more > 0")
+    wanted, copied = bitmap(terms.select("term")), bitmap(copies.select("text_hash"))
+    schema = pa.schema([("term", pa.string()), ("n", pa.int64()), ("text_hash", pa.string()), ("terms", pa.list_(pa.string()))])
 
     def count(batches):
-        schema, seen = pa.schema([("term", pa.string()), ("text_hash", pa.string())]), Counter()
+        using("hashes", HASHES.clear)
+        rows: Counter[str] = Counter()
+        seen: dict[str, list[str]] = {}
+
+        def out():
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64()), pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), schema[3].type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.string()), pa.nulls(len(seen), pa.int64()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), schema[3].type)], schema=schema)
+            rows.clear()
+            seen.clear()
+
         for part in (p for b in batches for p in slices(b)):
-            words = words_of(part.column(0))
-            pure = [[w for w in TERM.findall(t.lower())] for t in words.tokens]
-            hit = [[w for w in ws if wanted[HASHES[w] >> (64 - BITS)]] for ws in pure]
+            words, texts = words_of(part.column(0)), part.column(0)
+            hit = [[w for w in TERM.findall(t.lower()) if wanted[HASHES[w] >> (64 - BITS)]] for t in words.tokens]
             full = np.fromiter(map(bool, hit), bool, len(hit))[words.at]
-            rows = set()
-            texts = part.column(0)
             for i in np.flatnonzero(words.sums(full)):
                 a, b = words.first[i], words.first[i + 1]
-                found = {w for k in set(words.at[a:b][full[a:b]].tolist()) for w in hit[k]}
+                here = {w for k in set(words.at[a:b][full[a:b]].tolist()) for w in hit[k]}
+                rows.update(here)
                 h = xxhash.xxh3_128_hexdigest(texts[int(i)].as_py())
-                rows.update((w, h) for w in found)
-            if rows:
-                t, h = zip(*sorted(rows), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(h)], schema=schema)
+                if copied[xxhash.xxh3_64_intdigest(h) >> (64 - BITS)]:
+                    seen[h] = sorted(here)
+            if len(rows) > 300_000 or len(seen) > 20_000:
+                yield from out()
+        yield from out()
 
-    hits = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term string, text_hash string")
-    return hits.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    counted = hold(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term string, n long, text_hash string, terms array<string>"))
+    twice = counted.where("text_hash is not null").dropDuplicates(["text_hash"]).join(copies, "text_hash").select(F.explode("terms").alias("term"), (-F.col("more")).alias("n"))
+    all_rows = counted.where("term is not null").select("term", "n").union(twice)
+    return all_rows.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms, "term", "left_semi")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.6, remove: float = 0.9, support: int = 2) -> DataFrame:
@@ -159,7 +179,7 @@ def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.6, remov
     entities = pairs.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     texts = found.select("text_hash").distinct().count()
     terms = both.select("term").distinct()
-    n = both.join(entities, "entity").join(term_counts(docs, terms), "term")
+    n = both.join(entities, "entity").join(term_counts(docs, found, terms), "term")
     pmi = F.log2(F.lit(float(texts)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     ic = F.log2(F.lit(float(texts)) / F.col("n_entity"))
     share = F.when(ic > 0, pmi / ic).otherwise(0.0)

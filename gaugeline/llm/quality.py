@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import Words, labelled_sample, mapped, mix, remainder, slices, words_of
+from gaugeline.llm.common import Words, labelled_sample, mapped, mix, remainder, slices, using, words_of
 
 BITS = 18
 SCALE = 8.0
@@ -72,6 +72,7 @@ def terms(texts: pa.Array) -> tuple[Words, np.ndarray]:
     """Weight numbers of the four terms of every word: form, shape, and both paired with the next word's.
 
     The last word of a text has no pairs; theirs are number 0, which is the bias."""
+    using("quality", TERMS.clear)
     words = words_of(texts)
     t = TERMS.of(words.tokens)[words.at]
     pairs = mix(t * np.uint64(0xD6E8FEB86659FD93) + np.roll(t, -1, 0))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm import boosting
-from gaugeline.llm.common import LETTERS, Words, labelled_sample, mapped, remainder, slices, words_of
+from gaugeline.llm.common import LETTERS, Words, labelled_sample, mapped, remainder, slices, using, words_of
 
 #: Insults and second-person words that stand at the start of the lexicon.
 INSULTS = (
@@ -109,6 +109,7 @@ KNOWN: list[Tokens] = []
 
 def features(texts: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
     """A row of features for every text."""
+    using("toxicity", KNOWN.clear)
     if not KNOWN or KNOWN[0].lexicon != lexicon:
         KNOWN[:] = [Tokens(lexicon)]
     known, words = KNOWN[0], words_of(texts)
