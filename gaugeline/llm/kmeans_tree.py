@@ -141,11 +141,11 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
-def search(rows: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, numbers: int = 1_280_000, block: int = 1024) -> DataFrame:
+def search(rows: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, numbers: int = 1_280_000, leaves: int = 96, block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose vec_id is divisible by `every`; see the module's text.
 
-    The tree and the number of leaves are fitted on at most `numbers` vector components, of the rows
-    lowest in a hash order of their ids."""
+    The tree, of about `leaves` leaves and more (to be raised with the table), and the number of leaves to
+    visit are fitted on at most `numbers` vector components, of the rows lowest in a hash order of their ids."""
     spark = rows.sparkSession
     rows = hold(usable(rows))
     first = rows.first()
@@ -153,7 +153,7 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, n
         return spark.createDataFrame([], SCHEMA)
     bound = max(64, numbers // max(1, len(first["v"])))
     sample = unit(np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).select("v").collect()]))
-    tree = grow(sample)
+    tree = grow(sample, max(32, len(sample) // leaves))
     visits = calibrate(tree, sample, k, recall) if len(sample) > 1 else tree.leaves
 
     def file(batches):
@@ -181,8 +181,18 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, n
     )
     met = candidates.union(queries).repartition("leaf", "cell").sortWithinPartitions("leaf", "cell", "side", "part", "id")
 
+    def kept(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k + 1 best of every query among what a task has found so far."""
+        node, vec, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((vec, -score, node))
+        node, vec, score = node[order], vec[order], score[order]
+        first = np.concatenate([[True], node[1:] != node[:-1]])
+        nth = np.arange(len(node)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        return node[nth <= k], vec[nth <= k], score[nth <= k]
+
     def best(batches):
-        here, ids, x = None, None, None
+        here, ids, x, found, rows = None, None, None, [], 0
+        emit = lambda f: pa.RecordBatch.from_arrays([pa.array(c) for c in kept(f)], names=["node", "vec_id", "score"])
         for (leaf, cell, side, _), t in groups(batches, ["leaf", "cell", "side", "part"]):
             v, own = matrix(t.column("v")), np.array(t.column("id"))
             if side == 0:
@@ -196,8 +206,16 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, n
             score = cosines(v[q], x[top.ravel()]).reshape(top.shape)
             order = np.lexsort((ids[top], -score), axis=1)[:, : k + 1]
             take = np.take_along_axis
-            n = order.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(ids[take(top, order, 1)].ravel()), pa.array(take(score, order, 1).ravel())], names=["node", "vec_id", "score"])
+            found.append((np.repeat(own, order.shape[1]), ids[take(top, order, 1)].ravel(), take(score, order, 1).ravel()))
+            rows += order.size
+            if rows > 200_000:
+                found = [kept(found)]
+                rows = len(found[0][0])
+                if rows > 150_000:  # many queries in one task: hand on what there is
+                    yield emit(found)
+                    found, rows = [], 0
+        if found:
+            yield emit(found)
 
     found = met.mapInArrow(best, "node long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "vec_id"))
