@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import HASHES, groups, hold, mix, slices, words_of
+from gaugeline.llm.common import HASHES, groups, hold, mix, slices, using, words_of
 from gaugeline.llm.components import components
 from gaugeline.llm.near_dedup import Joined, dealt, edges, pairs_of
 
@@ -32,6 +32,7 @@ BIT_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
     """One row of 32 bytes for every text."""
+    using("hashes", HASHES.clear)
     words = words_of(texts, lower=True)
     h = HASHES.of(words.tokens)[words.at]
     pairs = mix(h * np.uint64(0xD6E8FEB86659FD93) + np.roll(h, -1))
@@ -115,9 +116,10 @@ def classes(rows: DataFrame, radius: int = 7, block: int = 512) -> DataFrame:
     rows have doc_id and fingerprint; those without an id name no class."""
     reps = hold(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node is not null"))
     step = SIZE // 4 // (radius + 1)  # hex digits a block
-    keyed = reps.select("node", "fingerprint", F.posexplode(F.array(*(F.substring("fingerprint", 1 + k * step, step) for k in range(radius + 1)))).alias("table", "bits"))
-    full = keyed.groupBy("table", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("bucket", F.xxhash64("table", "bits"))
-    found = dealt(keyed.join(full, ["table", "bits"]), "bucket", "n", "node", block).select("bucket", "lo", "hi", "part", "node", "fingerprint")
+    blocks = F.array(*(F.xxhash64(F.lit(k), F.substring("fingerprint", 1 + k * step, step)) for k in range(radius + 1)))
+    keyed = reps.select("node", F.explode(blocks).alias("bucket"))  # two numbers a row; fingerprints follow for full buckets alone
+    full = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = dealt(keyed.join(full, "bucket"), "bucket", "n", "node", block).join(reps, "node").select("bucket", "lo", "hi", "part", "node", "fingerprint")
     found = found.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
 
     def run(batches):
