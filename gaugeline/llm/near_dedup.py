@@ -1,8 +1,9 @@
 """Near-duplicates by MinHash bands, sequential Bayesian pruning and exact verification.
 
 1. Rows with the same words are one node, named by their least doc_id, so copies are never paired.
-2. A node's MinHash values are cut into bands; nodes that agree on a band share a bucket. Buckets with
-   the same members are looked at once.
+2. A node's MinHash values are cut into bands; nodes that agree on a band share a bucket. The similarity
+   sets how many bands of how many values there are, so that a pair at it misses all bands with
+   probability BAND_MISS at most. Buckets with the same members are looked at once.
 3. Inside a bucket, signatures are compared a batch at a time; a pair is pruned as soon as the
    posterior probability of reaching the similarity falls under `miss`. A bucket of more than `block`
    nodes is dealt out as pairs of blocks, so no task holds more than two blocks. Only links of
@@ -19,6 +20,7 @@ rows without a doc_id take no part and have a null component_id (kept); extra co
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,11 +34,29 @@ from gaugeline.llm.common import HASHES, Words, chain, groups, hold, mapped, mix
 from gaugeline.llm.components import components
 
 SHINGLE = 5
-ROWS, BANDS, BATCH = 6, 28, 42
-HASH_COUNT = ROWS * BANDS
+BATCH, BAND_MISS, FEW, MOST = 42, 2e-6, 176, 2048
 _rng = np.random.default_rng(20)
-MULTIPLY = _rng.integers(1, 2**32, HASH_COUNT, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-ADD = _rng.integers(0, 2**32, HASH_COUNT, dtype=np.uint64).astype(np.uint32)
+MULTIPLY = _rng.integers(1, 2**32, MOST, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+ADD = _rng.integers(0, 2**32, MOST, dtype=np.uint64).astype(np.uint32)
+
+
+@cache
+def bands_for(percent: int) -> tuple[int, int]:
+    """(rows, bands): the most values a band with which FEW values in all keep a pair at the similarity
+    from missing every band with a probability over BAND_MISS; one value a band where FEW do not."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is a whole number from 1 to 100")
+    best = None
+    for rows in range(1, 17):
+        at_once = (percent / 100) ** rows
+        bands = 1 if at_once == 1 else math.ceil(math.log(BAND_MISS) / math.log1p(-at_once))
+        if best is None or rows * bands <= FEW:
+            best = rows, bands
+    return best
+
+
+ROWS, BANDS = bands_for(85)
+HASH_COUNT = ROWS * BANDS
 
 
 def shingle_sets(texts: pa.Array) -> tuple[Words, list[np.ndarray]]:
@@ -54,12 +74,12 @@ def shingle_sets(texts: pa.Array) -> tuple[Words, list[np.ndarray]]:
     return words, out
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """MinHash values of a set of hashes."""
-    x, least = (mix(s) >> np.uint64(32)).astype(np.uint32), np.full(HASH_COUNT, 2**32 - 1, np.uint32)
+def minima(s: np.ndarray, count: int = HASH_COUNT) -> np.ndarray:
+    """The first `count` MinHash values of a set of hashes."""
+    x, least = (mix(s) >> np.uint64(32)).astype(np.uint32), np.full(count, 2**32 - 1, np.uint32)
     for at in range(0, len(x), 2048):
         part = x[at : at + 2048]
-        np.minimum(least, (MULTIPLY[:, None] * (part ^ ADD[:, None])).min(1), out=least)
+        np.minimum(least, (MULTIPLY[:count, None] * (part ^ ADD[:count, None])).min(1), out=least)
     return least
 
 
@@ -68,20 +88,20 @@ def signature(least: np.ndarray) -> np.ndarray:
     return (mix(least.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
-    return chain([np.arange(BANDS, dtype=np.uint64), *rows.T]).view(np.int64)
+def band_keys(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    values = least.reshape(-1, rows).astype(np.uint64)
+    return chain([np.arange(len(values), dtype=np.uint64), *values.T]).view(np.int64)
 
 
 @cache
-def least_matches(similarity: float, miss: float) -> list[tuple[int, int]]:
+def least_matches(similarity: float, miss: float, count: int = HASH_COUNT) -> list[tuple[int, int]]:
     """(hashes compared, least matches to go on): below it, P(J >= similarity | matches) < miss.
 
     The prior of J is uniform; one-byte hashes also match by chance with probability 1/256."""
     j = (np.arange(4000) + 0.5) / 4000
     p = j + (1 - j) / 256
     out = []
-    for n in range(BATCH, HASH_COUNT + 1, BATCH):
+    for n in sorted({*range(BATCH, count, BATCH), count}):
         m = np.arange(n + 1)[:, None]
         log = m * np.log(p) + (n - m) * np.log1p(-p)
         w = np.exp(log - log.max(1, keepdims=True))
@@ -93,7 +113,7 @@ def least_matches(similarity: float, miss: float) -> list[tuple[int, int]]:
 def survivors(signs: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs left[k], right[k] whose posterior stays above `miss` in every batch, and their matches."""
     same, done = np.zeros(len(left), np.int64), 0
-    for n, least in least_matches(similarity, miss):
+    for n, least in least_matches(similarity, miss, signs.shape[1]):
         same += (signs[left, done:n] == signs[right, done:n]).sum(1)
         keep = same >= least
         left, right, same, done = left[keep], right[keep], same[keep], n
@@ -146,8 +166,9 @@ def edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=EDGE)
 
 
-def first_pass(docs: DataFrame) -> DataFrame:
+def first_pass(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, words_hash, n_shingles, sign, bands) for every row; the last three are null or 0 without words."""
+    per_band, bands = bands_for(percent)
     schema = pa.schema([("doc_id", pa.int64()), ("words_hash", pa.string()), ("n_shingles", pa.int64()), ("sign", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(part: pa.RecordBatch) -> list:
@@ -158,8 +179,8 @@ def first_pass(docs: DataFrame) -> DataFrame:
             if not len(s):
                 out.append((None, 0, None, None))
                 continue
-            least = minima(s)
-            out.append((xxhash.xxh3_128_hexdigest(h[a:b]), len(s), signature(least).tobytes(), band_keys(least)))
+            least = minima(s, per_band * bands)
+            out.append((xxhash.xxh3_128_hexdigest(h[a:b]), len(s), signature(least).tobytes(), band_keys(least, per_band)))
         return [part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True))]
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(mapped(run, schema), "doc_id long, words_hash string, n_shingles long, sign binary, bands array<long>")
@@ -183,7 +204,7 @@ def candidate_links(reps: DataFrame, similarity: float, miss: float, block: int)
         out = []
         for _, t in groups(batches, ["bucket", "lo", "hi"]):
             node = np.array(t.column("node"))
-            signs = np.frombuffer(b"".join(t.column("sign").to_pylist()), np.uint8).reshape(-1, HASH_COUNT)
+            signs = np.frombuffer(b"".join(t.column("sign").to_pylist()), np.uint8).reshape(len(node), -1)
             joined, touched = Joined(len(node)), set()
             for i, j in pairs_of(np.array(t.column("part"))):
                 for a, b in zip(*(x.tolist() for x in survivors(signs, i, j, similarity, miss)[:2]), strict=True):
@@ -201,12 +222,13 @@ def candidate_links(reps: DataFrame, similarity: float, miss: float, block: int)
 def exact_links(docs: DataFrame, groups_of: DataFrame, percent: int, miss: float, block: int) -> DataFrame:
     """Links (u, v) of nodes (v, root) that hold on their full sets, enough of them to join all that do."""
     sized = groups_of.join(groups_of.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").select(F.col("v").alias("node"), "root", "n")
+    count = math.prod(bands_for(percent))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(sized.hint("shuffle_hash"), "node")
     schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("items", pa.binary()), ("sign", pa.binary())])
 
     def sets(part: pa.RecordBatch) -> list:
         found = shingle_sets(part.column(3))[1]
-        return [*part.columns[:3], pa.array([s.tobytes() for s in found], pa.binary()), pa.array([signature(minima(s)).tobytes() for s in found], pa.binary())]
+        return [*part.columns[:3], pa.array([s.tobytes() for s in found], pa.binary()), pa.array([signature(minima(s, count)).tobytes() for s in found], pa.binary())]
 
     rows = texts.select("node", "root", "n", F.col("text").cast("string").alias("text")).mapInArrow(mapped(sets, schema), "node long, root long, n long, items binary, sign binary")
     rows = dealt(rows.where(F.octet_length("items") > 0), "root", "n", "node", block).repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
@@ -216,7 +238,7 @@ def exact_links(docs: DataFrame, groups_of: DataFrame, percent: int, miss: float
         for _, t in groups(batches, ["root", "lo", "hi"]):
             node = np.array(t.column("node"))
             items = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
-            signs = np.frombuffer(b"".join(t.column("sign").to_pylist()), np.uint8).reshape(-1, HASH_COUNT)
+            signs = np.frombuffer(b"".join(t.column("sign").to_pylist()), np.uint8).reshape(len(node), -1)
             size, joined = np.array([len(x) for x in items]), Joined(len(node))
             for i, j in pairs_of(np.array(t.column("part"))):
                 near = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
@@ -241,7 +263,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, buck
     """doc_id, n_shingles, component_id, kept for every row: see the module's text.
 
     `percent` is the least similarity in hundredths, `miss` the posterior probability at which a pair is pruned."""
-    rows = hold(first_pass(docs))
+    rows = hold(first_pass(docs, percent))
     reps = hold(
         rows.where("n_shingles > 0 and doc_id is not null")
         .groupBy("words_hash")

@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from gaugeline.llm import components, near_dedup
 
 
@@ -81,3 +82,21 @@ def test_pruning_keeps_what_reaches_the_similarity():
         signs = np.stack([near_dedup.signature(near_dedup.minima(s)) for s in (a, b)])
         lost += not len(near_dedup.survivors(signs, np.array([0]), np.array([1]), 0.85, 1e-6)[0])
     assert lost == 0
+
+
+def test_bands_follow_the_similarity():
+    assert near_dedup.bands_for(85) == (6, 28)
+    for percent in (50, 70, 80, 85, 90, 95, 100):
+        rows, bands = near_dedup.bands_for(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= near_dedup.BAND_MISS and rows * bands <= near_dedup.FEW
+
+
+def test_the_stage_links_from_four_fifths_on(spark, docs):
+    """Sets of 96 and 96 runs with 86 in common: similarity 86 / 106 = 0.811; and 84 / 108 = 0.778."""
+    words = [[f"t{t}w{k}" for k in range(100)] for t in range(40)]
+    near = [w[:90] + [f"n{t}x{k}" for k in range(10)] for t, w in enumerate(words)]
+    far = [w[:88] + [f"f{t}x{k}" for k in range(12)] for t, w in enumerate(words)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words[:20] + near[:20] + words[20:] + far[20:])]
+    d = docs(rows)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_duplicates(spark, d, "").collect()) == [*range(20), *range(40, 80)]
+    assert near_dedup.near_duplicates(d).where("kept").count() == 80
