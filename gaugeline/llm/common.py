@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -33,6 +34,13 @@ def hold(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffle files of results that are held by now deleted; else they stay until the driver's JVM
+    happens to collect its garbage, and count on top of the next shuffle."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(n: int, column: str = "doc_id") -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -4,8 +4,10 @@ Terms are the words of a text (A-Z small) and its pairs of neighbouring words, a
 as much as a word and either growing with the logarithm of its count. Each term's 256-bit hash votes
 with its weight on the bits. Classes: a fingerprint is cut into radius + 1 blocks, one of which two
 fingerprints within the radius must share, so a table a block (a permutation of the bits that puts the
-block first) finds them all; equal fingerprints are one, and buckets are compared in pairs of blocks
-of bounded size.
+block first) finds them all. In a large bucket the other bits are cut into radius + 1 blocks again, so
+only fingerprints that share a block of either cut are compared (each combination of two blocks is a
+permutation); no combination leaves the task. Equal fingerprints are one, and buckets are dealt out in
+pairs of parts of bounded size.
 
 Defined results: a null text counts as empty, the fingerprint of no terms is all zeros; equal texts have
 equal fingerprints; rows that repeat a doc_id follow each other in order of their texts; rows without
@@ -15,18 +17,22 @@ a doc_id come last; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import HASHES, groups, hold, mix, slices, using, words_of
+from gaugeline.llm.common import HASHES, groups, hold, mix, release, slices, using, words_of
 from gaugeline.llm.components import components
-from gaugeline.llm.near_dedup import Joined, dealt, edges, pairs_of
+from gaugeline.llm.near_dedup import Joined, dealt, edges
 
 SIZE = 256
 LANES = np.arange(1, SIZE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+RADIUS = 24  # near copies of five-word similarity 0.8 are some 22 bits apart, other texts about 128
+FIRST = 11  # bits of a block that name its bucket at most
 BIT_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -110,34 +116,88 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
     return dealt_rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def classes(rows: DataFrame, radius: int = 7, block: int = 512) -> DataFrame:
+def cuts_of(bits: int, blocks: int) -> list[int]:
+    """Borders of so many blocks of about equal width."""
+    return [k * bits // blocks for k in range(blocks + 1)]
+
+
+def number(bits: np.ndarray) -> np.ndarray:
+    """The number that up to FIRST leading bits of each row write."""
+    bits = bits[:, :FIRST]
+    return bits.astype(np.int32) @ (1 << np.arange(bits.shape[1], dtype=np.int32))
+
+
+def near_pairs(prints: np.ndarray, part: np.ndarray, skip: slice, radius: int, small: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius, all of one part or only those across two; all share the bits `skip`."""
+    lanes = prints.view(np.uint64)
+    cross = (part != part[0]).any()
+    if len(prints) <= small:
+        apart = sum(np.bitwise_count(lane[:, None] ^ lane).astype(np.uint16) for lane in lanes.T)
+        i, j = np.nonzero(apart <= radius)
+        keep = (i < j) & ((part[i] != part[j]) | (not cross))
+        yield i[keep], j[keep]
+        return
+    rest = np.delete(np.unpackbits(prints, axis=1), skip, axis=1)
+    cuts = cuts_of(rest.shape[1], radius + 1)
+    for a, b in itertools.pairwise(cuts):
+        key = number(rest[:, a:b])
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], np.arange(len(order) - 1)
+        for lag in range(1, len(order)):
+            at = at[at + lag < len(order)]
+            at = at[key[at] == key[at + lag]]  # a run of equal keys that ends here is no longer for larger lags
+            if not len(at):
+                break
+            i, j = order[at], order[at + lag]
+            near = np.bitwise_count(lanes[i] ^ lanes[j]).sum(1, dtype=np.int64) <= radius
+            if cross:
+                near &= part[i] != part[j]
+            yield i[near], j[near]
+
+
+def classes(rows: DataFrame, radius: int = RADIUS, block: int = 8192, small: int = 512) -> DataFrame:
     """(fingerprint, class_id): fingerprints joined by steps of at most `radius` bits share the least doc_id of the class.
 
-    rows have doc_id and fingerprint; those without an id name no class."""
+    rows have doc_id and fingerprint; those without an id name no class. Buckets of more than `block`
+    fingerprints are dealt out; in groups of more than `small` blocks are cut again."""
     reps = hold(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    step = SIZE // 4 // (radius + 1)  # hex digits a block
-    blocks = F.array(*(F.xxhash64(F.lit(k), F.substring("fingerprint", 1 + k * step, step)) for k in range(radius + 1)))
-    keyed = reps.select("node", F.explode(blocks).alias("bucket"))  # two numbers a row; fingerprints follow for full buckets alone
-    full = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = dealt(keyed.join(full, "bucket"), "bucket", "n", "node", block).join(reps, "node").select("bucket", "lo", "hi", "part", "node", "fingerprint")
+    cuts = cuts_of(SIZE, radius + 1)
+
+    def keys(batches):
+        for b in batches:
+            prints = np.frombuffer(bytes.fromhex("".join(b.column(1).to_pylist())), np.uint8).reshape(-1, SIZE // 8)
+            bits = np.unpackbits(prints, axis=1)
+            buckets = np.stack([number(bits[:, a:z]) + (k << FIRST) for k, (a, z) in enumerate(itertools.pairwise(cuts))], 1).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * (radius + 1)), pa.array(buckets.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.tobytes() for p in prints], pa.binary()), lists], names=["node", "print", "buckets"])
+
+    keyed = reps.select("node", "fingerprint").mapInArrow(keys, "node long, print binary, buckets array<int>").select("node", "print", F.explode("buckets").alias("bucket"))
+    full = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # at most 2^FIRST rows a table
+    found = dealt(keyed.join(F.broadcast(full), "bucket"), "bucket", "n", "node", block).select("bucket", "lo", "hi", "part", "node", "print")
     found = found.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
 
     def run(batches):
         out = []
-        for _, t in groups(batches, ["bucket", "lo", "hi"]):
+        for (bucket, _, _), t in groups(batches, ["bucket", "lo", "hi"]):
+            if t.num_rows < 2:
+                continue
             node = t.column("node").to_pylist()
-            bits = np.array([np.frombuffer(bytes.fromhex(x), np.uint8) for x in t.column("fingerprint").to_pylist()])
-            joined = Joined(len(node))
-            for i, j in pairs_of(np.array(t.column("part"))):
-                near = BIT_COUNT[bits[i] ^ bits[j]].sum(1) <= radius
-                out += [(node[a], node[b]) for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True) if joined.join(a, b)]
+            prints = np.frombuffer(b"".join(t.column("print").to_pylist()), np.uint8).reshape(-1, SIZE // 8)
+            joined, table = Joined(len(node)), bucket >> FIRST
+            shared = slice(cuts[table], min(cuts[table + 1], cuts[table] + FIRST))
+            for i, j in near_pairs(prints, np.array(t.column("part")), shared, radius, small):
+                out += [(node[a], node[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True) if joined.join(a, b)]
+            if len(out) > 10_000:
+                yield edges(out)
+                out = []
         yield edges(out)
 
     roots = components(found.mapInArrow(run, "u long, v long")).withColumnRenamed("v", "node")
     return reps.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("class_id"))
 
 
-def fingerprint_documents(docs: DataFrame, radius: int = 7) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fingerprint_rows with class_id, the least doc_id of the fingerprints that hang together within the radius."""
     rows = hold(fingerprint_rows(docs))
+    release(docs.sparkSession)
     return rows.join(classes(rows, radius), "fingerprint", "left").select(*RESULT.names, "class_id")

@@ -61,3 +61,42 @@ def test_one_row_repeats_nulls_and_empty(docs):
     rows = simhash.fingerprint_documents(docs([(4, "b"), (4, "a"), (4, "a"), (None, "z y"), (2, None)])).collect()
     assert len(rows) == 5 and len({r["fingerprint"] for r in rows if r["doc_id"] == 4}) == 2
     assert simhash.fingerprint_documents(docs([])).count() == 0
+
+
+def test_near_copies_of_usual_length_share_a_class(docs):
+    rng = np.random.default_rng(5)
+    rows = []
+    for t in range(12):
+        w = [f"t{t}w{k}" for k in rng.integers(0, 10**6, 150)]
+        for edits in (0, 1, 2):
+            v = list(w)
+            for at in rng.choice(150, edits, replace=False):
+                v[at] = f"new{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(v)))
+    got = {r["doc_id"]: r["class_id"] for r in simhash.fingerprint_documents(docs(rows)).collect()}
+    assert got == {i: i - i % 3 for i, _ in rows}
+
+
+def test_classes_at_a_wide_radius_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for p in rng.integers(0, 256, (30, 32), dtype=np.uint8):
+        for flips in (0, 12, 20, 24, 25, 26, 40):
+            q = p.copy()
+            for at in rng.choice(256, flips, replace=False):
+                q[at // 8] ^= 1 << (at % 8)
+            rows.append((len(rows), q.tobytes().hex()))
+    # one bit apart in every first block but the last: the two share that block only, and one of the second cut
+    spread = np.zeros(256, np.uint8)
+    spread[[a for a in simhash.cuts_of(256, 25)[:24]]] = 1
+    rows += [(1000, "00" * 32), (1001, np.packbits(spread).tobytes().hex())]
+    bits = np.array([np.frombuffer(bytes.fromhex(f), np.uint8) for _, f in rows])
+    near = simhash.BIT_COUNT[bits[:, None] ^ bits[None]].sum(2) <= 24
+    up = np.array([i for i, _ in rows])
+    for _ in range(len(rows)):
+        up = np.array([up[near[i]].min() for i in range(len(rows))])
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    for block, small in ((8192, 512), (8192, 1), (1, 1)):
+        got = {r["fingerprint"]: r["class_id"] for r in simhash.classes(df, 24, block, small).collect()}
+        assert all(got[f] == up[k] for k, (_, f) in enumerate(rows))
+    assert up[-1] == 1000
