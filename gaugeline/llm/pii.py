@@ -1,14 +1,15 @@
 """Personal data: fixed patterns, and terms that the corpus shows to disclose a protected entity.
 
 An entity is one value that a pattern finds (an address, a number). The method is information-theoretic
-sanitisation: a term near an entity is weighed by how much of the entity's information it gives away,
+sanitisation: a term of a text that holds an entity is weighed by how much of the entity's information it gives away,
     disclosure = PMI(term; entity) / IC(entity),
     PMI = log2(N n(t, e) / (n(t) n(e))),  IC = log2(N / n(e)),
 where N and n() count distinct texts of the whole corpus, so that copies count once. A disclosure of 1
 means that the term occurs in no text without the entity. Terms of at least `remove` are removed, those
 of at least `generalise` are replaced by a general word; a pair must stand in `support` distinct texts.
+A pair's rule holds for every place of the term in each text that holds the entity.
 
-Texts are read twice: once for the patterns and the terms around them, once to count the texts of terms.
+Texts are read twice: once for the patterns and the terms beside them, once to count the texts of terms.
 The second reading skips words that cannot be wanted with a bitmap of fixed size, and counts the rest
 exactly; two such bitmaps are all that is sent to tasks.
 
@@ -18,6 +19,8 @@ table gives no rows; extra columns are ignored, and sanitised() hands them on.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections import Counter
 
@@ -37,7 +40,6 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:\x20?[0-9]|-[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
-WINDOW = 48  # code points on either side of an entity in which terms are looked at
 BITS = 22
 
 
@@ -79,37 +81,38 @@ def entity(kind: int, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{KINDS[kind]}:{value}") - 2**63
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
-    """(entity, term in small letters, start, end) of whole words near each entity and outside all of them."""
-    out = set()
-    for kind, a, b in spans:
-        lo, hi = max(0, a - WINDOW), min(len(text), b + WINDOW)
-        for m in TERM.finditer(text, lo, hi):
-            inside = any(m.start() < y and x < m.end() for _, x, y in spans)
-            cut = (m.start() == lo > 0 and text[lo - 1].isalpha()) or (m.end() == hi < len(text) and text[hi].isalpha())
-            if not inside and not cut:
-                out.add((entity(kind, text[a:b]), m[0].lower(), m.start(), m.end()))
-    return sorted(out)
+def near_terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], list[tuple[str, int, int]]]:
+    """The entities of a text, and (term in small letters, start, end) of its words outside all of them."""
+    taken = sorted((a, b) for _, a, b in spans)
+    starts = [a for a, _ in taken]
+    reach = list(itertools.accumulate((b for _, b in taken), max))
+    out = []
+    for m in TERM.finditer(text):
+        k = bisect.bisect_left(starts, m.end())  # the first k entities start before the word ends
+        if not k or reach[k - 1] <= m.start():
+            out.append((m[0].lower(), m.start(), m.end()))
+    return sorted({entity(kind, text[a:b]) for kind, a, b in spans}), out
 
 
-NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.string()), ("base", pa.string()), *((f"n_{k}", pa.int64()) for k in KINDS), ("near", NEAR)])
+NEAR = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.string()), ("base", pa.string()), *((f"n_{k}", pa.int64()) for k in KINDS), ("entities", pa.list_(pa.int64())), ("near", NEAR)])
 
 
 def base_pass(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, base, n_email .. n_phone, near) for every row; base is kind:start:end, comma-joined."""
+    """(doc_id, text_hash, base, n_email .. n_phone, entities, near) for every row; base is kind:start:end, comma-joined."""
 
     def run(part: pa.RecordBatch) -> list:
         rows = []
         for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             text = text or ""
             spans = base_spans(text)
-            near = [dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in near_terms(text, spans)] if spans else []
+            held, places = near_terms(text, spans) if spans else ([], [])
+            near = [dict(zip(("term", "start", "end"), x, strict=True)) for x in places]
             base = ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
-            rows.append((doc, xxhash.xxh3_128_hexdigest(text), base, *(sum(s[0] == k for s in spans) for k in range(4)), near))
+            rows.append((doc, xxhash.xxh3_128_hexdigest(text), base, *(sum(s[0] == k for s in spans) for k in range(4)), held, near))
         return [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), FOUND, strict=True)]
 
-    schema = "doc_id long, text_hash string, base string, n_email long, n_ip long, n_card long, n_phone long, near array<struct<entity: long, term: string, start: long, end: long>>"
+    schema = "doc_id long, text_hash string, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<long>, near array<struct<term: string, start: long, end: long>>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(mapped(run, FOUND), schema)
 
 
@@ -174,9 +177,13 @@ def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFram
 
 def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.6, remove: float = 0.9, support: int = 2) -> DataFrame:
     """(entity, term, disclosure, action) for pairs whose disclosure reaches `generalise`."""
-    pairs = found.where(F.size("near") > 0).select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.entity", "x.term").distinct()
+    texts_with = found.where(F.size("entities") > 0).dropDuplicates(["text_hash"])
+    held = texts_with.select("text_hash", "entities", F.array_distinct("near.term").alias("terms"))
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # an entity of fewer than `support` texts has no pair that stands in so many
+    recurring = held.select("text_hash", "terms", F.explode("entities").alias("entity")).join(entities.where(F.col("n_entity") >= support), "entity")
+    pairs = recurring.select("entity", F.explode("terms").alias("term"))
     both = hold(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support))
-    entities = pairs.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     texts = found.select("text_hash").distinct().count()
     terms = both.select("term").distinct()
     n = both.join(entities, "entity").join(term_counts(docs, found, terms), "term")
@@ -190,15 +197,15 @@ def find(docs: DataFrame, generalise: float = 0.6, remove: float = 0.9, support:
     """Every row's doc_id, text_hash, base, n_email .. n_phone and terms, an array of (start, end, action) in order."""
     found = hold(base_pass(docs))
     rules = disclosing(docs, found, generalise, remove, support)
-    near = found.where(F.size("near") > 0).select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.*")
+    texts_with = found.where(F.size("entities") > 0).dropDuplicates(["text_hash"])
+    ruled = texts_with.select("text_hash", F.explode("entities").alias("entity")).join(rules, "entity").groupBy("text_hash", "term").agg(F.max("action").alias("action"))
+    places = texts_with.join(ruled.select("text_hash").distinct(), "text_hash", "left_semi").select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.*")
     terms = (
-        near.join(rules, ["entity", "term"])
-        .groupBy("text_hash", "start", "end")
-        .agg(F.max("action").alias("action"))
+        places.join(ruled, ["text_hash", "term"])
         .groupBy("text_hash")
         .agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     )
-    return found.drop("near").join(terms, "text_hash", "left")
+    return found.drop("near", "entities").join(terms, "text_hash", "left")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -73,3 +73,13 @@ def test_term_counts_are_distinct_texts(spark, docs):
     terms = spark.createDataFrame([("alpha",), ("beta",), ("gamma",), ("absent",)], "term string")
     got = {r["term"]: r["n_term"] for r in pii.term_counts(d, pii.base_pass(d), terms).collect()}
     assert got == {"alpha": 7, "beta": 5, "gamma": 1}
+
+
+def test_a_term_goes_wherever_it_stands_in_a_text_with_the_entity(docs):
+    far = "and a paragraph of plain words that nobody needs to hide goes on here "
+    rows = [(i, f"no {i} zorblat ann@mail.example.com sent. {far * 3} zorblat again, {far} Quuxley") for i in range(3)]
+    rows += [(i, f"no {i} {far} sent again") for i in range(3, 40)]
+    d = docs(rows)
+    texts = {r["doc_id"]: r["text"] for r in pii.sanitised(d).collect()}
+    assert not any(w in t.lower() for t in texts.values() for w in ("zorblat", "quuxley", "ann@"))
+    assert texts[0].count("paragraph") == 4 and texts[7] == rows[7][1]
