@@ -89,15 +89,16 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic regression of y on margin by pooling adjacent violators: (centres, values) to interpolate.
 
-    Each block counts half a positive and half a negative more, so that values stay within (0, 1)."""
-    order = np.argsort(margin, kind="stable")
-    blocks: list[list[float]] = []  # sum of y, rows, sum of margins
-    for m, t in zip(margin[order], y[order], strict=True):
-        blocks.append([float(t), 1.0, float(m)])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            a = blocks.pop()
-            blocks[-1] = [p + q for p, q in zip(blocks[-1], a, strict=True)]
-    if not blocks:
+    Rows of equal margins are one point. Each block counts a hundredth of a positive and as much of a
+    negative more, so that values stay within (0, 1)."""
+    if not len(margin):
         return np.zeros(1), np.full(1, 0.5)
+    points, at = np.unique(margin, return_inverse=True)
+    blocks: list[list[float]] = []  # positives, rows, sum of margins
+    for p, n, m in zip(np.bincount(at, y).tolist(), np.bincount(at).tolist(), points.tolist(), strict=True):
+        blocks.append([p, float(n), m * n])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
     b = np.array(blocks)
-    return b[:, 2] / b[:, 1], np.maximum.accumulate((b[:, 0] + 0.5 * (b[:, 1] > 0) * 0.02) / (b[:, 1] + 0.02))
+    return b[:, 2] / b[:, 1], np.maximum.accumulate((b[:, 0] + 0.01) / (b[:, 1] + 0.02))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.shared import shared_folder
+
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -23,14 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hold(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
-
-    The folder is the one the session names in spark.checkpoint.dir; a local one is made only
-    where none is set, as in tests.
-    """
+    """Cut the lineage with a reliable checkpoint in the folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gaugeline-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

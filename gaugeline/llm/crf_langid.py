@@ -11,7 +11,8 @@ A document's language is the one with the largest share of the words' posterior
 letters); that share is the score.
 
 Fitting uses a bounded sample: at most `bound` labelled rows and `stretch` words of each, from a place
-given by a hash. Everything else reads whole texts.
+given by a hash; the lexicon holds the `lexicon_size` most frequent words of each language in it. Everything
+else reads whole texts and whole words.
 Defined results: a text that is null or has no letter is `und` with score 0; ties go to the first
 language in alphabetical order; without labelled texts all are `und`; repeated rows get equal results;
 extra columns are ignored.
@@ -20,6 +21,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +31,15 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm.common import LETTERS, mapped, mix, remainder, words_of
 
-BITS, LONGEST, BLOCK = 16, 24, 64
+BITS, BLOCK = 16, 64
 
 
 def feature_numbers(words: list[str]) -> np.ndarray:
-    """Hashed features of each word: prefixes, suffixes, bigrams and trigrams with borders; -1 where none."""
-    a = np.array(["^" + w[:12] + w[12:][-(LONGEST - 13) :] + "$" for w in words], dtype=f"U{LONGEST + 1}")
+    """Hashed features of each word: prefixes, suffixes, bigrams and trigrams with borders; -1 where none.
+
+    The row is as wide as the longest word needs; see featured() for words of any length."""
+    longest = max(map(len, words), default=0) + 2
+    a = np.array([f"^{w}$" for w in words], dtype=f"U{longest}")
     c = a.view(np.uint32).reshape(len(words), -1).astype(np.uint64)
     n = (c > 0).sum(1)
     rows, out = np.arange(len(words)), []
@@ -54,6 +59,20 @@ def feature_numbers(words: list[str]) -> np.ndarray:
     return np.concatenate(out, 1)
 
 
+def featured(words: list[str], cells: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of words, their feature rows), words of like length together and about `cells` numbers at a
+    time, so that one very long word widens its own row only; every letter counts."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    order, at = np.argsort(size, kind="stable"), 0
+    while at < len(order):
+        to = at + 1
+        most = max(8, 2 * int(size[order[at]]))
+        width = 2 * most + 16
+        to = max(to, min(int(np.searchsorted(size[order], most, "right")), at + max(1, cells // width)))
+        yield order[at:to], feature_numbers([words[k] for k in order[at:to]])
+        at = to
+
+
 def forward_backward(emit: np.ndarray, move: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors of every word's state, and the expected counts of transitions.
 
@@ -76,17 +95,16 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, start: np.ndarray, firs
     transfer = np.broadcast_to(np.eye(states), (len(seq), states, states)).copy()
     for t in range(BLOCK):
         on = live[:, t]
-        transfer[on] = scaled((transfer[on] @ move) * e[on, t][:, None, :])
+        moved = transfer[on] @ move
+        if t == 0:
+            moved = np.where((nth[on] > 0)[:, None, None], moved, transfer[on])
+        transfer[on] = scaled(moved * e[on, t][:, None, :])
+    # `enter` is the state mass before a block's first word; no move leads into the first word of a sequence
     enter, leave = np.ones((len(seq), states)), np.ones((len(seq), states))
     order = np.argsort(nth, kind="stable")
     steps = np.split(order, np.cumsum(np.bincount(nth))[:-1])
-    # `enter` is the state mass before a block's first move; before a first block it is what gives `start`
-    first_in = np.linalg.lstsq(move.T, start, rcond=None)[0]
     for k, here in enumerate(steps):
-        if k == 0:
-            enter[here] = first_in
-        else:
-            enter[here] = scaled(np.maximum(np.einsum("bs,bst->bt", enter[here - 1], transfer[here - 1]), 0) + 1e-300)
+        enter[here] = start if k == 0 else scaled(np.einsum("bs,bst->bt", enter[here - 1], transfer[here - 1]) + 1e-300)
     ends = np.cumsum(blocks)[blocks > 0] - 1
     last = np.zeros(len(seq), bool)
     last[ends] = True
@@ -95,7 +113,8 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, start: np.ndarray, firs
         leave[inner] = scaled(np.einsum("bst,bt->bs", transfer[inner + 1], leave[inner + 1]) + 1e-300)
     alpha, a = np.empty_like(e), enter
     for t in range(BLOCK):
-        a = np.where(live[:, t, None], scaled(np.maximum(a @ move, 0) * e[:, t] + 1e-300), a)
+        moved = a @ move if t else np.where((nth > 0)[:, None], a @ move, a)
+        a = np.where(live[:, t, None], scaled(moved * e[:, t] + 1e-300), a)
         alpha[:, t] = a
     post, moves, b = np.empty_like(e), np.zeros((states, states)), leave
     for t in range(BLOCK - 1, -1, -1):
@@ -106,7 +125,7 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, start: np.ndarray, firs
         pair = before[:, :, None] * move[None] * (e[:, t] * b)[:, None, :]
         inner = on & ((nth > 0) | (t > 0))
         if inner.any():
-            moves += scaled(np.maximum(pair[inner], 0) + 1e-300).sum(0)
+            moves += scaled(pair[inner] + 1e-300).sum(0)
         b = np.where(on[:, None], scaled((e[:, t] * b) @ move.T + 1e-300), b)
     return post[live], moves
 
@@ -124,7 +143,9 @@ class Model:
         """Log scores of distinct words."""
         if not words:
             return np.zeros((0, len(self.langs)))
-        out = self.weights[feature_numbers(words)].sum(1) + self.bias
+        out = np.empty((len(words), len(self.langs)))
+        for at, feats in featured(words):
+            out[at] = self.weights[feats].sum(1) + self.bias
         masks = np.array([self.lexicon.get(w, 0) for w in words])
         return out + (masks[:, None] >> np.arange(len(self.langs)) & 1) @ self.lexicon_weights
 
@@ -191,9 +212,9 @@ def fit(docs: DataFrame, bound: int = 2_000, stretch: int = 200, steps: int = 40
     ends = np.cumsum([len(ws) for _, ws in pieces])
     first = np.unique(np.concatenate([[0], ends[7::8], ends[-1:]]))
     words, seen = list(number), np.bincount(at, minlength=len(number))
-    feats = feature_numbers(words)
     masks = (np.array([lexicon.get(w, 0) for w in words])[:, None] >> np.arange(states) & 1).astype(float)
-    flat, owner = feats[feats >= 0], np.nonzero(feats >= 0)[0]
+    found = [(feats[feats >= 0], at[np.nonzero(feats >= 0)[0]]) for at, feats in featured(words)]
+    flat, owner = (np.concatenate(x) for x in zip(*found, strict=True))
     model = Model(langs, np.zeros((2**BITS + 1, states)), np.zeros(states), lexicon, np.zeros((states, states)), np.zeros((states, states)))
     truth = np.zeros((len(words), states))
     np.add.at(truth, (at, y), 1)

@@ -5,8 +5,8 @@ Tokens are the words between white space. A token gives two terms, its lower-cas
 the pair of their shapes. Terms are hashed into a fixed number of weights, and a
 text's vector holds each term's share of the terms; the score is the logistic of a sparse dot product.
 
-Training reads a bounded sample of labelled rows, dealt to a fixed number of shards; each shard is
-one task that streams its rows through FTRL-proximal updates, and the shards' weights are averaged.
+Training reads a bounded sample of labelled rows, dealt to a fixed number of shards, one task each by
+its number; a task streams its rows through FTRL-proximal updates, and the shards' weights are averaged.
 No text leaves the executors, and the driver holds shards x weights numbers.
 
 Defined results: a null text counts as empty, and an empty text is scored by the bias alone; repeated
@@ -123,14 +123,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + dot, -35, 35)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 16_000, shards: int = 4, epochs: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 16_000, shards: int = 8, epochs: int = 2) -> Model:
     """Fit on at most `bound` labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
     Epochs after the first read the same rows again, so each shard holds its sparse vectors."""
     sample = labelled_sample(docs, labels, "quality", remainder(3) != 1, bound)
     rows = (
         sample.select(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("doc_id").alias("at"), "label", "text")
-        .repartition(shards, "shard")
+        .repartitionById(shards, F.col("shard"))
         .sortWithinPartitions("shard", "at", "label", "text")
     )
 

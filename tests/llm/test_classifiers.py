@@ -73,3 +73,51 @@ def test_features_see_hidden_words():
 
     f = toxicity.features(pa.array(["an 1d1ot here", "what an i d i o t you", "you IDIOT!!", "plain words", None]), {"idiot": 2.0})
     assert f.shape == (5, toxicity.N_FEATURES) and f[0, 17] == f[1, 17] == 1 and f[2, 1] > 0 and f[2, 9] > 0 and not f[3, [1, 17]].any()
+
+
+def test_equal_margins_are_one_point():
+    from gaugeline.llm import boosting
+
+    rng = np.random.default_rng(4)
+    y = (rng.random(400) < 0.1075).astype(float)
+    centres, values = boosting.isotonic(np.full(400, -1.5), y)
+    assert len(centres) == 1 and abs(values[0] - y.mean()) < 1e-3
+    m = rng.integers(-5, 6, 3000).astype(float)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-m))).astype(float)
+    centres, values = boosting.isotonic(m, y)
+    # brute force: the least-squares monotone fit is max over starts of min over ends of block means
+    points = np.unique(m)
+    s, n = (np.array([f(m == p) for p in points]) for f in (lambda k: y[k].sum(), lambda k: k.sum()))
+    want = [max(min(s[a : b + 1].sum() / n[a : b + 1].sum() for b in range(k, len(points))) for a in range(k + 1)) for k in range(len(points))]
+    assert np.allclose(np.interp(points, centres, values), want, atol=0.05) and (np.diff(values) >= 0).all()
+    assert boosting.isotonic(np.zeros(0), np.zeros(0))[1].tolist() == [0.5]
+
+
+@pytest.mark.parametrize(("op", "n", "rest"), [(toxicity, 5, 0), (quality, 3, 1)])
+def test_held_out_is_the_checksum_rule(spark, docs, op, n, rest):
+    import zlib
+
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    d = docs([(i * 7919, "a") for i in range(300)] + [(None, "b")])
+    rows = op.score(d, op.fit(d, none)).collect()
+    assert len(rows) == 301
+    assert all(r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % n == rest) for r in rows)
+
+
+def test_ftrl_equals_its_formulas():
+    rng = np.random.default_rng(1)
+    model = quality.Ftrl()
+    z, n = {}, {}
+    for _ in range(60):
+        at, x, y = rng.choice(30, 5, replace=False).astype(np.int32), rng.random(5), int(rng.random() < 0.5)
+        w = {}
+        for i in at.tolist():
+            zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+            w[i] = 0.0 if abs(zi) <= model.l1 else -(zi - np.sign(zi) * model.l1) / ((model.beta + ni**0.5) / model.alpha + model.l2)
+        p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in zip(at.tolist(), x, strict=True))))
+        for i, v in zip(at.tolist(), x.tolist(), strict=True):
+            g = (p - y) * v
+            s = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / model.alpha
+            z[i], n[i] = z.get(i, 0.0) + g - s * w[i], n.get(i, 0.0) + g * g
+        model.update(at, x, y)
+    assert all(np.isclose(model.z[i], z[i]) and np.isclose(model.n[i], n[i]) for i in z)

@@ -76,3 +76,39 @@ def test_empty_table(labelled):
 def test_feature_numbers_tell_words_apart():
     f = crf.feature_numbers(["a", "ab", "x" * 500])
     assert (f[0] >= 0).sum() < (f[1] >= 0).sum() and len(pa.array(f.tolist())) == 3
+
+
+def test_a_singular_transition_matrix_equals_enumeration():
+    rng = np.random.default_rng(5)
+    first, states = np.array([0, 4]), 3
+    emit, start = rng.random((4, states)) + 0.1, np.array([0.7, 0.2, 0.1])
+    move = np.repeat(rng.random((1, states)) + 0.1, states, 0)  # three equal rows
+    want = np.zeros((4, states))
+    for x in itertools.product(range(states), repeat=4):
+        w = start[x[0]] * np.prod([emit[i, k] for i, k in enumerate(x)]) * np.prod([move[i, j] for i, j in itertools.pairwise(x)])
+        for i, k in enumerate(x):
+            want[i, k] += w
+    assert np.allclose(crf.forward_backward(emit, move, start, first)[0], want / want.sum(1, keepdims=True))
+
+
+def test_every_letter_of_a_long_word_counts():
+    a, b = "x" * 40 + "q" + "x" * 40, "x" * 40 + "v" + "x" * 40
+    rows = dict((i, f[k].tolist()) for at, f in crf.featured([a, b, "ab"]) for k, i in enumerate(at.tolist()))
+    assert rows[0] != rows[1] and sorted(rows) == [0, 1, 2]
+    words = ["w" * n for n in (1, 5, 9, 100, 20_000, 3)]
+    got = {i: sorted(x for x in f[k].tolist() if x >= 0) for at, f in crf.featured(words, 50_000) for k, i in enumerate(at.tolist())}
+    assert all(got[i] == sorted(x for x in crf.feature_numbers([w])[0].tolist() if x >= 0) for i, w in enumerate(words))
+
+
+def test_held_out_is_the_checksum_rule_and_votes_are_posterior_mass(labelled):
+    import zlib
+
+    model = crf.fit(labelled)
+    rows = crf.predict(labelled, model).collect()
+    assert all(r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 3 == 1) for r in rows)
+    text = "alpha zulu kudzu banal"
+    words, at, first = crf.letter_words(pa.array([text]))
+    post = model.posteriors(words, at, first)
+    mass = sum(p * len(w) for p, w in zip(post, text.split(), strict=True))
+    r = crf.predict(labelled.limit(1).selectExpr("cast(1 as long) doc_id", f"'{text}' text"), model).first()
+    assert r["lang_pred"] == model.langs[mass.argmax()] and abs(r["score"] - mass.max() / mass.sum()) < 1e-9
