@@ -1,17 +1,17 @@
-"""Document fingerprints: SimHash of weighted term hashes, and classes within a Hamming radius.
+"""Document fingerprints: SimHash of weighted term hashes, and the links within a Hamming radius.
 
-Terms are the words of a text (A-Z small) and its pairs of neighbouring words, a pair counting twice
-as much as a word and either growing with the logarithm of its count. Each term's 256-bit hash votes
-with its weight on the bits. Classes: a fingerprint is cut into radius + 1 blocks, one of which two
-fingerprints within the radius must share, so a table a block (a permutation of the bits that puts the
-block first) finds them all. In a large bucket the other bits are cut into radius + 1 blocks again, so
-only fingerprints that share a block of either cut are compared (each combination of two blocks is a
-permutation); no combination leaves the task. Equal fingerprints are one, and buckets are dealt out in
-pairs of parts of bounded size.
+Terms are the distinct words of a text (A-Z small), of weight 2, and its distinct pairs of neighbouring
+words, of weight 1. Each term's 256-bit hash votes with its weight on the bits. Links: a fingerprint is cut
+into radius + 1 blocks, one of which two fingerprints within the radius must share, so a table a block (a
+permutation of the bits that puts the block first) finds them all. In a large bucket the other bits are cut
+into radius + 1 blocks again, so only fingerprints that share a block of either cut are compared (each
+combination of two blocks is a permutation). A link counts in the first table, and there in the first
+combination, that finds it. Equal fingerprints are one, and buckets are dealt out in pairs of parts of
+bounded size; what leaves a task is its links reduced to a tree, and how many each fingerprint has.
 
 Defined results: a null text counts as empty, the fingerprint of no terms is all zeros; equal texts have
-equal fingerprints; rows that repeat a doc_id follow each other in order of their texts; rows without
-a doc_id come last; an empty table gives no rows; extra columns are ignored.
+equal fingerprints; rows that repeat a doc_id follow each other in order of a hash of their texts; rows
+without a doc_id come last; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import HASHES, groups, hold, mix, release, slices, using, words_of
 from gaugeline.llm.components import components
-from gaugeline.llm.near_dedup import Joined, dealt, edges
+from gaugeline.llm.near_dedup import Joined, dealt
 
 SIZE = 256
 LANES = np.arange(1, SIZE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-RADIUS = 24  # near copies of five-word similarity 0.8 are some 22 bits apart, other texts about 128
+RADIUS = 24  # near copies of five-word similarity 0.8 are some 17 bits apart, 23 in nine of ten; other texts about 120
 FIRST = 11  # bits of a block that name its bucket at most
 BIT_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -46,8 +47,8 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
         if a == b:
             continue
-        (u, n), (v, m) = np.unique(h[a:b], return_counts=True), np.unique(pairs[a : b - 1], return_counts=True)
-        weight = np.concatenate([1 + np.log2(n), 2 + 2 * np.log2(m)]).astype(np.float32)
+        u, v = np.unique(h[a:b]), np.unique(pairs[a : b - 1])
+        weight = np.repeat(np.array([2, 1], np.float32), [len(u), len(v)])
         bits = np.unpackbits(mix(np.concatenate([u, v])[:, None] ^ LANES).view(np.uint8), axis=1)
         votes = weight @ bits.astype(np.float32)
         out[i] = np.packbits(2 * votes > weight.sum(dtype=np.float32))
@@ -65,55 +66,68 @@ def edited(text: str, following: str) -> str:
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+RESULT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Rows of a range: results, and the texts of its first and its last row.
+DONE, FIRST_ROW, LAST_ROW = 0, 1, 2
+STEP = pa.schema([*RESULT, ("part", pa.int32()), ("kind", pa.int32()), ("text", pa.string())])
+
+
+def outcome(ids: list, texts: list[str], prints: np.ndarray, following: list[str], their_prints: np.ndarray) -> list[pa.Array]:
+    """The columns of RESULT for rows and the rows that follow them."""
+    changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
+    other = fingerprints(pa.array(changed, pa.string()))
+    return [
+        pa.array(ids, pa.int64()),
+        pa.array(list(map(len, texts)), pa.int64()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
+        *(pa.array([p.tobytes().hex() for p in x], pa.string()) for x in (prints, other)),
+        *(pa.array(likeness(prints, x), pa.float64()) for x in (other, their_prints)),
+    ]
 
 
 def fingerprint_rows(docs: DataFrame) -> DataFrame:
     """Every row's doc_id, n_chars, fingerprint, and the edited text's, with the next row in descending order of doc_id.
 
-    Rows are dealt to ranges of doc_id, one shuffle of the texts; the first row of a range is also given
-    to the range before it, and that of the first range to the last."""
+    Rows are dealt to ranges of (doc_id, hash of the text, place), one shuffle of the texts, so that ids
+    that many rows share are split too. A range knows the followers of all its rows but the last; it hands
+    on the texts of its first and its last row, and the last ones are joined with the first of the next range."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    # part 0 holds the largest ids; an id equal to a cut belongs to the part above it
-    part = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c > F.col("doc_id"))))
-    rows = rows.withColumn("part", part.cast("int"))
-    firsts = sorted(tuple(r) for r in rows.groupBy("part").agg(F.max("doc_id")).collect())  # one row a part
-    lent = F.lit(None).cast("int")
-    for (before, _), (_, first) in zip([firsts[-1:] and firsts[-1], *firsts[:-1]], firsts, strict=True) if firsts else ():
-        lent = F.when(F.col("doc_id").eqNullSafe(F.lit(first).cast("long")), before).otherwise(lent)
-    twice = F.when(lent.isNull(), F.array(F.struct("part", F.lit(False).alias("lent")))).otherwise(F.array(F.struct("part", F.lit(False).alias("lent")), F.struct(lent.alias("part"), F.lit(True).alias("lent"))))
-    dealt_rows = rows.select("doc_id", "text", F.explode(twice).alias("x")).select("doc_id", "text", "x.part", "x.lent")
-    dealt_rows = dealt_rows.repartitionById(max(parts, 1), F.col("part") % parts).sortWithinPartitions("part", "lent", F.desc_nulls_last("doc_id"), "text")
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    order = [F.desc_nulls_last("doc_id"), F.asc("tie"), F.asc("place")]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
-        held: tuple | None = None  # the last row seen and its fingerprint
+        part, held = TaskContext.get().partitionId(), None  # the last row seen and its fingerprint
+        edge = lambda kind, doc, text: pa.RecordBatch.from_pylist([{"doc_id": doc, "part": part, "kind": kind, "text": text}], STEP)
         for b in (p for batch in batches for p in slices(batch)):
-            rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
-            prints = fingerprints(b.column(1))
+            ids, texts, prints = b.column(0).to_pylist(), b.column(1).to_pylist(), fingerprints(b.column(1))
             if held:
-                rows, prints = [held[0], *rows], np.concatenate([held[1][None], prints])
-            held = rows[-1], prints[-1]
-            at = [i for i in range(len(rows) - 1) if not rows[i][3] and rows[i][2] == rows[i + 1][2]]
-            texts = [edited(rows[i][1], rows[i + 1][1]) for i in at]
-            other = fingerprints(pa.array(texts, pa.string()))
-            mine, following = prints[at], prints[[i + 1 for i in at]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([rows[i][0] for i in at], pa.int64()),
-                    pa.array([len(rows[i][1]) for i in at], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
-                    pa.array([p.tobytes().hex() for p in mine], pa.string()),
-                    pa.array([p.tobytes().hex() for p in other], pa.string()),
-                    pa.array(likeness(mine, other), pa.float64()),
-                    pa.array(likeness(mine, following), pa.float64()),
-                ],
-                schema=RESULT,
-            )
-
-    return dealt_rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+                ids, texts, prints = [held[0], *ids], [held[1], *texts], np.concatenate([held[2], prints])
+            else:
+                yield edge(FIRST_ROW, ids[0], texts[0])
+            held = ids[-1], texts[-1], prints[-1:]
+            n = len(ids) - 1
+            done = outcome(ids[:-1], texts[:-1], prints[:-1], texts[1:], prints[1:])
+            yield pa.RecordBatch.from_arrays([*done, pa.array([part] * n, pa.int32()), pa.array([DONE] * n, pa.int32()), pa.nulls(n, pa.string())], schema=STEP)
+        if held:
+            yield edge(LAST_ROW, held[0], held[1])
+
+    step = hold(ranges.mapInArrow(run, RESULT_DDL + ", part int, kind int, text string"))
+    release(spark)
+    full = [r["part"] for r in step.where(F.col("kind") == FIRST_ROW).select("part").orderBy("part").collect()]  # a number a range
+    after = spark.createDataFrame(list(zip(full, full[1:] + full[:1], strict=True)), "part int, next int")
+    firsts = step.where(F.col("kind") == FIRST_ROW).select(F.col("part").alias("next"), F.col("text").alias("following"))
+    lasts = step.where(F.col("kind") == LAST_ROW).select("doc_id", "text", "part").join(after, "part").join(firsts, "next")
+
+    def finish(batches):
+        for b in (p for batch in batches for p in slices(batch)):
+            ids, texts, following = (c.to_pylist() for c in b.columns)
+            yield pa.RecordBatch.from_arrays(outcome(ids, texts, fingerprints(b.column(1)), following, fingerprints(b.column(2))), schema=RESULT)
+
+    ends = lasts.select("doc_id", "text", "following").mapInArrow(finish, RESULT_DDL)
+    return step.where(F.col("kind") == DONE).select(*RESULT.names).union(ends)
 
 
 def cuts_of(bits: int, blocks: int) -> list[int]:
@@ -127,19 +141,41 @@ def number(bits: np.ndarray) -> np.ndarray:
     return bits.astype(np.int32) @ (1 << np.arange(bits.shape[1], dtype=np.int32))
 
 
-def near_pairs(prints: np.ndarray, part: np.ndarray, skip: slice, radius: int, small: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius, all of one part or only those across two; all share the bits `skip`."""
+def first_shared(apart: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """For rows of differing bits the number of the first block whose leading bits are all alike."""
+    leading = np.arange(cuts[-1]) - np.repeat(cuts[:-1], np.diff(cuts)) < FIRST
+    return (np.add.reduceat(apart & leading, cuts[:-1], axis=1) == 0).argmax(1)
+
+
+def near_pairs(prints: np.ndarray, part: np.ndarray, cross: bool, cuts: list[int], table: int, radius: int, small: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius that no table before finds: all of one part, or with `cross` only those across two.
+
+    The fingerprints share the leading bits of block `table` of `cuts`. Each pair comes once."""
     lanes = prints.view(np.uint64)
-    cross = (part != part[0]).any()
+
+    def own(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return first_shared(np.unpackbits(prints[i] ^ prints[j], axis=1), cuts) == table
+
     if len(prints) <= small:
-        apart = sum(np.bitwise_count(lane[:, None] ^ lane).astype(np.uint16) for lane in lanes.T)
-        i, j = np.nonzero(apart <= radius)
-        keep = (i < j) & ((part[i] != part[j]) | (not cross))
-        yield i[keep], j[keep]
+        rows = max(1, 400_000 // len(prints))
+        for at in range(0, len(prints), rows):
+            head, apart = lanes[at : at + rows], np.zeros((len(lanes[at : at + rows]), len(lanes) - at), np.uint16)
+            for k in range(lanes.shape[1]):
+                apart += np.bitwise_count(head[:, k, None] ^ lanes[at:, k])
+            i, j = np.nonzero(apart <= radius)
+            keep = i < j
+            i, j = i[keep] + at, j[keep] + at
+            if cross:
+                keep = part[i] != part[j]
+                i, j = i[keep], j[keep]
+            if len(i):
+                keep = own(i, j)
+                yield i[keep], j[keep]
         return
+    skip = slice(cuts[table], min(cuts[table + 1], cuts[table] + FIRST))
     rest = np.delete(np.unpackbits(prints, axis=1), skip, axis=1)
-    cuts = cuts_of(rest.shape[1], radius + 1)
-    for a, b in itertools.pairwise(cuts):
+    inner = cuts_of(rest.shape[1], radius + 1)
+    for c, (a, b) in enumerate(itertools.pairwise(inner)):
         key = number(rest[:, a:b])
         order = np.argsort(key, kind="stable")
         key, at = key[order], np.arange(len(order) - 1)
@@ -152,15 +188,22 @@ def near_pairs(prints: np.ndarray, part: np.ndarray, skip: slice, radius: int, s
             near = np.bitwise_count(lanes[i] ^ lanes[j]).sum(1, dtype=np.int64) <= radius
             if cross:
                 near &= part[i] != part[j]
-            yield i[near], j[near]
+            i, j = i[near], j[near]
+            if len(i):
+                keep = (first_shared(rest[i] ^ rest[j], inner) == c) & own(i, j)
+                yield i[keep], j[keep]
+
 
+FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
-def classes(rows: DataFrame, radius: int = RADIUS, block: int = 8192, small: int = 512) -> DataFrame:
-    """(fingerprint, class_id): fingerprints joined by steps of at most `radius` bits share the least doc_id of the class.
 
-    rows have doc_id and fingerprint; those without an id name no class. Buckets of more than `block`
+def classes(rows: DataFrame, radius: int = RADIUS, block: int = 8192, small: int = 2048) -> DataFrame:
+    """(fingerprint, class_id, n_links): fingerprints joined by steps of at most `radius` bits share the least
+    doc_id of the class; n_links counts the other rows within the radius of one, those of equal fingerprints too.
+
+    rows have doc_id and fingerprint; those without an id take no part. Buckets of more than `block`
     fingerprints are dealt out; in groups of more than `small` blocks are cut again."""
-    reps = hold(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node is not null"))
+    reps = hold(rows.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")))
     cuts = cuts_of(SIZE, radius + 1)
 
     def keys(batches):
@@ -169,35 +212,46 @@ def classes(rows: DataFrame, radius: int = RADIUS, block: int = 8192, small: int
             bits = np.unpackbits(prints, axis=1)
             buckets = np.stack([number(bits[:, a:z]) + (k << FIRST) for k, (a, z) in enumerate(itertools.pairwise(cuts))], 1).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * (radius + 1)), pa.array(buckets.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.tobytes() for p in prints], pa.binary()), lists], names=["node", "print", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.tobytes() for p in prints], pa.binary()), b.column(2), lists], names=["node", "print", "copies", "buckets"])
 
-    keyed = reps.select("node", "fingerprint").mapInArrow(keys, "node long, print binary, buckets array<int>").select("node", "print", F.explode("buckets").alias("bucket"))
+    keyed = reps.select("node", "fingerprint", "copies").mapInArrow(keys, "node long, print binary, copies long, buckets array<int>").select("node", "print", "copies", F.explode("buckets").alias("bucket"))
     full = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # at most 2^FIRST rows a table
-    found = dealt(keyed.join(F.broadcast(full), "bucket"), "bucket", "n", "node", block).select("bucket", "lo", "hi", "part", "node", "print")
-    found = found.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
+    met = dealt(keyed.join(F.broadcast(full), "bucket"), "bucket", "n", "node", block).select("bucket", "lo", "hi", "part", "node", "print", "copies")
+    met = met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
 
     def run(batches):
-        out = []
-        for (bucket, _, _), t in groups(batches, ["bucket", "lo", "hi"]):
+        out: list[tuple] = []
+        for (bucket, lo, hi), t in groups(batches, ["bucket", "lo", "hi"]):
             if t.num_rows < 2:
                 continue
-            node = t.column("node").to_pylist()
+            node, copies, links = np.array(t.column("node")), np.array(t.column("copies")), np.zeros(t.num_rows)
             prints = np.frombuffer(b"".join(t.column("print").to_pylist()), np.uint8).reshape(-1, SIZE // 8)
-            joined, table = Joined(len(node)), bucket >> FIRST
-            shared = slice(cuts[table], min(cuts[table + 1], cuts[table] + FIRST))
-            for i, j in near_pairs(prints, np.array(t.column("part")), shared, radius, small):
-                out += [(node[a], node[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True) if joined.join(a, b)]
+            joined = Joined(len(node))
+            for i, j in near_pairs(prints, np.array(t.column("part")), lo != hi, cuts, bucket >> FIRST, radius, small):
+                links += np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+                out += [(int(node[a]), int(node[b]), None) for a, b in zip(i.tolist(), j.tolist(), strict=True) if joined.join(a, b)]
+            out += [(int(node[a]), None, int(links[a])) for a in np.flatnonzero(links)]
             if len(out) > 10_000:
-                yield edges(out)
+                yield rows_of(out)
                 out = []
-        yield edges(out)
+        yield rows_of(out)
+
+    found = hold(met.mapInArrow(run, "u long, v long, n long"))
+    release(rows.sparkSession)
+    roots = components(found.where("v is not null").select("u", "v")).withColumnRenamed("v", "node")
+    counts = found.where("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+    named = reps.join(roots, "node", "left").join(counts, "node", "left")
+    return named.select("fingerprint", F.coalesce("root", "node").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
 
-    roots = components(found.mapInArrow(run, "u long, v long")).withColumnRenamed("v", "node")
-    return reps.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("class_id"))
+def rows_of(found: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*found, strict=True) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=FOUND)
 
 
 def fingerprint_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fingerprint_rows with class_id, the least doc_id of the fingerprints that hang together within the radius."""
-    rows = hold(fingerprint_rows(docs))
-    release(docs.sparkSession)
-    return rows.join(classes(rows, radius), "fingerprint", "left").select(*RESULT.names, "class_id")
+    """fingerprint_rows with class_id, the least doc_id of the fingerprints that hang together within the radius,
+    and n_links, the number of other rows whose fingerprints lie within it; both are null for the fingerprint of
+    rows without an id alone."""
+    rows = fingerprint_rows(docs)
+    return rows.join(classes(rows, radius), "fingerprint", "left").select(*RESULT.names, "class_id", "n_links")

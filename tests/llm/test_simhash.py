@@ -100,3 +100,38 @@ def test_classes_at_a_wide_radius_equal_brute_force(spark):
         got = {r["fingerprint"]: r["class_id"] for r in simhash.classes(df, 24, block, small).collect()}
         assert all(got[f] == up[k] for k, (_, f) in enumerate(rows))
     assert up[-1] == 1000
+
+
+def test_ranges_of_any_number_and_rows_without_ids(docs, spark):
+    rows = [(None, f"no id {i} {i % 7}") for i in range(40)] + [(i // 3, f"text {i}") for i in range(30)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for parts in ("1", "3", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = simhash.fingerprint_rows(docs(rows))
+            assert got.select("doc_id", "n_chars", "fingerprint").count() == len(rows)
+            found.append(sorted(map(str, (tuple(r) for r in got.collect()))))
+        spark.conf.set("spark.sql.shuffle.partitions", "20000")
+        ranges = docs(rows).repartitionByRange(20_000, "doc_id")  # the form that fingerprint_rows uses plans at any number
+        assert "20000" in ranges._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+
+
+def test_link_counts_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for p in rng.integers(0, 256, (25, 32), dtype=np.uint8):
+        for flips in (0, 0, 9, 12, 14, 20, 24, 25):
+            q = p.copy()
+            for at in rng.choice(256, flips, replace=False):
+                q[at // 8] ^= 1 << (at % 8)
+            rows.append((len(rows), q.tobytes().hex()))
+    bits = np.array([np.frombuffer(bytes.fromhex(f), np.uint8) for _, f in rows])
+    near = (simhash.BIT_COUNT[bits[:, None] ^ bits[None]].sum(2) <= 24).sum(1) - 1
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    for block, small in ((8192, 2048), (8192, 1), (1, 2048), (2, 1)):
+        got = {r["fingerprint"]: r["n_links"] for r in simhash.classes(df, 24, block, small).collect()}
+        assert [got[f] for _, f in rows] == near.tolist()
