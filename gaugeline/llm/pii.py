@@ -1,20 +1,24 @@
 """Personal data: fixed patterns, and terms that the corpus shows to disclose a protected entity.
 
-An entity is one value that a pattern finds (an address, a number). The method is information-theoretic
-sanitisation: a term of a text that holds an entity is weighed by how much of the entity's information it gives away,
+An entity is a value that a pattern finds (an address, a number), or what such values have in common: the
+domain of an address, the first two numbers of an ip, the first six digits of a card, the first four of a
+phone. The method is information-theoretic sanitisation: a term (a word of letters, in small letters) of a
+text that holds an entity is weighed by how much of the entity's information it gives away,
     disclosure = PMI(term; entity) / IC(entity),
     PMI = log2(N n(t, e) / (n(t) n(e))),  IC = log2(N / n(e)),
-where N and n() count distinct texts of the whole corpus, so that copies count once. A disclosure of 1
+where N and n() count distinct whole texts of the whole corpus, so that copies count once. A disclosure of 1
 means that the term occurs in no text without the entity. Terms of at least `remove` are removed, those
-of at least `generalise` are replaced by a general word; a pair must stand in `support` distinct texts.
-A pair's rule holds for every place of the term in each text that holds the entity.
+of at least `generalise` are replaced by a general word, in every text and wherever they stand outside the
+fixed patterns; a pair must stand in `support` distinct texts. A term that discloses several entities is
+treated by the largest disclosure.
 
-Texts are read twice: once for the patterns and the terms beside them, once to count the texts of terms.
-The second reading skips words that cannot be wanted with a bitmap of fixed size, and counts the rest
-exactly; two such bitmaps are all that is sent to tasks.
+Texts are read three times: for the patterns and the terms of texts that hold any, to count the texts of
+terms, and to find the places of those that disclose. The last two skip words that cannot be wanted with a
+bitmap of at most 2^MOST_BITS bits, which is all that is sent to tasks; what the bitmap lets through by
+mistake falls away in a join, so every bitmap gives the same result.
 
 Defined results: a null text counts as empty; rows that repeat a document get equal results; an empty
-table gives no rows; extra columns are ignored, and sanitised() hands them on.
+table gives no rows; extra columns are ignored, and sanitised() hands them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import bisect
 import itertools
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import HASHES, hold, mapped, slices, using, words_of
+from gaugeline.llm.common import HASHES, LETTERS, hold, mapped, slices, using, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns. Email is matched from its @; the local part is the run before it.
@@ -39,8 +44,7 @@ LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ012345678
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:\x20?[0-9]|-[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
-BITS = 22
+MOST_BITS = 24
 
 
 def luhn(digits: str) -> bool:
@@ -76,62 +80,88 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def entity(kind: int, value: str) -> int:
-    value = value.lower() if kind == 0 else re.sub("[^0-9.]" if kind == 1 else "[^0-9]", "", value)
-    return xxhash.xxh3_64_intdigest(f"{KINDS[kind]}:{value}") - 2**63
+def entities_of(kind: int, value: str) -> tuple[int, int]:
+    """Hashes of a value and of what it has in common with others of its kind (see the module's text)."""
+    if kind == 0:
+        value = value.lower()
+        shared = value.rpartition("@")[2]
+    else:
+        value = re.sub("[^0-9.]" if kind == 1 else "[^0-9]", "", value)
+        shared = ".".join(value.split(".")[:2]) if kind == 1 else value[: 6 if kind == 2 else 4]
+    return tuple(xxhash.xxh3_64_intdigest(f"{KINDS[kind]}:{level}:{x}") - 2**63 for level, x in enumerate((value, shared)))
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], list[tuple[str, int, int]]]:
-    """The entities of a text, and (term in small letters, start, end) of its words outside all of them."""
+def outer_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words of a text that touch none of its spans."""
     taken = sorted((a, b) for _, a, b in spans)
     starts = [a for a, _ in taken]
     reach = list(itertools.accumulate((b for _, b in taken), max))
     out = []
-    for m in TERM.finditer(text):
-        k = bisect.bisect_left(starts, m.end())  # the first k entities start before the word ends
+    for m in LETTERS.finditer(text):
+        k = bisect.bisect_left(starts, m.end())  # the first k spans start before the word ends
         if not k or reach[k - 1] <= m.start():
             out.append((m[0].lower(), m.start(), m.end()))
-    return sorted({entity(kind, text[a:b]) for kind, a, b in spans}), out
+    return out
+
+
+def terms_of(token: str) -> list[str]:
+    """The terms of a word between white space."""
+    return [token.lower()] if token.isalpha() else [w.lower() for w in LETTERS.findall(token)]
 
 
-NEAR = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.string()), ("base", pa.string()), *((f"n_{k}", pa.int64()) for k in KINDS), ("entities", pa.list_(pa.int64())), ("near", NEAR)])
+FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.string()), ("base", pa.string()), *((f"n_{k}", pa.int64()) for k in KINDS), ("entities", pa.list_(pa.int64())), ("terms", pa.list_(pa.string()))])
 
 
 def base_pass(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, base, n_email .. n_phone, entities, near) for every row; base is kind:start:end, comma-joined."""
+    """(doc_id, text_hash, base, n_email .. n_phone, entities, terms) for every row; base is kind:start:end,
+    comma-joined; the last two are the distinct ones of a text that holds an entity."""
 
     def run(part: pa.RecordBatch) -> list:
         rows = []
         for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             text = text or ""
             spans = base_spans(text)
-            held, places = near_terms(text, spans) if spans else ([], [])
-            near = [dict(zip(("term", "start", "end"), x, strict=True)) for x in places]
+            held = sorted({e for kind, a, b in spans for e in entities_of(kind, text[a:b])})
+            terms = sorted({t for t, _, _ in outer_terms(text, spans)}) if spans else []
             base = ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
-            rows.append((doc, xxhash.xxh3_128_hexdigest(text), base, *(sum(s[0] == k for s in spans) for k in range(4)), held, near))
+            rows.append((doc, xxhash.xxh3_128_hexdigest(text), base, *(sum(s[0] == k for s in spans) for k in range(4)), held, terms))
         return [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), FOUND, strict=True)]
 
-    schema = "doc_id long, text_hash string, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<long>, near array<struct<term: string, start: long, end: long>>"
+    schema = "doc_id long, text_hash string, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<long>, terms array<string>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(mapped(run, FOUND), schema)
 
 
-def slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+@dataclass(frozen=True)
+class Bitmap:
+    """Which slots of a table of 2^n bits some texts fall in: never misses one of them, lets others through by chance."""
+
+    slots: np.ndarray
+    shift: int
+
+    def __contains__(self, text: str) -> bool:
+        return bool(self.slots[HASHES[text] >> self.shift])
 
 
-def bitmap(values: DataFrame) -> np.ndarray:
-    """Which slots of a fixed number of them the values (one text column) fall in; 2^BITS bits at any scale."""
+def bitmap(values: DataFrame, count: int) -> Bitmap:
+    """The bitmap of one text column of about `count` rows: some sixteen bits a row, 2^MOST_BITS at most."""
+    n = min(MOST_BITS, max(16, (16 * count).bit_length()))
 
     def slots(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(slot(HASHES.of(b.column(0).to_pylist())))], names=["slot"])
+            at = HASHES.of(b.column(0).to_pylist()) >> np.uint64(64 - n)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], names=["slot"])
 
     at = values.mapInArrow(slots, "slot long").select((F.col("slot") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 AS int))").alias("bit"))
-    bits = np.zeros(2**BITS // 64, np.int64)
+    bits = np.zeros(2**n // 64, np.int64)
     for r in at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         bits[r["word"]] = r["bits"]
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+    return Bitmap(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool), 64 - n)
+
+
+def hits(tokens: list[str], wanted: Bitmap) -> list[list[str]]:
+    """For distinct words between white space, which of their terms the bitmap lets through."""
+    using("hashes", HASHES.clear)
+    return [[w for w in terms_of(t) if w in wanted] for t in tokens]
 
 
 def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
@@ -139,12 +169,11 @@ def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFram
 
     A task counts the rows of each wanted term, which gives at most a row a term and task. Texts that
     have copies also leave the task, once each, with their terms; what the copies add is taken off."""
-    copies = found.groupBy("text_hash").agg((F.count(F.lit(1)) - 1).alias("more")).where("more > 0")
-    wanted, copied = bitmap(terms.select("term")), bitmap(copies.select("text_hash"))
+    copies = hold(found.groupBy("text_hash").agg((F.count(F.lit(1)) - 1).alias("more")).where("more > 0"))
+    wanted, copied = bitmap(terms.select("term"), terms.count()), bitmap(copies.select("text_hash"), copies.count())
     schema = pa.schema([("term", pa.string()), ("n", pa.int64()), ("text_hash", pa.string()), ("terms", pa.list_(pa.string()))])
 
     def count(batches):
-        using("hashes", HASHES.clear)
         rows: Counter[str] = Counter()
         seen: dict[str, list[str]] = {}
 
@@ -156,14 +185,14 @@ def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFram
 
         for part in (p for b in batches for p in slices(b)):
             words, texts = words_of(part.column(0)), part.column(0)
-            hit = [[w for w in TERM.findall(t.lower()) if wanted[HASHES[w] >> (64 - BITS)]] for t in words.tokens]
+            hit = hits(words.tokens, wanted)
             full = np.fromiter(map(bool, hit), bool, len(hit))[words.at]
             for i in np.flatnonzero(words.sums(full)):
                 a, b = words.first[i], words.first[i + 1]
                 here = {w for k in set(words.at[a:b][full[a:b]].tolist()) for w in hit[k]}
                 rows.update(here)
                 h = xxhash.xxh3_128_hexdigest(texts[int(i)].as_py())
-                if copied[xxhash.xxh3_64_intdigest(h) >> (64 - BITS)]:
+                if copied.slots[xxhash.xxh3_64_intdigest(h) >> copied.shift]:
                     seen[h] = sorted(here)
             if len(rows) > 300_000 or len(seen) > 20_000:
                 yield from out()
@@ -177,15 +206,14 @@ def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFram
 
 def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.6, remove: float = 0.9, support: int = 2) -> DataFrame:
     """(entity, term, disclosure, action) for pairs whose disclosure reaches `generalise`."""
-    texts_with = found.where(F.size("entities") > 0).dropDuplicates(["text_hash"])
-    held = texts_with.select("text_hash", "entities", F.array_distinct("near.term").alias("terms"))
+    held = found.where(F.size("entities") > 0).dropDuplicates(["text_hash"]).select("text_hash", "entities", "terms")
     entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     # an entity of fewer than `support` texts has no pair that stands in so many
-    recurring = held.select("text_hash", "terms", F.explode("entities").alias("entity")).join(entities.where(F.col("n_entity") >= support), "entity")
+    recurring = held.select("terms", F.explode("entities").alias("entity")).join(entities.where(F.col("n_entity") >= support), "entity")
     pairs = recurring.select("entity", F.explode("terms").alias("term"))
     both = hold(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support))
     texts = found.select("text_hash").distinct().count()
-    terms = both.select("term").distinct()
+    terms = hold(both.select("term").distinct())
     n = both.join(entities, "entity").join(term_counts(docs, found, terms), "term")
     pmi = F.log2(F.lit(float(texts)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     ic = F.log2(F.lit(float(texts)) / F.col("n_entity"))
@@ -193,63 +221,104 @@ def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.6, remov
     return n.withColumn("disclosure", share).where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
+def marked(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(text_hash, terms) of the distinct texts that hold terms of the rules; terms is an array of (start, end, action) in order."""
+    rules = hold(rules.groupBy("term").agg(F.max("action").alias("action")))  # "remove" is the greater text
+    wanted = bitmap(rules.select("term"), rules.count())
+    schema = pa.schema([("text_hash", pa.string()), ("places", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
+
+    def run(part: pa.RecordBatch) -> list:
+        words, texts = words_of(part.column(0)), part.column(0)
+        full = np.fromiter(map(bool, hits(words.tokens, wanted)), bool, len(words.tokens))[words.at]
+        out = []
+        for i in np.flatnonzero(words.sums(full)):
+            text = texts[int(i)].as_py()
+            places = [dict(zip(("term", "start", "end"), x, strict=True)) for x in outer_terms(text, base_spans(text)) if x[0] in wanted]
+            if places:
+                out.append((xxhash.xxh3_128_hexdigest(text), places))
+        return [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else ((), ()), schema, strict=True)]
+
+    places = docs.select(F.col("text").cast("string")).mapInArrow(mapped(run, schema), "text_hash string, places array<struct<term: string, start: long, end: long>>")
+    places = places.dropDuplicates(["text_hash"]).select("text_hash", F.inline("places"))
+    mark = F.struct("start", "end", "action")
+    return hold(places.join(rules, "term").groupBy("text_hash").agg(F.sort_array(F.collect_list(mark)).alias("terms")))  # at most a text's words
+
+
 def find(docs: DataFrame, generalise: float = 0.6, remove: float = 0.9, support: int = 2) -> DataFrame:
     """Every row's doc_id, text_hash, base, n_email .. n_phone and terms, an array of (start, end, action) in order."""
     found = hold(base_pass(docs))
-    rules = disclosing(docs, found, generalise, remove, support)
-    texts_with = found.where(F.size("entities") > 0).dropDuplicates(["text_hash"])
-    ruled = texts_with.select("text_hash", F.explode("entities").alias("entity")).join(rules, "entity").groupBy("text_hash", "term").agg(F.max("action").alias("action"))
-    places = texts_with.join(ruled.select("text_hash").distinct(), "text_hash", "left_semi").select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.*")
-    terms = (
-        places.join(ruled, ["text_hash", "term"])
-        .groupBy("text_hash")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
-    )
-    return found.drop("near", "entities").join(terms, "text_hash", "left")
+    marks = marked(docs, disclosing(docs, found, generalise, remove, support))
+    return found.drop("entities", "terms").join(marks, "text_hash", "left")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, counts, base_sha256 and spans: all spans as kind:start:end, in the order of kinds, then start."""
+    """doc_id, counts, base_sha256 and spans: all spans as kind:start:end, in the order of kinds, then start; n_term counts the terms."""
     terms = F.transform("terms", lambda x: F.concat(F.lit("term:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
     base = F.when(F.col("base") != "", F.array("base")).otherwise(F.array().cast("array<string>"))
     spans = F.array_join(F.concat(base, F.coalesce(terms, F.array().cast("array<string>"))), ",")
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
+    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, or the name with underscores after it, that no column has in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def cleaned(text: str, terms: list[dict]) -> str:
+    spans = [(a, b, f"<{KINDS[k].upper()}>") for k, a, b in base_spans(text)]
+    spans += [(t["start"], t["end"], "" if t["action"] == "remove" else "<TERM>") for t in terms]
+    done, pieces = 0, []
+    for a, b, word in sorted(spans):
+        if a >= done:
+            pieces += [text[done:a], word]
+        done = max(done, b)
+    return "".join([*pieces, text[done:]]) if spans else text
 
 
 def sanitised(docs: DataFrame, **settings: float) -> DataFrame:
-    """The rows with personal data replaced by its kind, disclosing terms removed or generalised, and n_chars, if any, to match."""
-    marks = find(docs, **settings).where("base != '' or terms is not null").groupBy("text_hash").agg(F.min("base").alias("_base"), F.first("terms").alias("_terms"))
+    """The rows with personal data replaced by its kind, disclosing terms removed or generalised, and n_chars, if any, to match.
 
+    Only texts that a bitmap of the marked ones lets through are shuffled, to meet their terms."""
     columns = docs.columns
+    key, terms = unused(columns, "text_hash"), unused(columns, "terms")
+    marks = marked(docs, disclosing(docs, hold(base_pass(docs)), **settings))
+    flagged = bitmap(marks.select("text_hash"), marks.count())
+    at = {n: columns.index(n) for n in ("text", "n_chars") if n in columns}
+
+    def fresh(part: pa.RecordBatch, found: list[list[dict]]) -> pa.RecordBatch:
+        texts = part.column(at["text"]).to_pylist()
+        done = [None if t is None else cleaned(t, x) for t, x in zip(texts, found, strict=True)]
+        out = list(part.columns[: len(columns)])
+        out[at["text"]] = pa.array(done, part.schema.field(at["text"]).type)
+        if "n_chars" in at:
+            sizes = part.column(at["n_chars"]).to_pylist()
+            sizes = [n if old == new else len(new) for old, new, n in zip(texts, done, sizes, strict=True)]
+            out[at["n_chars"]] = pa.array(sizes, part.schema.field(at["n_chars"]).type)
+        return pa.RecordBatch.from_arrays(out, names=columns)
+
+    def parted(part: pa.RecordBatch, through: bool) -> tuple[pa.RecordBatch, list[str]]:
+        """The rows that the bitmap lets through, or the others, and their hashes."""
+        hashes = [xxhash.xxh3_128_hexdigest(t or "") for t in part.column(at["text"]).to_pylist()]
+        here = [bool(flagged.slots[xxhash.xxh3_64_intdigest(h) >> flagged.shift]) == through for h in hashes]
+        return part.filter(pa.array(here, pa.bool_())), [h for h, x in zip(hashes, here, strict=True) if x]
+
+    def plain(batches):
+        for part in (p for b in batches for p in slices(b)):
+            rows, hashes = parted(part, False)
+            yield fresh(rows, [[]] * len(hashes))
 
     def keyed(batches):
         for part in (p for b in batches for p in slices(b)):
-            texts = part.column(part.schema.get_field_index("text")).to_pylist()
-            yield part.append_column("text_hash", pa.array([xxhash.xxh3_128_hexdigest(t or "") for t in texts], pa.string()))
+            rows, hashes = parted(part, True)
+            yield rows.append_column(key, pa.array(hashes, pa.string()))
 
     def clean(batches):
         for part in (p for b in batches for p in slices(b)):
-            at = {n: part.schema.get_field_index(n) for n in part.schema.names}
-            out = []
-            for text, base, terms in zip(*(part.column(at[n]).to_pylist() for n in ("text", "_base", "_terms")), strict=True):
-                spans = [(int(a), int(b), f"<{k.upper()}>") for k, a, b in (s.split(":") for s in base.split(","))] if base else []
-                spans += [(t["start"], t["end"], "" if t["action"] == "remove" else "<TERM>") for t in terms or ()]
-                done, pieces = 0, []
-                for a, b, word in sorted(spans):
-                    if a >= done:
-                        pieces += [text[done:a], word]
-                    done = max(done, b)
-                out.append("".join([*pieces, text[done:]]) if spans else text)
-            fresh = {"text": pa.array(out, pa.string())}
-            if "n_chars" in at:
-                kind = part.schema.field("n_chars").type
-                fresh["n_chars"] = pa.array([n if s is None else len(s) if b or t else n for s, n, b, t in zip(out, *(part.column(at[c]).to_pylist() for c in ("n_chars", "_base", "_terms")), strict=True)], kind)
-            yield pa.RecordBatch.from_arrays([fresh.get(n, part.column(at[n])) for n in columns], names=columns)
-
-    key = docs.where("text is not null").mapInArrow(keyed, _ddl(docs) + ", text_hash string")
-    done = key.join(marks.hint("shuffle_hash"), "text_hash", "left").drop("text_hash").mapInArrow(clean, docs.schema)
-    return done.unionByName(docs.where("text is null"))
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+            yield fresh(part, [x or [] for x in part.column(part.num_columns - 1).to_pylist()])
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    met = docs.mapInArrow(keyed, f"{kinds}, `{key}` string").join(marks.toDF(key, terms), key, "left").select(*(f"`{c}`" for c in columns), terms)
+    return docs.mapInArrow(plain, docs.schema).unionByName(met.mapInArrow(clean, docs.schema))

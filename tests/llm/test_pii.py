@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from gaugeline.llm import pii
@@ -83,3 +84,87 @@ def test_a_term_goes_wherever_it_stands_in_a_text_with_the_entity(docs):
     texts = {r["doc_id"]: r["text"] for r in pii.sanitised(d).collect()}
     assert not any(w in t.lower() for t in texts.values() for w in ("zorblat", "quuxley", "ann@"))
     assert texts[0].count("paragraph") == 4 and texts[7] == rows[7][1]
+
+
+def brute_terms(rows, generalise=0.6, remove=0.9, support=2):
+    """doc_id -> term spans by the definition, over distinct texts, with plain loops."""
+    texts = {t or "" for _, t in rows}
+    spans = {t: [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in brute(t).split(","))] if brute(t) else [] for t in texts}
+
+    def entities(t):
+        out = set()
+        for k, a, b in spans[t]:
+            v = t[a:b].lower() if k == "email" else re.sub("[^0-9.]" if k == "ip" else "[^0-9]", "", t[a:b])
+            out |= {(k, "value", v), (k, "shared", {"email": v.split("@")[-1], "ip": ".".join(v.split(".")[:2]), "card": v[:6], "phone": v[:4]}[k])}
+        return out
+
+    def places(t):
+        return [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if not any(a < m.end() and m.start() < b for _, a, b in spans[t])]
+
+    held = {t: entities(t) for t in texts}
+    words = {t: {m.lower() for m in re.findall(r"[^\W\d_]+", t)} for t in texts}
+    outer = {t: {w for w, _, _ in places(t)} for t in texts}
+    rules = {}
+    for e in set().union(*held.values()):
+        with_e = [t for t in texts if e in held[t]]
+        ic = math.log2(len(texts) / len(with_e))
+        for w in set().union(*(outer[t] for t in with_e)):
+            n_both, n_term = sum(w in outer[t] for t in with_e), sum(w in words[t] for t in texts)
+            if n_both >= support and ic > 0:
+                share = math.log2(len(texts) * n_both / (n_term * len(with_e))) / ic
+                if share >= generalise:
+                    rules[w] = max(rules.get(w, ""), "remove" if share >= remove else "generalise")
+    return {i: [(a, b, rules[w]) for w, a, b in places(t or "") if w in rules] for i, t in rows}
+
+
+def test_term_spans_equal_brute_force(docs):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("", "n", "rst")] + ["Über", "x9y", "it's", "ñandú"]
+    people = [("zorbla Quuxley", "ann@mail.example.com"), ("vrendle", "10.20.30.40"), ("Smorg", "+1 (377) 555-0271"), ("pilk", "4111 1111 1111 1111"), ("hapax", "bob@mail.example.com"), ("wug", "10.20.99.1")]
+    rows = []
+    for i in range(120):
+        words = rng.choices(vocabulary, k=rng.randrange(3, 40))
+        if i % 3 == 0:
+            name, value = people[rng.randrange(len(people))]
+            words[rng.randrange(len(words)) : 0] = [name, "near", value]
+        elif i % 7 == 0:
+            words.append(people[i % len(people)][0])
+        rows.append((i, " ".join(words)))
+    rows += [(200, rows[3][1]), (201, rows[3][1]), (202, None), (203, ""), (None, rows[0][1])]
+    got = {r["doc_id"]: [tuple(x) for x in r["terms"] or ()] for r in pii.find(docs(rows)).collect()}
+    want = brute_terms(rows)
+    assert got == want
+    assert sum(map(len, want.values())) > 20 and {x[2] for v in want.values() for x in v} == {"remove", "generalise"}
+    digest = {r["doc_id"]: r for r in pii.digest(pii.find(docs(rows))).collect()}
+    for i, t in rows:
+        spans = [s for s in [brute(t)] if s] + [f"term:{a}:{b}" for a, b, _ in want[i]]
+        assert digest[i]["spans"] == ",".join(spans) and digest[i]["n_term"] == len(want[i])
+
+
+def test_a_disclosing_term_goes_from_texts_without_the_entity_too(docs):
+    rows = [(i, f"no {i} zorblat ann@mail.example.com sent {i}") for i in range(8)] + [(i, f"plain {i} words of folk") for i in range(8, 80)] + [(99, "zorblat alone here")]
+    texts = {r["doc_id"]: r["text"] for r in pii.sanitised(docs(rows)).collect()}
+    assert not any("zorblat" in t for t in texts.values()) and texts[9] == rows[9][1]
+
+
+def test_clashing_columns_are_handed_on(docs, spark):
+    d = docs([*corpus(), (40, None)]).selectExpr("*", "'h' text_hash", "'b' _base", "'t' terms", "'e' entities", "7 Text_Hash_")
+    out = pii.sanitised(d)
+    assert out.columns == d.columns and out.count() == 41
+    assert {(r["text_hash"], r["_base"], r["terms"], r["Text_Hash_"]) for r in out.collect()} == {("h", "b", "t", 7)}
+    assert pii.digest(pii.find(d)).count() == 41
+
+
+def test_the_given_documents_get_term_spans(spark):
+    rows = pii.digest(pii.find(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))).agg({"n_term": "sum"}).first()
+    assert rows[0] > 0
+
+
+def test_very_long_texts_and_small_bitmaps(docs, monkeypatch):
+    rows = [(i, f"no {i} zorblat ann@mail.example.com sent {i} " + "plain words " * (20_000 if i == 0 else 2)) for i in range(4)] + [(i, f"plain {i} words") for i in range(4, 60)]
+    want = {r["doc_id"]: r["text"] for r in pii.sanitised(docs(rows)).collect()}
+    assert len(want[0]) > 200_000 and "zorblat" not in want[0]
+    monkeypatch.setattr(pii, "MOST_BITS", 16)
+    assert want == {r["doc_id"]: r["text"] for r in pii.sanitised(docs(rows)).collect()}
