@@ -3,10 +3,10 @@
 Terms are the distinct words of a text (A-Z small), of weight 2, and its distinct pairs of neighbouring
 words, of weight 1. Each term's 256-bit hash votes with its weight on the bits. Links: a fingerprint is cut
 into radius + 1 blocks, one of which two fingerprints within the radius must share, so a table a block (a
-permutation of the bits that puts the block first) finds them all. In a large bucket the other bits are cut
-into radius + 1 blocks again, so only fingerprints that share a block of either cut are compared (each
+permutation of the bits that puts the block first) finds them all. The other bits of a very large bucket are
+cut into radius + 1 blocks again, so that only fingerprints that share a block of either cut meet (each
 combination of two blocks is a permutation). A link counts in the first table, and there in the first
-combination, that finds it. Equal fingerprints are one, and buckets are dealt out in pairs of parts of
+combination, that finds it. Equal fingerprints are one, and large buckets are dealt out in pairs of parts of
 bounded size; what leaves a task is its links reduced to a tree, and how many each fingerprint has.
 
 Defined results: a null text counts as empty, the fingerprint of no terms is all zeros; equal texts have
@@ -85,17 +85,14 @@ def outcome(ids: list, texts: list[str], prints: np.ndarray, following: list[str
     ]
 
 
-def fingerprint_rows(docs: DataFrame) -> DataFrame:
-    """Every row's doc_id, n_chars, fingerprint, and the edited text's, with the next row in descending order of doc_id.
-
-    Rows are dealt to ranges of (doc_id, hash of the text, place), one shuffle of the texts, so that ids
-    that many rows share are split too. A range knows the followers of all its rows but the last; it hands
-    on the texts of its first and its last row, and the last ones are joined with the first of the next range."""
-    spark = docs.sparkSession
+def ranged(docs: DataFrame) -> DataFrame:
+    """Rows of STEP, from one shuffle of the texts to ranges of (doc_id, hash of the text, place); ids that
+    many rows share are split too. A range knows the followers of all its rows but the last, and hands on the
+    texts of its first and its last row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
     order = [F.desc_nulls_last("doc_id"), F.asc("tie"), F.asc("place")]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranges = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
@@ -114,8 +111,15 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
         if held:
             yield edge(LAST_ROW, held[0], held[1])
 
-    step = hold(ranges.mapInArrow(run, RESULT_DDL + ", part int, kind int, text string"))
-    release(spark)
+    return hold(ranges.mapInArrow(run, RESULT_DDL + ", part int, kind int, text string"))
+
+
+def fingerprint_rows(docs: DataFrame) -> DataFrame:
+    """Every row's doc_id, n_chars, fingerprint, and the edited text's, with the next row in descending order of
+    doc_id: within ranges as ranged() has them, and the last row of a range with the first of the next."""
+    spark = docs.sparkSession
+    step = ranged(docs)
+    release(spark)  # the shuffled texts, as soon as the frames that read them are gone
     full = [r["part"] for r in step.where(F.col("kind") == FIRST_ROW).select("part").orderBy("part").collect()]  # a number a range
     after = spark.createDataFrame(list(zip(full, full[1:] + full[:1], strict=True)), "part int, next int")
     firsts = step.where(F.col("kind") == FIRST_ROW).select(F.col("part").alias("next"), F.col("text").alias("following"))
@@ -147,87 +151,91 @@ def first_shared(apart: np.ndarray, cuts: list[int]) -> np.ndarray:
     return (np.add.reduceat(apart & leading, cuts[:-1], axis=1) == 0).argmax(1)
 
 
-def near_pairs(prints: np.ndarray, part: np.ndarray, cross: bool, cuts: list[int], table: int, radius: int, small: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius that no table before finds: all of one part, or with `cross` only those across two.
-
-    The fingerprints share the leading bits of block `table` of `cuts`. Each pair comes once."""
+def near_pairs(prints: np.ndarray, radius: int, part: np.ndarray, cross: bool, cells: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius, each once: all of one part, or with `cross` only those across two."""
     lanes = prints.view(np.uint64)
-
-    def own(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return first_shared(np.unpackbits(prints[i] ^ prints[j], axis=1), cuts) == table
-
-    if len(prints) <= small:
-        rows = max(1, 400_000 // len(prints))
-        for at in range(0, len(prints), rows):
-            head, apart = lanes[at : at + rows], np.zeros((len(lanes[at : at + rows]), len(lanes) - at), np.uint16)
-            for k in range(lanes.shape[1]):
-                apart += np.bitwise_count(head[:, k, None] ^ lanes[at:, k])
-            i, j = np.nonzero(apart <= radius)
-            keep = i < j
-            i, j = i[keep] + at, j[keep] + at
-            if cross:
-                keep = part[i] != part[j]
-                i, j = i[keep], j[keep]
-            if len(i):
-                keep = own(i, j)
-                yield i[keep], j[keep]
-        return
-    skip = slice(cuts[table], min(cuts[table + 1], cuts[table] + FIRST))
-    rest = np.delete(np.unpackbits(prints, axis=1), skip, axis=1)
-    inner = cuts_of(rest.shape[1], radius + 1)
-    for c, (a, b) in enumerate(itertools.pairwise(inner)):
-        key = number(rest[:, a:b])
-        order = np.argsort(key, kind="stable")
-        key, at = key[order], np.arange(len(order) - 1)
-        for lag in range(1, len(order)):
-            at = at[at + lag < len(order)]
-            at = at[key[at] == key[at + lag]]  # a run of equal keys that ends here is no longer for larger lags
-            if not len(at):
-                break
-            i, j = order[at], order[at + lag]
-            near = np.bitwise_count(lanes[i] ^ lanes[j]).sum(1, dtype=np.int64) <= radius
-            if cross:
-                near &= part[i] != part[j]
-            i, j = i[near], j[near]
-            if len(i):
-                keep = (first_shared(rest[i] ^ rest[j], inner) == c) & own(i, j)
-                yield i[keep], j[keep]
+    rows = max(1, cells // len(prints))
+    for at in range(0, len(prints), rows):
+        head = lanes[at : at + rows]
+        apart = np.zeros((len(head), len(lanes) - at), np.uint16)
+        for k in range(lanes.shape[1]):
+            apart += np.bitwise_count(head[:, k, None] ^ lanes[at:, k])
+        i, j = np.nonzero(apart <= radius)
+        keep = i < j
+        i, j = i[keep] + at, j[keep] + at
+        if cross:
+            keep = part[i] != part[j]
+            i, j = i[keep], j[keep]
+        if len(i):
+            yield i, j
+
+
+def inner_cuts(table: int, cuts: list[int], radius: int) -> tuple[np.ndarray, list[int]]:
+    """The bits that are cut inside a bucket of `table`, those but its leading ones, and their borders; all bits for -1."""
+    inside = np.ones(SIZE, bool)
+    if table >= 0:
+        inside[cuts[table] : min(cuts[table + 1], cuts[table] + FIRST)] = False
+    return np.flatnonzero(inside), cuts_of(int(inside.sum()), radius + 1)
 
 
 FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
 
-def classes(rows: DataFrame, radius: int = RADIUS, block: int = 8192, small: int = 2048) -> DataFrame:
+def classes(rows: DataFrame, radius: int = RADIUS, block: int = 2048, most: int | None = None) -> DataFrame:
     """(fingerprint, class_id, n_links): fingerprints joined by steps of at most `radius` bits share the least
     doc_id of the class; n_links counts the other rows within the radius of one, those of equal fingerprints too.
 
-    rows have doc_id and fingerprint; those without an id take no part. Buckets of more than `block`
-    fingerprints are dealt out; in groups of more than `small` blocks are cut again."""
-    reps = hold(rows.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")))
+    rows have doc_id and fingerprint; those without an id take no part. Buckets of more than `most` fingerprints
+    (by default where a second cut sends each fewer times than dealing would) are cut again; buckets of more
+    than `block` are dealt out."""
+    most = block * (radius + 1) if most is None else most
+    reps = rows.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    reps = hold(reps.select("node", F.unhex("fingerprint").alias("print"), "copies", "fingerprint"))
     cuts = cuts_of(SIZE, radius + 1)
 
-    def keys(batches):
+    def tables(batches):
+        """Each fingerprint's buckets: table and leading bits of the block; `bucket` -1 asks for the first cut."""
         for b in batches:
-            prints = np.frombuffer(bytes.fromhex("".join(b.column(1).to_pylist())), np.uint8).reshape(-1, SIZE // 8)
+            prints = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, SIZE // 8)
             bits = np.unpackbits(prints, axis=1)
-            buckets = np.stack([number(bits[:, a:z]) + (k << FIRST) for k, (a, z) in enumerate(itertools.pairwise(cuts))], 1).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * (radius + 1)), pa.array(buckets.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.tobytes() for p in prints], pa.binary()), b.column(2), lists], names=["node", "print", "copies", "buckets"])
-
-    keyed = reps.select("node", "fingerprint", "copies").mapInArrow(keys, "node long, print binary, copies long, buckets array<int>").select("node", "print", "copies", F.explode("buckets").alias("bucket"))
-    full = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # at most 2^FIRST rows a table
-    met = dealt(keyed.join(F.broadcast(full), "bucket"), "bucket", "n", "node", block).select("bucket", "lo", "hi", "part", "node", "print", "copies")
-    met = met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
+            before = np.array(b.column(3))
+            out = np.empty((len(bits), radius + 1), np.int32)
+            for bucket in np.unique(before >> FIRST):  # rows of one table of the first cut leave out the same bits
+                here = np.flatnonzero(before >> FIRST == bucket)
+                inside, borders = inner_cuts(int(bucket), cuts, radius)
+                rest = bits[np.ix_(here, inside)]
+                for k, (a, z) in enumerate(itertools.pairwise(borders)):
+                    out[here, k] = number(rest[:, a:z]) + (k << FIRST)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * (radius + 1)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=["node", "print", "copies", "bucket", "found"])
+
+    cut = lambda df: df.mapInArrow(tables, "node long, print binary, copies long, bucket int, found array<int>").withColumn("found", F.explode("found"))
+    keyed = cut(reps.select("node", "print", "copies", F.lit(-1).alias("bucket"))).select("node", "print", "copies", F.col("found").alias("bucket"))
+    sizes = hold(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # at most 2^FIRST rows a table
+    keyed = keyed.join(F.broadcast(sizes), "bucket")
+    met = keyed.where(F.col("n") <= most).withColumn("inner", F.lit(-1))
+    if sizes.where(F.col("n") > most).count():
+        again = cut(keyed.where(F.col("n") > most).select("node", "print", "copies", "bucket")).withColumnRenamed("found", "inner")
+        counts = again.groupBy("bucket", "inner").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = met.unionByName(again.join(counts, ["bucket", "inner"]))
+    key = ["bucket", "inner", "lo", "hi"]
+    met = dealt(met, "bucket", "n", "node", block).select(*key, "part", "node", "print", "copies")
+    met = met.repartition(*key).sortWithinPartitions(*key, "node")
 
     def run(batches):
         out: list[tuple] = []
-        for (bucket, lo, hi), t in groups(batches, ["bucket", "lo", "hi"]):
+        for (bucket, inner, lo, hi), t in groups(batches, key):
             if t.num_rows < 2:
                 continue
             node, copies, links = np.array(t.column("node")), np.array(t.column("copies")), np.zeros(t.num_rows)
             prints = np.frombuffer(b"".join(t.column("print").to_pylist()), np.uint8).reshape(-1, SIZE // 8)
-            joined = Joined(len(node))
-            for i, j in near_pairs(prints, np.array(t.column("part")), lo != hi, cuts, bucket >> FIRST, radius, small):
+            joined, (inside, borders) = Joined(len(node)), inner_cuts(bucket >> FIRST, cuts, radius)
+            for i, j in near_pairs(prints, radius, np.array(t.column("part")), lo != hi):
+                apart = np.unpackbits(prints[i] ^ prints[j], axis=1)
+                own = first_shared(apart, cuts) == bucket >> FIRST
+                if inner >= 0:
+                    own &= first_shared(apart[:, inside], borders) == inner >> FIRST
+                i, j = i[own], j[own]
                 links += np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
                 out += [(int(node[a]), int(node[b]), None) for a, b in zip(i.tolist(), j.tolist(), strict=True) if joined.join(a, b)]
             out += [(int(node[a]), None, int(links[a])) for a in np.flatnonzero(links)]

@@ -96,8 +96,8 @@ def test_classes_at_a_wide_radius_equal_brute_force(spark):
     for _ in range(len(rows)):
         up = np.array([up[near[i]].min() for i in range(len(rows))])
     df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
-    for block, small in ((8192, 512), (8192, 1), (1, 1)):
-        got = {r["fingerprint"]: r["class_id"] for r in simhash.classes(df, 24, block, small).collect()}
+    for block, most in ((2048, None), (2048, 1), (1, 1)):
+        got = {r["fingerprint"]: r["class_id"] for r in simhash.classes(df, 24, block, most).collect()}
         assert all(got[f] == up[k] for k, (_, f) in enumerate(rows))
     assert up[-1] == 1000
 
@@ -132,6 +132,6 @@ def test_link_counts_equal_brute_force(spark):
     bits = np.array([np.frombuffer(bytes.fromhex(f), np.uint8) for _, f in rows])
     near = (simhash.BIT_COUNT[bits[:, None] ^ bits[None]].sum(2) <= 24).sum(1) - 1
     df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
-    for block, small in ((8192, 2048), (8192, 1), (1, 2048), (2, 1)):
-        got = {r["fingerprint"]: r["n_links"] for r in simhash.classes(df, 24, block, small).collect()}
+    for block, most in ((2048, None), (2048, 1), (1, None), (1, 10**6), (2, 1)):
+        got = {r["fingerprint"]: r["n_links"] for r in simhash.classes(df, 24, block, most).collect()}
         assert [got[f] for _, f in rows] == near.tolist()
