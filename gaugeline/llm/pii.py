@@ -14,7 +14,7 @@ treated by the largest disclosure.
 
 Texts are read three times: for the patterns and the terms of texts that hold any, to count the texts of
 terms, and to find the places of those that disclose. The last two skip words that cannot be wanted with a
-bitmap of at most 2^MOST_BITS bits, which is all that is sent to tasks; what the bitmap lets through by
+Bloom filter of at most 2^MOST_BITS bits, which is all that is sent to tasks; what the bitmap lets through by
 mistake falls away in a join, so every bitmap gives the same result.
 
 Defined results: a null text counts as empty; rows that repeat a document get equal results; an empty
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import HASHES, LETTERS, hold, mapped, slices, using, words_of
+from gaugeline.llm.common import LETTERS, hold, mapped, slices, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns. Email is matched from its @; the local part is the run before it.
@@ -133,35 +133,58 @@ def base_pass(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Bitmap:
-    """Which slots of a table of 2^n bits some texts fall in: never misses one of them, lets others through by chance."""
+    """A Bloom filter of three slots a text, in a table of 2^bits: never misses one of its texts, lets others
+    through by chance."""
 
     slots: np.ndarray
-    shift: int
+    bits: int
+
+    @staticmethod
+    def places(hashes: np.ndarray, bits: int) -> np.ndarray:
+        return np.stack([(hashes >> np.uint64(s)) & np.uint64(2**bits - 1) for s in (40, 20, 0)]).astype(np.int64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        return self.slots[self.places(hashes, self.bits)].all(0)
 
     def __contains__(self, text: str) -> bool:
-        return bool(self.slots[HASHES[text] >> self.shift])
+        return bool(self.has(np.array([xxhash.xxh3_64_intdigest(text)], np.uint64))[0])
 
 
 def bitmap(values: DataFrame, count: int) -> Bitmap:
-    """The bitmap of one text column of about `count` rows: some sixteen bits a row, 2^MOST_BITS at most."""
-    n = min(MOST_BITS, max(16, (16 * count).bit_length()))
+    """The bitmap of one text column of about `count` rows: 64 bits a row or more, 2^MOST_BITS at most."""
+    n = min(MOST_BITS, max(16, (64 * count).bit_length()))
 
     def slots(batches):
         for b in batches:
-            at = HASHES.of(b.column(0).to_pylist()) >> np.uint64(64 - n)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], names=["slot"])
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, b.column(0).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(Bitmap.places(hashes, n)))], names=["slot"])
 
     at = values.mapInArrow(slots, "slot long").select((F.col("slot") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 AS int))").alias("bit"))
     bits = np.zeros(2**n // 64, np.int64)
     for r in at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         bits[r["word"]] = r["bits"]
-    return Bitmap(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool), 64 - n)
+    return Bitmap(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool), n)
+
 
+class Hits(dict):
+    """Word between white space -> those of its terms that a bitmap lets through; up to `most` words are kept."""
 
-def hits(tokens: list[str], wanted: Bitmap) -> list[list[str]]:
-    """For distinct words between white space, which of their terms the bitmap lets through."""
-    using("hashes", HASHES.clear)
-    return [[w for w in terms_of(t) if w in wanted] for t in tokens]
+    most = 300_000
+
+    def __init__(self, wanted: Bitmap) -> None:
+        super().__init__()
+        self.wanted = wanted
+
+    def of(self, tokens: list[str]) -> list[tuple[str, ...]]:
+        if len(self) > self.most:
+            self.clear()
+        new = [t for t in tokens if t not in self]
+        terms = [terms_of(t) for t in new]
+        flat = [w for ws in terms for w in ws]
+        good = iter(self.wanted.has(np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))).tolist())
+        for t, ws in zip(new, terms, strict=True):
+            self[t] = tuple([w for w in ws if next(good)])
+        return [self[t] for t in tokens]
 
 
 def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
@@ -170,11 +193,11 @@ def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFram
     A task counts the rows of each wanted term, which gives at most a row a term and task. Texts that
     have copies also leave the task, once each, with their terms; what the copies add is taken off."""
     copies = hold(found.groupBy("text_hash").agg((F.count(F.lit(1)) - 1).alias("more")).where("more > 0"))
-    wanted, copied = bitmap(terms.select("term"), terms.count()), bitmap(copies.select("text_hash"), copies.count())
+    wanted, copied = bitmap(terms, terms.count()), bitmap(copies.select("text_hash"), copies.count())
     schema = pa.schema([("term", pa.string()), ("n", pa.int64()), ("text_hash", pa.string()), ("terms", pa.list_(pa.string()))])
 
     def count(batches):
-        rows: Counter[str] = Counter()
+        hits, rows = Hits(wanted), Counter()
         seen: dict[str, list[str]] = {}
 
         def out():
@@ -185,14 +208,14 @@ def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFram
 
         for part in (p for b in batches for p in slices(b)):
             words, texts = words_of(part.column(0)), part.column(0)
-            hit = hits(words.tokens, wanted)
+            hit = hits.of(words.tokens)
             full = np.fromiter(map(bool, hit), bool, len(hit))[words.at]
             for i in np.flatnonzero(words.sums(full)):
                 a, b = words.first[i], words.first[i + 1]
                 here = {w for k in set(words.at[a:b][full[a:b]].tolist()) for w in hit[k]}
                 rows.update(here)
                 h = xxhash.xxh3_128_hexdigest(texts[int(i)].as_py())
-                if copied.slots[xxhash.xxh3_64_intdigest(h) >> copied.shift]:
+                if h in copied:
                     seen[h] = sorted(here)
             if len(rows) > 300_000 or len(seen) > 20_000:
                 yield from out()
@@ -204,7 +227,7 @@ def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFram
     return all_rows.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms, "term", "left_semi")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.6, remove: float = 0.9, support: int = 2) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
     """(entity, term, disclosure, action) for pairs whose disclosure reaches `generalise`."""
     held = found.where(F.size("entities") > 0).dropDuplicates(["text_hash"]).select("text_hash", "entities", "terms")
     entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
@@ -227,24 +250,28 @@ def marked(docs: DataFrame, rules: DataFrame) -> DataFrame:
     wanted = bitmap(rules.select("term"), rules.count())
     schema = pa.schema([("text_hash", pa.string()), ("places", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
 
-    def run(part: pa.RecordBatch) -> list:
-        words, texts = words_of(part.column(0)), part.column(0)
-        full = np.fromiter(map(bool, hits(words.tokens, wanted)), bool, len(words.tokens))[words.at]
-        out = []
-        for i in np.flatnonzero(words.sums(full)):
-            text = texts[int(i)].as_py()
-            places = [dict(zip(("term", "start", "end"), x, strict=True)) for x in outer_terms(text, base_spans(text)) if x[0] in wanted]
-            if places:
-                out.append((xxhash.xxh3_128_hexdigest(text), places))
-        return [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else ((), ()), schema, strict=True)]
-
-    places = docs.select(F.col("text").cast("string")).mapInArrow(mapped(run, schema), "text_hash string, places array<struct<term: string, start: long, end: long>>")
+    def run(batches):
+        hits = Hits(wanted)
+        for part in (p for b in batches for p in slices(b)):
+            words, texts, out = words_of(part.column(0)), part.column(0), []
+            hit = hits.of(words.tokens)
+            full = np.fromiter(map(bool, hit), bool, len(hit))[words.at]
+            for i in np.flatnonzero(words.sums(full)):
+                a, b = words.first[i], words.first[i + 1]
+                here = {w for k in set(words.at[a:b][full[a:b]].tolist()) for w in hit[k]}
+                text = texts[int(i)].as_py()
+                places = [{"term": w, "start": x, "end": y} for w, x, y in outer_terms(text, base_spans(text)) if w in here]
+                if places:
+                    out.append((xxhash.xxh3_128_hexdigest(text), places))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else ((), ()), schema, strict=True)], schema=schema)
+
+    places = docs.select(F.col("text").cast("string")).mapInArrow(run, "text_hash string, places array<struct<term: string, start: long, end: long>>")
     places = places.dropDuplicates(["text_hash"]).select("text_hash", F.inline("places"))
     mark = F.struct("start", "end", "action")
     return hold(places.join(rules, "term").groupBy("text_hash").agg(F.sort_array(F.collect_list(mark)).alias("terms")))  # at most a text's words
 
 
-def find(docs: DataFrame, generalise: float = 0.6, remove: float = 0.9, support: int = 2) -> DataFrame:
+def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
     """Every row's doc_id, text_hash, base, n_email .. n_phone and terms, an array of (start, end, action) in order."""
     found = hold(base_pass(docs))
     marks = marked(docs, disclosing(docs, found, generalise, remove, support))
@@ -302,7 +329,7 @@ def sanitised(docs: DataFrame, **settings: float) -> DataFrame:
     def parted(part: pa.RecordBatch, through: bool) -> tuple[pa.RecordBatch, list[str]]:
         """The rows that the bitmap lets through, or the others, and their hashes."""
         hashes = [xxhash.xxh3_128_hexdigest(t or "") for t in part.column(at["text"]).to_pylist()]
-        here = [bool(flagged.slots[xxhash.xxh3_64_intdigest(h) >> flagged.shift]) == through for h in hashes]
+        here = (flagged.has(np.fromiter(map(xxhash.xxh3_64_intdigest, hashes), np.uint64, len(hashes))) == through).tolist()
         return part.filter(pa.array(here, pa.bool_())), [h for h, x in zip(hashes, here, strict=True) if x]
 
     def plain(batches):

@@ -86,7 +86,7 @@ def test_a_term_goes_wherever_it_stands_in_a_text_with_the_entity(docs):
     assert texts[0].count("paragraph") == 4 and texts[7] == rows[7][1]
 
 
-def brute_terms(rows, generalise=0.6, remove=0.9, support=2):
+def brute_terms(rows, generalise=0.8, remove=0.95, support=2):
     """doc_id -> term spans by the definition, over distinct texts, with plain loops."""
     texts = {t or "" for _, t in rows}
     spans = {t: [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in brute(t).split(","))] if brute(t) else [] for t in texts}
