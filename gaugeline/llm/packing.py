@@ -9,8 +9,9 @@ room that patterns leave and then into new sequences. This is done for a few cla
 plan with the fewest sequences is taken.
 
 The plan is a table of intervals: ranks a to b of the pieces of one length go to sequences from s, at
-offset o. A piece's rank among those of its length comes from a window over (length, salt), so that
-a length that holds a third of the pieces is ranked in many tasks.
+offset o. It is all that is sent to tasks, and the histogram bounds it: it has at most three intervals a pattern
+(of which there are some (size / width)^2 / 6) and a few a length, however many pieces there are. A piece's rank among those of its length comes from a window over (length, salt) of about `group` rows, so
+that a length that holds a third of the pieces is ranked in as many tasks as it needs.
 
 Defined results: a null text counts as empty, and an empty text is the end token alone; rows that
 repeat a doc_id are packed each for itself; an empty table gives no rows; extra columns are ignored.
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm.common import hold, mapped, using, words_of
 
-SALTS = 64
 #: A word of Latin letters, then at most one run of marks: each is one word to the tokenizer.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:;=?@*#$%^~|]*)")
 
@@ -279,16 +279,21 @@ def plan(hist: dict[int, int], size: int, widths: tuple[int, ...] = (4, 8, 16, 3
     return Plan(base, base[r[:, 0]] + r[:, 1], r[:, 2], r[:, 3], r[:, 4], r[:, 0], sequences)
 
 
-def pack(rows: DataFrame, size: int = 4096) -> DataFrame:
+def pack(rows: DataFrame, size: int = 4096, group: int = 200_000) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length (1 to size)."""
-    rows = hold(rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    counts = hold(rows.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")))  # at most size x SALTS rows
-    made = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)
+    columns = rows.columns
+    rows = hold(rows)
+    lengths = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n"))  # at most `size` rows
+    made = plan({r["length"]: r["n"] for r in lengths.collect()}, size)
+    salts = lengths.select("length", F.ceil(F.col("n") / F.lit(group)).alias("_salts"))
+    salted = rows.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64(*(c for c in columns if c != "ids")), F.col("_salts")))
+    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece"))
-    ranked = rows.withColumn("_rank", within).join(F.broadcast(starts), ["length", "_salt"])
-    ranked = ranked.select(*rows.columns[:-1], (F.col("_rank") - 1 + F.col("_before")).alias("_rank"))
+    # both sides are dealt by length and salt; a row a group is what `starts` has
+    ranked = salted.withColumn("_rank", within).join(starts, ["length", "_salt"])
+    ranked = ranked.select(*columns, (F.col("_rank") - 1 + F.col("_before")).alias("_rank"))
 
     def run(batches):
         for b in batches:
