@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, buck
 def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row of each group of near-duplicates, the one with the least doc_id, with the columns it came with.
 
-    Of rows that repeat a kept doc_id one stays; all rows without an id stay."""
+    Rows that repeat a kept doc_id stay once for each text; all rows without an id stay."""
     kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    with_id = docs.where(F.col("doc_id").isNotNull())
-    return with_id.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    with_id = docs.where(F.col("doc_id").isNotNull()).join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    # dealt by doc_id already, so that copies of an id are told apart without another shuffle
+    return with_id.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
