@@ -7,7 +7,6 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from gaugeline.llm import crf_langid, kmeans_tree, near_dedup, packing, piece_codec, pii, quality, simhash, toxicity, url_trees
 from gaugeline.llm.common import table
 
@@ -57,7 +56,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_url_filters, op2_packing, op3_pii, op4_language, op5_near_dedup, op6_fingerprints, op7_neighbours, op8_toxicity, op9_quality, op10_pieces)}
+    return {f.__name__: f for f in (op1_url_filters, op2_packing, op3_pii, op4_language, op5_near_dedup, op6_fingerprints, op7_neighbours, op8_toxicity, op9_quality, op10_pieces)}
 
 
 #: Full shingle sets, pairs that share a shingle, and the closure of the links; for small tables only.

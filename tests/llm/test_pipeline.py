@@ -5,8 +5,8 @@ import sys
 from pathlib import Path
 
 import corpus_pipeline
+from __spark_entry__ import oracle_sql, queries
 from gaugeline.llm import near_dedup, quality, toxicity
-from gaugeline.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[2]
@@ -31,7 +31,7 @@ def test_every_stage_takes_effect(spark, tmp_path):
         elif name == "quality":
             want = quality.score(docs, quality.fit(docs, labels)).where("predicted = 1")
         elif name == "near_dedup":
-            want = near_dedup.near_duplicates(docs).where("kept")
+            want = near_dedup.near_duplicates(docs, 80).where("kept")
         else:
             want = docs
         if name == "packing":
@@ -59,3 +59,16 @@ def test_the_entry_module_works_without_the_subpackage(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') for n in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
     n, m, has = said.stdout.split()
     assert n == m and has == "False"
+
+
+def test_nulls_empty_tables_and_extra_columns_pass_all_stages(spark, docs, tmp_path):
+    rows = [(i, f"row {i} of plain words that say little about anything, told once more by {i}") for i in range(30)]
+    rows += [(None, "no id at all"), (None, None), (31, None), (32, ""), (3, rows[3][1]), (5, "another text under an id that is taken"), (33, "word " * 30_000)]
+    for k, d in enumerate((docs(rows), docs([]))):
+        columns = d.columns
+        for name, stage in corpus_pipeline.STAGES:
+            d.write.parquet(str(tmp_path / f"{k}{name}"))
+            d = stage(spark, spark.read.parquet(str(tmp_path / f"{k}{name}")), SF)
+            if name != "packing":
+                assert d.columns == columns
+        assert k == 0 or d.count() == 0
