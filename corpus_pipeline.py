@@ -7,7 +7,6 @@ as Parquet in the shared folder that the session names in spark.checkpoint.dir a
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugeline.llm import near_dedup, packing, pii, quality, toxicity
 from gaugeline.llm.common import table
+from gaugeline.shared import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over documents."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gaugeline-")
-    at, docs = f"{top}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    at, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}_{name}")
         docs = spark.read.parquet(f"{at}/{k}_{name}")
