@@ -5,7 +5,8 @@ depth, digit ratio, entropy, parameter counts, suffix statistics), their bins, t
 CASE expressions. Training is a Spark aggregate a level: labelled URLs are grouped into cells of equal
 bins once, and each level of each tree sums gradients and hessians by (node, feature, bin); the driver
 sees at most nodes x features x bins sums and picks the splits. Labels of the query are the verdicts
-of the rules on the URLs that they fit, weighed so that both verdicts count alike.
+of the rules on the URLs that they fit, weighed so that both verdicts count alike. The statistics of a
+suffix or site that a labelled URL is trained with leave out the URLs of its own fold.
 
 Defined results: a null url, or one without ://, has an empty host and path and no rule, and is judged
 by the trees; without labels of both kinds the trees are constant, and a tie allows; repeated rows get
@@ -79,7 +80,8 @@ def with_lexical(df: DataFrame, url: str = "url") -> DataFrame:
 
 @dataclass
 class Model:
-    """Bin borders of every feature; trees as (feature, cut, leaf) of complete trees; suffix tables of at most `most` rows."""
+    """Bin borders of every feature; trees as (feature, cut, leaf) of complete trees; statistics of every suffix
+    and site of the labelled rows, of which there are no more than of those rows."""
 
     suffixes: DataFrame
     sites: DataFrame
@@ -88,9 +90,10 @@ class Model:
     trees: list[tuple[list[int], list[int], list[float]]] = field(default_factory=list)
 
     def joined(self, df: DataFrame) -> DataFrame:
-        """Adds the suffix statistics; both tables are bounded, so they are broadcast."""
-        df = df.join(F.broadcast(self.suffixes), "suffix", "left").join(F.broadcast(self.sites), "site", "left")
-        return df.withColumns({c: F.coalesce(c, F.lit(0.0 if c.endswith("rows") else 0.5)) for c in NUMERIC[-4:]})
+        """Adds the suffix statistics; Spark broadcasts the tables while they are small."""
+        for key, table in (("suffix", self.suffixes), ("site", self.sites)):
+            df = df.join(table, key, "left")
+        return with_rates(df)
 
     def binned(self, df: DataFrame) -> DataFrame:
         return df.withColumns({f"b{j}": sum((F.col(c) > e).cast("int") for e in self.edges[j]) if self.edges[j] else F.lit(0) for j, c in enumerate(NUMERIC)})
@@ -114,22 +117,34 @@ class Model:
         return out
 
 
-def suffix_table(rows: DataFrame, key: str, to: str, most: int) -> DataFrame:
-    """Rows and smoothed block rate of the `most` most frequent values of key."""
-    n, pos = F.sum(F.lit(1)).cast("double"), F.sum("y").cast("double")
-    out = rows.groupBy(key).agg(F.log1p(n).alias(f"f_{to}_rows"), ((pos + 1) / (n + 2)).alias(f"f_{to}_rate"))
-    return hold(out.orderBy(F.desc(f"f_{to}_rows"), key).limit(most))
+def with_rates(df: DataFrame) -> DataFrame:
+    """Turns n_ and pos_ of suffix and site into the logarithm of the rows and the smoothed block rate."""
+    for k in ("suffix", "site"):
+        n, pos = F.coalesce(f"n_{k}", F.lit(0.0)), F.coalesce(f"pos_{k}", F.lit(0.0))
+        df = df.withColumns({f"f_{k}_rows": F.log1p(n), f"f_{k}_rate": (pos + 1) / (n + 2)}).drop(f"n_{k}", f"pos_{k}")
+    return df
 
 
-def fit(labelled: DataFrame, trees: int = 12, depth: int = 3, rate: float = 0.3, l2: float = 1.0, most: int = 256, bound: int = 200_000) -> Model:
+def counted(rows: DataFrame, key: str, *by: str) -> DataFrame:
+    """Labelled rows and blocked ones of every value of key."""
+    return rows.groupBy(key, *by).agg(F.count(F.lit(1)).cast("double").alias(f"n_{key}"), F.sum("y").cast("double").alias(f"pos_{key}"))
+
+
+def fit(labelled: DataFrame, trees: int = 12, depth: int = 3, rate: float = 0.3, l2: float = 1.0, folds: int = 5, bound: int = 200_000) -> Model:
     """Trees from (url, y) with y 1 for block and 0 for allow; beyond `bound` rows, a share of about `bound` by a hash of the url."""
     labelled = labelled.where("y is not null")
     rows = labelled.count()
     if rows > bound:
         labelled = labelled.where(F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(1_000_000)) < int(1e6 * bound / rows))
-    lexical = with_lexical(labelled.select("url", "y"))
-    model = Model(suffix_table(lexical, "suffix", "suffix", most), suffix_table(lexical, "site", "site", most), [], 0.0)
-    joined = model.joined(lexical)
+    lexical = with_lexical(labelled.select("url", "y", F.pmod(F.xxhash64(F.coalesce("url", F.lit("")), F.lit(3)), F.lit(folds)).alias("fold")))
+    model = Model(hold(counted(lexical, "suffix")), hold(counted(lexical, "site")), [], 0.0)
+    joined = lexical
+    for key, table in (("suffix", model.suffixes), ("site", model.sites)):
+        own = hold(counted(lexical, key, "fold")).withColumnsRenamed({f"n_{key}": "n_own", f"pos_{key}": "pos_own"})
+        joined = joined.join(table, key).join(own, [key, "fold"])
+        share = F.lit(folds / (folds - 1))  # so that frequencies are those of all folds
+        joined = joined.withColumns({f"{c}_{key}": (F.col(f"{c}_{key}") - F.col(f"{c}_own")) * share for c in ("n", "pos")}).drop("n_own", "pos_own")
+    joined = with_rates(joined)
     cuts = joined.agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"), *(F.percentile_approx(c, [k / BINS for k in range(1, BINS)], 1000).alias(c) for c in NUMERIC)).first()
     model.edges = [sorted(set(cuts[c] or ())) for c in NUMERIC]
     n, pos = cuts["n"], cuts["y"] or 0
@@ -161,18 +176,33 @@ def fit(labelled: DataFrame, trees: int = 12, depth: int = 3, rate: float = 0.3,
     return model
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, model: Model | None = None) -> DataFrame:
+def ruled(rows: DataFrame, rules: tuple[tuple[str, str], ...], inline: int) -> DataFrame:
+    """Adds host, path, rule and ruling to rows with a url.
+
+    Up to `inline` rules are one expression; more are a table, which the distinct hosts and paths meet on
+    each of the host's suffixes, and of what fits the best is taken."""
+    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    if len(rules) <= inline:
+        rule, ruling = rule_of(F.col("host"), F.col("path"), rules)
+        return rows.withColumns({"rule": rule, "ruling": ruling})
+    order = sorted(rules, key=lambda r: (len(r[1]), len(r[1].partition("/")[0]), [-ord(c) for c in r[1]]))
+    known = {text: (k, text.partition("/")[0], "".join(text.partition("/")[1:]), text, action) for k, (action, text) in enumerate(order)}
+    table = rows.sparkSession.createDataFrame(list(known.values()), "nth int, suffix string, start string, rule string, ruling string")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    met = rows.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes)).join(table, "suffix").where(F.col("path").startswith(F.col("start")))
+    best = met.groupBy("host", "path").agg(F.max(F.struct("nth", "rule", "ruling")).alias("best")).select("host", "path", "best.rule", "best.ruling")
+    return rows.join(best, ["host", "path"], "left")
+
+
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, model: Model | None = None, inline: int = 200) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the trees' chance of block) for every row.
 
     Without a model, one is trained on the URLs that the rules fit."""
-    if len(rules) > 1000:
-        raise ValueError("rules are one expression; more than 1,000 of them need a join")
-    rows = pages.select("page_id", "url")
+    rows = ruled(pages.select("page_id", "url"), rules, inline)
     if model is None:
-        known = rows.select("url", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)[1].alias("v"))
-        model = fit(known.where("v is not null").select("url", (F.col("v") == "block").cast("int").alias("y")))
+        model = fit(rows.where("ruling is not null").select("url", (F.col("ruling") == "block").cast("int").alias("y")))
     out = model.binned(model.joined(with_lexical(rows)))
     out = out.withColumn("score", 1 / (1 + F.exp(-model.margin())))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     tree = F.when(F.col("score") > 0.5, "block").otherwise("allow")
-    return out.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", rule.alias("rule"), F.coalesce(verdict, tree).alias("verdict"), "score")
+    return out.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", "rule", F.coalesce("ruling", tree).alias("verdict"), "score")

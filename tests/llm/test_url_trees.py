@@ -110,3 +110,19 @@ def test_longest_rule_of_many(spark):
     df = pages(spark, ["http://a.b/c/d"])
     rule, verdict = url_trees.rule_of(F.lit("a.b"), F.lit("/c/d"), (("allow", "b/c"), ("block", "a.b/c/d"), ("allow", "a.b/c")))
     assert tuple(df.select(rule, verdict).first()) == ("a.b/c/d", "block")
+
+
+def test_rules_as_a_table_equal_rules_as_an_expression(spark):
+    rules = (*url_trees.RULES, ("allow", "com/e"), ("block", "org"), *((("allow", "block")[k % 2], f"h{k}.net/p{k % 3}") for k in range(1500)))
+    urls = [*URLS, *(f"http://{w}h{k}.net/p{k % 4}{t}" for k in range(0, 1500, 7) for w in ("", "www.") for t in ("", "/x?y"))]
+    df = pages(spark, urls).select("page_id", "url")
+    get = lambda inline: {r["page_id"]: (r["host"], r["path"], r["rule"], r["ruling"]) for r in url_trees.ruled(df, rules[:180] if inline else rules, inline).collect()}
+    joined = {r["page_id"]: (r["host"], r["path"], r["rule"], r["ruling"]) for r in url_trees.ruled(df, rules[:180], 0).collect()}
+    assert joined == get(200) and len(joined) == len(urls)
+    assert sum(x[2] is not None for x in get(0).values()) > 300
+
+
+def test_very_long_and_repeated_urls(spark):
+    long = "http://com/en/" + "a/b?" * 50_000
+    rows = url_trees.judge(pages(spark, [long, long, "x" * 300_000, "http://org/es/1"])).collect()
+    assert len(rows) == 4 and {r["rule"] for r in rows if r["page_id"] < 2} == {"com/en/"} and len({r["verdict"] for r in rows if r["page_id"] < 2}) == 1
