@@ -105,13 +105,17 @@ def sites_of(spark: SparkSession, sf_dir: str, n_sites: int = 10) -> DataFrame:
     )
 
 
-def payloads(raw: DataFrame, feed: Feed) -> DataFrame:
-    """One JSON payload of parallel arrays for every (city_id, run); its rows in order of time."""
+def payloads(raw: DataFrame, feed: Feed, most: int = 1000) -> DataFrame:
+    """JSON payloads of parallel arrays for every (city_id, run), in order of time; a run of more than about
+    `most` rows of a site lands in several, told apart by `part`."""
     time = F.date_format("valid_ts_utc", "yyyy-MM-dd'T'HH:mm") if feed.root == "hourly" else F.col("date").cast("string")
     row = F.struct(F.col(feed.time_column).alias("at"), "event_id", time.alias("time"), *(F.col(c).alias(p) for p, c, _ in feed.measures))
-    rows = raw.groupBy("city_id", "ingestion_run_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    key = ["city_id", "ingestion_run_id"]
+    sizes = raw.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("parts"))
+    cut = raw.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("event_id"), F.col("parts")))
+    rows = cut.groupBy(*key, "part").agg(F.array_sort(F.collect_list(row)).alias("r"))
     arrays = F.struct(*(F.col("r")[n].alias(n) for n in ("time", *(p for p, _, _ in feed.measures))))
-    return rows.select("city_id", "ingestion_run_id", F.to_json(F.struct(arrays.alias(feed.root)), {"ignoreNullFields": "false"}).alias("payload"))
+    return rows.select(*key, "part", F.to_json(F.struct(arrays.alias(feed.root)), {"ignoreNullFields": "false"}).alias("payload"))
 
 
 def damaged(df: DataFrame) -> DataFrame:

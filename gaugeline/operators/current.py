@@ -12,20 +12,25 @@ from gaugeline.config import ZoneConfig
 from gaugeline.operators.scoring import FACTORS
 
 
-def risk_current(history: DataFrame, as_of: date | None = None, horizon_days: int = 1, rank: str = "histogram") -> DataFrame:
-    """Each site's largest score from as_of (today in UTC by default) to the horizon, its driver, and its rank.
+def current_scores(history: DataFrame, as_of: date | None = None, horizon_days: int = 1) -> DataFrame:
+    """Each site's largest score from as_of (today in UTC by default) to the horizon, and its driver.
 
-    Of equal scores the earlier date's driver is taken. Ranks have gaps; a null score comes last. The
-    histogram rank counts sites per score, of which there are at most 1,001, and joins the counts back;
-    the window rank sorts all sites in one task and is meant for comparison.
-    """
+    Of equal scores the earlier date's driver is taken."""
     day = F.lit(as_of).cast("date") if as_of else F.to_date(F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")))
     rows = history.where(F.col("date").between(day, F.date_add(day, horizon_days)))
     score, first = F.col("global_tipping_score"), F.struct(-F.col("global_tipping_score"), F.col("date"), F.col("primary_driver"))
-    current = rows.groupBy("city_id").agg(
+    return rows.groupBy("city_id").agg(
         F.max(score).alias("current_tipping_score"),
         F.min(F.when(score.isNotNull(), first))["primary_driver"].alias("current_primary_driver"),
     )
+
+
+def risk_current(history: DataFrame, as_of: date | None = None, horizon_days: int = 1, rank: str = "histogram") -> DataFrame:
+    """current_scores with ranks, which have gaps; a null score comes last.
+
+    The histogram rank counts sites per score, of which there are at most 1,001, and joins the counts back;
+    the window rank sorts all sites in one task and is meant for comparison."""
+    current = current_scores(history, as_of, horizon_days)
     if rank == "window":
         return current.withColumn("rank", F.rank().over(Window.orderBy(F.desc_nulls_last("current_tipping_score"))).cast("long"))
     if rank != "histogram":
@@ -42,35 +47,37 @@ def with_zone(current: DataFrame, cfg: ZoneConfig = ZoneConfig()) -> DataFrame:
     return current.withColumns({"zone_name": pick(1), "zone_order": pick(2).cast("long")})
 
 
-def zone_summary(current: DataFrame, cfg: ZoneConfig = ZoneConfig(), max_items: int | None = None) -> DataFrame:
-    """Sites and drivers of every zone, alphabetically, most severe zone first.
+def zone_summary(current: DataFrame, cfg: ZoneConfig = ZoneConfig(), max_items: int | None = 1000) -> DataFrame:
+    """Sites and drivers of every zone, alphabetically, most severe zone first; city_count counts all sites.
 
-    With max_items, cities_in_zone names that many sites at most; city_count counts all."""
+    cities_in_zone names the first max_items of a zone (all with None, for small dimensions): map tasks keep
+    no more of them, so no row grows with the number of sites."""
     zoned = with_zone(current, cfg)
-    named = F.col("city_id")
+    zone, join = ["zone_name", "zone_order"], lambda c: F.when(F.size(c) > 0, F.array_join(F.array_sort(c), ", "))
+    named = zoned.where(F.col("city_id").isNotNull()).select(*zone, "city_id")
     if max_items is not None:
-        zoned = zoned.withColumn("_n", F.row_number().over(Window.partitionBy("zone_order").orderBy("city_id")))
-        named = F.when(F.col("_n") <= max_items, named)
-    join = lambda c: F.when(F.size(c) > 0, F.array_join(F.array_sort(c), ", "))
-    out = zoned.groupBy("zone_name", "zone_order").agg(
-        F.count("city_id").alias("city_count"),
-        join(F.collect_list(named)).alias("cities_in_zone"),
-        join(F.collect_set("current_primary_driver")).alias("drivers_in_zone"),
-    )
-    return out.orderBy("zone_order").drop("zone_order")
+        first = F.row_number().over(Window.partitionBy("zone_order").orderBy("city_id"))
+        named = named.withColumn("_n", first).where(F.col("_n") <= max_items)
+    names = named.groupBy(*zone).agg(join(F.collect_list("city_id")).alias("cities_in_zone"))
+    counts = zoned.groupBy(*zone).agg(F.count("city_id").alias("city_count"), join(F.collect_set("current_primary_driver")).alias("drivers_in_zone"))
+    out = counts.join(names, zone, "left")  # a row a zone on either side
+    return out.orderBy("zone_order").select("zone_name", "city_count", "cities_in_zone", "drivers_in_zone")
 
 
 def ranking(current: DataFrame) -> DataFrame:
     return current.select("rank", "city_id", "current_tipping_score", "current_primary_driver").orderBy("rank", "city_id")
 
 
-def trend(history: DataFrame, city_ids: list[str]) -> DataFrame:
-    return history.where(F.col("city_id").isin(city_ids)).select("city_id", "date", "global_tipping_score").orderBy("city_id", "date")
+def trend(history: DataFrame, city_ids: list[str] | None = None) -> DataFrame:
+    """The overall score of some sites, or of all, by date."""
+    rows = history if city_ids is None else history.where(F.col("city_id").isin(city_ids))
+    return rows.select("city_id", "date", "global_tipping_score").orderBy("city_id", "date")
 
 
-def factor_long(history: DataFrame, city_id: str) -> DataFrame:
-    """The five factors of one site as rows (date, factor, score)."""
-    return history.where(F.col("city_id") == city_id).unpivot(["city_id", "date"], list(FACTORS), "factor", "score")
+def factor_long(history: DataFrame, city_id: str | None = None) -> DataFrame:
+    """The five factors of one site, or of all, as rows (date, factor, score)."""
+    rows = history if city_id is None else history.where(F.col("city_id") == city_id)
+    return rows.unpivot(["city_id", "date"], list(FACTORS), "factor", "score")
 
 
 def site_map(current: DataFrame, sites: DataFrame) -> DataFrame:

@@ -54,6 +54,10 @@ def with_overall(df: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> DataFra
     return df.withColumn("primary_driver", driver)
 
 
+def scored(panel: DataFrame, normals: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
+    """The panel with all scores and the driver; other columns stay."""
+    return with_overall(with_factors(with_velocity(with_baseline(panel, normals)), cfg), cfg)
+
+
 def risk_history(panel: DataFrame, normals: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
-    out = with_overall(with_factors(with_velocity(with_baseline(panel, normals)), cfg), cfg)
-    return out.select("city_id", "date", *CONTEXT, *FACTORS, "global_tipping_score", "primary_driver")
+    return scored(panel, normals, cfg).select("city_id", "date", *CONTEXT, *FACTORS, "global_tipping_score", "primary_driver")

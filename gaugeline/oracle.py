@@ -104,8 +104,8 @@ FINAL = {
     "factor_scores": "SELECT city_id, date, heat_score, wind_score, rain_score, air_score, river_score FROM factor_scores",
     "risk_rank_histogram": "SELECT * FROM risk_current",
     "ranking": "SELECT * FROM risk_current",
-    "trend": "SELECT city_id, date, global_tipping_score FROM risk_history WHERE city_id IN ('site_0', 'site_3', 'site_9')",
-    "factor_unpivot": " UNION ALL ".join(f"SELECT city_id, date, '{f}' AS factor, {f} AS score FROM risk_history WHERE city_id = 'site_5'" for f in ("heat_score", "wind_score", "rain_score", "air_score", "river_score")),
+    "trend": "SELECT city_id, date, global_tipping_score FROM risk_history",
+    "factor_unpivot": " UNION ALL ".join(f"SELECT city_id, date, '{f}' AS factor, {f} AS score FROM risk_history" for f in ("heat_score", "wind_score", "rain_score", "air_score", "river_score")),
     "site_map": "SELECT c.*, s.city_name, s.latitude, s.longitude FROM risk_current c JOIN sites s ON s.city_id = c.city_id",
     "zone_counts": "SELECT zone_name, zone_order, count(city_id) AS city_count FROM zoned GROUP BY 1, 2",
     "quality_report": " UNION ALL ".join(
@@ -140,6 +140,15 @@ FINAL = {
     "coverage_gaps": """SELECT s.city_id, f.feed, d.date FROM sites_active s, (VALUES ('weather'), ('air_quality'), ('flood'), ('historical')) f(feed), days d
       WHERE (f.feed <> 'flood' OR s.river_enabled) AND NOT EXISTS (SELECT 1 FROM loaded l WHERE l.city_id = s.city_id AND l.feed = f.feed AND l.date = d.date)""",
     "history_incremental": "SELECT * FROM risk_history",
+    "history_published": "SELECT * FROM risk_history",
+    "raw_appended": "SELECT * EXCLUDE (event_id), CAST(valid_ts_utc AS DATE) AS _day FROM raw_weather",
+    "raw_required": """SELECT *, CASE WHEN city_id IS NULL OR valid_ts_utc IS NULL THEN 'missing_required' END AS reason FROM (
+      SELECT event_id, CASE WHEN event_id % 23 <> 0 THEN city_id END AS city_id, CASE WHEN event_id % 29 <> 0 THEN valid_ts_utc END AS valid_ts_utc FROM raw_weather)""",
+    "raw_stamped": "SELECT city_id, count(*) AS n, CAST(1 AS BIGINT) AS runs, CAST(1 AS BIGINT) AS times, true AS named_by_time FROM raw_weather GROUP BY city_id",
+    "sites_file": "SELECT * FROM sites_active",
+    "normals_file": """SELECT city_id, month(date) AS month, {r2(avg(temperature_2m_mean))} AS normal_temperature_2m_mean, {r2(avg(temperature_2m_max))} AS normal_temperature_2m_max,
+      {r2(avg(precipitation_sum_mm))} AS normal_daily_precipitation_mm, {r2(avg(wind_speed_10m_max))} AS normal_wind_speed_10m_max FROM latest_observed GROUP BY 1, 2""",
+    "risk_today": "SELECT * FROM risk_current",
     "latest_stream": "SELECT * FROM latest_weather",
 }
 

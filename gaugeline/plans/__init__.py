@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline.config import ScoringConfig, ZoneConfig
 from gaugeline.operators import current, scoring, staging
+from gaugeline.shared import shared_folder
+from gaugeline.sources.files import publish
 
 
 def panel_of(weather: DataFrame, air: DataFrame, river: DataFrame, observed: DataFrame) -> DataFrame:
@@ -33,25 +36,47 @@ def build(
     models["signal_panel"] = staging.signal_panel(models["daily_weather"], models["daily_air"], models["latest_river"], models["latest_observed"])
     models["risk_history"] = scoring.risk_history(models["signal_panel"], normals, scoring_cfg)
     models["risk_current"] = current.risk_current(models["risk_history"], as_of)
-    models["zone_summary"] = current.zone_summary(models["risk_current"], zones)
+    models["zone_summary"] = current.zone_summary(current.current_scores(models["risk_history"], as_of), zones)
     return models
 
 
-def refresh_history(existing: DataFrame, panel: DataFrame, changed: DataFrame, normals: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
-    """The history after some (city_id, date) of the panel changed: only those sites' rows are scored again,
-    from the row before the first changed date, whose velocity looks ahead, to the last changed date.
+def refresh_history(existing: DataFrame, feeds: tuple[DataFrame, DataFrame, DataFrame, DataFrame], changed: DataFrame, normals: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
+    """The history after the raw rows of some (city_id, date) changed; the result equals a full rebuild.
 
-    A date that left the panel must be among the changed ones. The result equals a full rebuild."""
-    span = changed.groupBy("city_id").agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
-    dates = panel.select("city_id", "date").join(span, "city_id")
-    reach = dates.groupBy("city_id", "_from", "_to").agg(
-        F.coalesce(F.max(F.when(F.col("date") < F.col("_from"), F.col("date"))), F.col("_from")).alias("_first"),
-        F.coalesce(F.min(F.when(F.col("date") > F.col("_to"), F.col("date"))), F.col("_to")).alias("_next"),
-    )
-    part = panel.join(reach.select("city_id", "_first", "_next"), "city_id").where(F.col("date").between(F.col("_first"), F.col("_next"))).select(*panel.columns)
-    fresh = scoring.risk_history(part, normals, cfg).join(reach.select("city_id", "_first", "_to"), "city_id").where(F.col("date").between(F.col("_first"), F.col("_to")))
-    gone = reach.select(F.col("city_id").alias("_city"), "_first", "_to").unionByName(
-        span.join(reach, "city_id", "left_anti").select(F.col("city_id").alias("_city"), F.col("_from").alias("_first"), "_to")
-    )
-    kept = existing.join(gone, (F.col("city_id") == F.col("_city")) & F.col("date").between(F.col("_first"), F.col("_to")), "left_anti")
-    return kept.unionByName(fresh.select(*existing.columns))
+    Of the raw feeds (weather, air, river, observed) only the changed sites and days are read, down to the
+    partitions of those days where a feed has _day; what else a score needs stands in the history. Scored
+    again are the changed rows and the row before each, whose velocity looks ahead. A date that left the
+    panel must be among the changed ones."""
+    on, context = ["city_id", "date"], scoring.CONTEXT
+    changed = changed.select(*on).distinct()
+    days = F.broadcast(changed.select("date").distinct())  # a row a day
+
+    def of_changed(raw: DataFrame) -> DataFrame:
+        day = F.to_date("valid_ts_utc") if "valid_ts_utc" in raw.columns else F.col("date")
+        if "_day" in raw.columns:
+            raw = raw.join(days.withColumnRenamed("date", "_day"), "_day", "left_semi")
+        near = changed.withColumnRenamed("date", "_date")
+        return raw.withColumn("_date", day).join(near, ["city_id", "_date"], "left_semi").drop("_date", "_day")
+
+    fresh = panel_of(*map(of_changed, feeds)).select(*on, *context)
+    sites = changed.select("city_id").distinct()
+    scores = [c for c in existing.columns if c not in on]
+    old = existing.join(sites, "city_id", "left_semi").join(changed, on, "left_anti").select(*on, *context, F.struct(*scores).alias("_old"), F.lit(False).alias("_gone"))
+    new = changed.join(fresh.withColumn("_here", F.lit(True)), on, "left").select(*on, *context, F.lit(None).cast(old.schema["_old"].dataType).alias("_old"), F.col("_here").isNull().alias("_gone"))
+    following = F.lead(F.col("_old").isNull()).over(Window.partitionBy("city_id").orderBy("date"))
+    rows = old.unionByName(new).withColumn("_again", F.col("_old").isNull() | F.coalesce(following, F.lit(False))).where("not _gone")
+    again = scoring.scored(rows, normals, cfg).select(*on, *(F.when(F.col("_again"), F.col(c)).otherwise(F.col("_old")[c]).alias(c) for c in scores))
+    return existing.join(sites, "city_id", "left_anti").unionByName(again.select(*existing.columns))
+
+
+def refresh_published(spark: SparkSession, path: str, feeds: tuple[DataFrame, DataFrame, DataFrame, DataFrame], changed: DataFrame, normals: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> None:
+    """refresh_history of a published history, of which only the dates with new rows are written.
+
+    Those rows are written aside first, so that no partition is read while it is replaced."""
+    existing = spark.read.parquet(path)
+    fresh = refresh_history(existing, feeds, changed, normals, cfg)
+    aside = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    fresh.exceptAll(existing).select("date").unionByName(changed.select("date")).distinct().write.parquet(f"{aside}/dates")
+    dates = spark.read.parquet(f"{aside}/dates")
+    fresh.join(F.broadcast(dates), "date", "left_semi").write.parquet(f"{aside}/rows")
+    publish(spark.read.parquet(f"{aside}/rows"), path, "changed")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import date
@@ -12,10 +11,12 @@ from pyspark.sql import functions as F
 
 from gaugeline import fixtures, plans
 from gaugeline.operators import analysis, current, quality, scoring, staging
-from gaugeline.sources.feeds import WEATHER
+from gaugeline.shared import shared_folder
+from gaugeline.sources import files
+from gaugeline.sources.feeds import NORMALS, SITES, WEATHER
 from gaugeline.sources.files import active_sites
 from gaugeline.sources.payloads import parse_payload
-from gaugeline.streaming import stream_latest
+from gaugeline.streaming import read_latest, stream_latest
 
 AS_OF = date(2024, 1, 15)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,11 +65,11 @@ def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return current.trend(models(spark, sf_dir)["risk_history"], ["site_0", "site_3", "site_9"])
+    return current.trend(models(spark, sf_dir)["risk_history"])
 
 
 def factor_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return current.factor_long(models(spark, sf_dir)["risk_history"], "site_5")
+    return current.factor_long(models(spark, sf_dir)["risk_history"])
 
 
 def site_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +89,8 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed_weather(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return parse_payload(fixtures.damaged(fixtures.payloads(fixtures.raw_tables(spark, sf_dir).weather, WEATHER)), WEATHER)
+    rows, errors = parse_payload(fixtures.damaged(fixtures.payloads(fixtures.raw_tables(spark, sf_dir).weather, WEATHER)), WEATHER)
+    return rows, errors.drop("part").distinct()
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +108,7 @@ def _payload(name: str) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = getattr(fixtures.raw_tables(spark, sf_dir), table)
-        return parse_payload(fixtures.payloads(raw, feed), feed)[0].drop("payload_pos")
+        return parse_payload(fixtures.payloads(raw, feed), feed)[0].drop("payload_pos", "part")
 
     return run
 
@@ -140,23 +142,85 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.coverage_gaps(active_sites(fixtures.sites_of(spark, sf_dir)), tuple(feeds), loaded, date(2024, 1, 1), date(2024, 1, 30))
 
 
+def _old_and_changed(raw: fixtures.Raw) -> tuple[tuple[DataFrame, ...], tuple[DataFrame, ...], DataFrame]:
+    """All feeds, those without a tenth of the rows, and the (city_id, date) of that tenth."""
+    feeds, old = (raw.weather, raw.air, raw.river, raw.observed), F.col("event_id") % 10 != 0
+    keys = [f.where(~old).select("city_id", (F.to_date("valid_ts_utc") if "valid_ts_utc" in f.columns else F.col("date")).alias("date")) for f in feeds]
+    return feeds, tuple(f.where(old) for f in feeds), keys[0].union(keys[1]).union(keys[2]).union(keys[3]).distinct()
+
+
 def history_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history of nine tenths of the rows, refreshed with the rest: equal to risk_history."""
-    raw, old = fixtures.raw_tables(spark, sf_dir), F.col("event_id") % 10 != 0
-    feeds, normals = (raw.weather, raw.air, raw.river, raw.observed), fixtures.normals_of(raw)
-    before = scoring.risk_history(plans.panel_of(*(f.where(old) for f in feeds)), normals)
-    keys = [f.where(~old).select("city_id", (F.to_date("valid_ts_utc") if "valid_ts_utc" in f.columns else F.col("date")).alias("date")) for f in feeds]
-    changed = keys[0].union(keys[1]).union(keys[2]).union(keys[3]).distinct()
-    return plans.refresh_history(before, plans.panel_of(*feeds), changed, normals)
+    raw = fixtures.raw_tables(spark, sf_dir)
+    normals, (feeds, before, changed) = fixtures.normals_of(raw), _old_and_changed(raw)
+    return plans.refresh_history(scoring.risk_history(plans.panel_of(*before), normals), feeds, changed, normals)
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def history_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by way of a published table, of which only the changed dates are written again."""
+    at, raw = _place(spark, "published"), fixtures.raw_tables(spark, sf_dir)
+    normals, (feeds, before, changed) = fixtures.normals_of(raw), _old_and_changed(raw)
+    files.publish(scoring.risk_history(plans.panel_of(*before), normals), at)
+    plans.refresh_published(spark, at, feeds, changed, normals)
+    return spark.read.parquet(at)
+
+
+def raw_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw weather, appended by two runs and read back by day."""
+    at, raw = _place(spark, "raw"), fixtures.raw_tables(spark, sf_dir).weather
+    for k in (0, 1):
+        files.append_raw(raw.where(F.col("event_id") % 2 == k), at, WEATHER)
+    return plain(files.read_raw(spark, at, WEATHER))
+
+
+def raw_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw weather of which some rows lack a site or a time, with what becomes of each row."""
+    k, raw = F.col("event_id"), fixtures.raw_tables(spark, sf_dir).weather
+    raw = raw.withColumns({"city_id": F.when(k % 23 != 0, F.col("city_id")), "valid_ts_utc": F.when(k % 29 != 0, F.col("valid_ts_utc"))})
+    good, bad = files.split_required(raw, WEATHER)
+    columns = ["event_id", "city_id", "valid_ts_utc"]
+    return good.select(*columns, F.lit(None).cast("string").alias("reason")).union(bad.select(*columns, "reason"))
+
+
+def raw_stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every site under a new run: one id of the right form and one time for all."""
+    raw = fixtures.raw_tables(spark, sf_dir).weather.drop("ingestion_run_id", "ingested_at_utc")
+    run, made = F.col("ingestion_run_id"), F.col("ingested_at_utc")
+    return files.stamp(raw, *files.new_run()).groupBy("city_id").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(run).alias("runs"), F.countDistinct(made).alias("times"),
+        F.bool_and(run.rlike(r"^\d{8}T\d{6}Z-[0-9a-f]{12}$") & (F.date_format(made, "yyyyMMdd'T'HHmmss'Z'") == F.substring_index(run, "-", 1))).alias("named_by_time"),
+    )
+
+
+def sites_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _place(spark, "sites")
+    fixtures.sites_of(spark, sf_dir).select(*SITES.names).write.csv(at, header=True)
+    return plain(files.sites(spark, at))
+
+
+def normals_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _place(spark, "normals")
+    analysis.climatology(models(spark, sf_dir)["latest_observed"]).select(*NORMALS.names).write.csv(at, header=True)
+    return plain(files.normals(spark, at))
+
+
+def risk_today(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking of today in UTC, over a history moved to today."""
+    now = F.to_date(F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")))
+    history = models(spark, sf_dir)["risk_history"].withColumn("date", F.date_add("date", F.datediff(now, F.lit(AS_OF))))
+    return current.risk_current(history)
 
 
 def latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """latest_weather by way of a stream of the raw rows in several files."""
-    top = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='gaugeline-')}/stream-{uuid.uuid4().hex}"
-    raw = fixtures.raw_tables(spark, sf_dir).weather
+    top, raw = _place(spark, "stream"), fixtures.raw_tables(spark, sf_dir).weather
     raw.repartition(4, "event_id").write.parquet(f"{top}/source")
     stream_latest(spark, f"{top}/source", raw.schema, f"{top}/target", ["city_id", "valid_ts_utc"], "valid_ts_utc", f"{top}/checkpoint", 2).awaitTermination()
-    return plain(spark.read.parquet(f"{top}/target").drop("_day"))
+    return plain(read_latest(spark, f"{top}/target", raw.schema).drop("_day"))
 
 
 MODELS = ("latest_weather", "latest_air", "latest_river", "latest_observed", "daily_weather", "daily_air", "signal_panel", "risk_history", "risk_current", "zone_summary")
@@ -166,6 +230,7 @@ def queries() -> dict[str, Query]:
     named = (
         baseline_join, velocity, factor_scores, risk_rank_histogram, ranking, trend, factor_unpivot, site_map, zone_counts,
         quality_report, completeness, run_summary, payload_errors, sites_active, run_windows, climatology,
-        forecast_deviation, projection_deviation, coverage_gaps, history_incremental, latest_stream,
+        forecast_deviation, projection_deviation, coverage_gaps, history_incremental, history_published,
+        latest_stream, raw_appended, raw_required, raw_stamped, sites_file, normals_file, risk_today,
     )
     return {m: _model(m) for m in MODELS} | {p: _payload(p) for p in fixtures.FEED_OF} | {f.__name__: f for f in named}

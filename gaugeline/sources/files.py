@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import uuid
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,12 @@ def read_raw(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def new_run() -> tuple[str, datetime]:
+    """A run's id, unique, and its one time in UTC, both for stamp()."""
+    at = datetime.now(UTC)
+    return f"{at:%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:12]}", at
+
+
 def stamp(df: DataFrame, run_id: str, ingested_at: datetime) -> DataFrame:
     """Adds the run's id and time, the same for all rows of a run."""
     return df.withColumns({"ingestion_run_id": F.lit(run_id), "ingested_at_utc": F.lit(ingested_at).cast("timestamp")})
@@ -43,15 +50,26 @@ def split_required(df: DataFrame, feed: Feed) -> tuple[DataFrame, DataFrame]:
     return df.where(~missing), df.where(missing).withColumn("reason", F.lit("missing_required"))
 
 
+def by_day(df: DataFrame, day: str, rows_per_file: int) -> DataFrame:
+    """Deals rows to tasks by day and, in days of more than rows_per_file rows, by as many salts as they fill files.
+
+    A count per day goes first, a row a day, which Spark broadcasts while it is small."""
+    files = df.groupBy(F.col(day).alias("_key")).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_files"))
+    salted = df.join(files, F.col(day).eqNullSafe(F.col("_key"))).drop("_key")
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.col("_files")))
+    return salted.repartition(day, "_salt").drop("_files", "_salt")
+
+
 def append_raw(df: DataFrame, path: str, feed: Feed) -> None:
     """Appends rows in day partitions; the table is made if absent and never overwritten."""
     columns = feed.raw_schema.fieldNames()
     df.select(*columns).withColumn("_day", F.to_date(feed.time_column)).write.partitionBy("_day").mode("append").parquet(path)
 
 
-def publish(df: DataFrame, path: str, mode: str = "full") -> None:
-    """Writes a table partitioned by date: all of it, or with "changed" only the dates that df holds."""
+def publish(df: DataFrame, path: str, mode: str = "full", rows_per_file: int = 2_000_000) -> None:
+    """Writes a table partitioned by date, in files of about rows_per_file rows at most: all of it, or with
+    "changed" only the dates that df holds."""
     if mode not in ("full", "changed"):
         raise ValueError(mode)
     kind = "static" if mode == "full" else "dynamic"
-    df.repartition("date").write.partitionBy("date").mode("overwrite").option("partitionOverwriteMode", kind).parquet(path)
+    by_day(df, "date", rows_per_file).write.partitionBy("date").mode("overwrite").option("partitionOverwriteMode", kind).parquet(path)

@@ -1,32 +1,80 @@
-"""The raw feed as a stream: an upsert that keeps the newest revision, however late it comes."""
+"""The raw feed as a stream: an upsert that keeps the newest revision, however late it comes.
+
+A batch writes new versions of the days that it touches under target/days/_v=<batch>, and then one small
+file under target/commits that makes them current. Until that file is there, readers see the versions
+before; a batch that failed midway is run again under its own number from the versions before it, so a
+replay gives the same table whether or not the first attempt was committed.
+"""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StructField, StructType
 
 from gaugeline.operators.staging import TIES, latest
+from gaugeline.sources.files import by_day
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, target: str, before: int | None = None) -> dict[date | None, int]:
+    """The current version of every day, or the one before a batch; a row a day reaches the driver."""
+    path, fs = _path(spark, f"{target}/commits")
+    if not fs.exists(path):
+        return {}
+    rows = spark.read.schema("_day date, _v long").option("recursiveFileLookup", "true").json(f"{target}/commits")
+    if before is not None:
+        rows = rows.where(F.col("_v") < before)
+    return {r["_day"]: r["v"] for r in rows.groupBy("_day").agg(F.max("_v").alias("v")).collect()}
+
+
+def _folder(target: str, day: date | None, version: int) -> str:
+    return f"{target}/days/_v={version}/_day={day or '__HIVE_DEFAULT_PARTITION__'}"
+
+
+def read_latest(spark: SparkSession, target: str, schema: StructType, before: int | None = None, days: set | None = None) -> DataFrame:
+    """The table that upsert() keeps, with _day, a filter on which reads no other days."""
+    schema = StructType([*(f for f in schema if f.name != "_day"), StructField("_day", DateType())])
+    paths = [_folder(target, d, v) for d, v in versions(spark, target, before).items() if days is None or d in days]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{target}/days").parquet(*paths).select(*schema.names)
+
+
+def commit(spark: SparkSession, target: str, batch_id: int, days: list[date | None]) -> None:
+    """Makes the batch's versions of the days current, by one file."""
+    rows = spark.createDataFrame([(d, batch_id) for d in days], "_day date, _v long")
+    rows.coalesce(1).write.mode("overwrite").json(f"{target}/commits/{batch_id}")
 
 
-def upsert(batch: DataFrame, target: str, keys: list[str], time_column: str) -> None:
-    """Merges a batch into the day partitions that it touches; other days are neither read nor written.
+def upsert(batch: DataFrame, batch_id: int, target: str, keys: list[str], time_column: str, rows_per_file: int = 2_000_000) -> None:
+    """Merges a batch into the days that it touches; other days are neither read nor written.
 
-    A repeated batch changes nothing, so a replay after a failure is safe."""
+    Versions older than the one before the batch's are deleted."""
     spark = batch.sparkSession
     batch = batch.withColumn("_day", F.to_date(time_column)).persist()
     try:
         days = [r["_day"] for r in batch.select("_day").distinct().collect()]
         if not days:
             return
-        rows = batch
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            held = spark.read.schema(batch.schema).parquet(target).where(F.col("_day").isin(days))
-            rows = rows.unionByName(held)
-        merged = latest(rows, keys, tiebreak=TIES)
-        merged.repartition("_day").write.partitionBy("_day").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
+        held = read_latest(spark, target, batch.schema, before=batch_id, days=set(days))
+        merged = latest(batch.unionByName(held), keys, tiebreak=TIES)
+        by_day(merged, "_day", rows_per_file).write.partitionBy("_day").mode("overwrite").parquet(f"{target}/days/_v={batch_id}")
+        was, older = versions(spark, target, before=batch_id), {}
+        if was:
+            older = versions(spark, target, before=max(was.values()))
+        commit(spark, target, batch_id, days)
+        for d in days:
+            if d in older and older[d] < was.get(d, -1):
+                path, fs = _path(spark, _folder(target, d, older[d]))
+                fs.delete(path, True)
     finally:
         batch.unpersist()
 
@@ -40,7 +88,7 @@ def stream_latest(spark: SparkSession, source: str, schema: StructType, target:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
         reader.parquet(source)
-        .writeStream.foreachBatch(lambda batch, _: upsert(batch, target, keys, time_column))
+        .writeStream.foreachBatch(lambda batch, batch_id: upsert(batch, batch_id, target, keys, time_column))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
