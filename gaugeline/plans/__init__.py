@@ -49,12 +49,12 @@ def refresh_history(existing: DataFrame, feeds: tuple[DataFrame, DataFrame, Data
     panel must be among the changed ones."""
     on, context = ["city_id", "date"], scoring.CONTEXT
     changed = changed.select(*on).distinct()
-    days = F.broadcast(changed.select("date").distinct())  # a row a day
+    days = [r["date"] for r in changed.select("date").distinct().collect()]  # a row a day, so that partitions are pruned in planning
 
     def of_changed(raw: DataFrame) -> DataFrame:
         day = F.to_date("valid_ts_utc") if "valid_ts_utc" in raw.columns else F.col("date")
         if "_day" in raw.columns:
-            raw = raw.join(days.withColumnRenamed("date", "_day"), "_day", "left_semi")
+            raw = raw.where(F.col("_day").isin(days))
         near = changed.withColumnRenamed("date", "_date")
         return raw.withColumn("_date", day).join(near, ["city_id", "_date"], "left_semi").drop("_date", "_day")
 

@@ -72,4 +72,4 @@ def publish(df: DataFrame, path: str, mode: str = "full", rows_per_file: int = 2
     if mode not in ("full", "changed"):
         raise ValueError(mode)
     kind = "static" if mode == "full" else "dynamic"
-    by_day(df, "date", rows_per_file).write.partitionBy("date").mode("overwrite").option("partitionOverwriteMode", kind).parquet(path)
+    by_day(df, "date", rows_per_file).write.option("maxRecordsPerFile", rows_per_file).partitionBy("date").mode("overwrite").option("partitionOverwriteMode", kind).parquet(path)

@@ -66,7 +66,7 @@ def upsert(batch: DataFrame, batch_id: int, target: str, keys: list[str], time_c
             return
         held = read_latest(spark, target, batch.schema, before=batch_id, days=set(days))
         merged = latest(batch.unionByName(held), keys, tiebreak=TIES)
-        by_day(merged, "_day", rows_per_file).write.partitionBy("_day").mode("overwrite").parquet(f"{target}/days/_v={batch_id}")
+        by_day(merged, "_day", rows_per_file).write.option("maxRecordsPerFile", rows_per_file).partitionBy("_day").mode("overwrite").parquet(f"{target}/days/_v={batch_id}")
         was, older = versions(spark, target, before=batch_id), {}
         if was:
             older = versions(spark, target, before=max(was.values()))

@@ -76,3 +76,25 @@ def test_site_filter_reaches_the_scan(spark):
 def test_as_of_defaults_to_today(spark):
     assert current.risk_current(models(spark, SF)["risk_history"]).count() == 0
     assert date(2024, 1, 15) == AS_OF
+
+
+def test_zone_summary_does_without_ranks(spark):
+    m = models(spark, SF)
+    exchanges = [m[k]._jdf.queryExecution().executedPlan().toString().count("Exchange ") for k in ("zone_summary", "risk_current")]
+    assert "rank" not in m["zone_summary"]._jdf.queryExecution().optimizedPlan().toString().replace("rank_", "") or exchanges[0] <= exchanges[1]
+
+
+def test_refresh_follows_dates_that_leave_and_new_sites(spark):
+    raw = raw_tables(spark, SF)
+    feeds, normals = (raw.weather, raw.air, raw.river, raw.observed), normals_of(raw)
+    gone = "city_id in ('site_2', 'site_5') and to_date({t}) in (date'2024-01-07', date'2024-01-08')"
+    new = "city_id = 'site_7'"
+    cut = lambda f, cond: f.where(f"not ({cond.format(t='valid_ts_utc' if 'valid_ts_utc' in f.columns else 'date')})")
+    before = scoring.risk_history(plans.panel_of(*(cut(f, new) for f in feeds)), normals)
+    now = tuple(cut(f, gone) for f in feeds)
+    keys = [f.where(f"{new} or ({gone})".format(t=t)).selectExpr("city_id", f"to_date({t}) date") for f in feeds for t in ["valid_ts_utc" if "valid_ts_utc" in f.columns else "date"]]
+    changed = keys[0].union(keys[1]).union(keys[2]).union(keys[3])
+    got, want = plans.refresh_history(before, now, changed, normals), scoring.risk_history(plans.panel_of(*now), normals)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and got.count() == want.count()
+    none = plans.refresh_history(want, now, changed.limit(0), normals)
+    assert none.exceptAll(want).count() == 0 and none.count() == want.count()

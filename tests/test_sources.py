@@ -76,3 +76,53 @@ def test_run_status(spark):
     runs = lambda *ids: spark.createDataFrame([(i,) for i in ids], "ingestion_run_id string")
     out = {r["ingestion_run_id"]: r["status"] for r in quality.run_summary({"weather": runs("a", "b", "b"), "flood": runs("a")}, runs("b", "c")).collect()}
     assert out == {"a": "success", "b": "partial_failure", "c": "failure"}
+
+
+def test_a_filter_on_day_prunes_the_scan(spark, tmp_path):
+    raw = fixtures.raw_tables(spark, SF).weather
+    files.append_raw(raw, str(tmp_path / "raw"), feeds.WEATHER)
+    df = files.read_raw(spark, str(tmp_path / "raw"), feeds.WEATHER).where("_day = date'2024-01-05' and city_id = 'site_3'").select("temperature_2m")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_day" in plan and "PushedFilters: [IsNotNull(city_id), EqualTo(city_id,site_3)]" in plan
+    assert "ReadSchema: struct<city_id:string,temperature_2m:double>" in plan
+    assert df.count() == raw.where("to_date(valid_ts_utc) = date'2024-01-05' and city_id = 'site_3'").count()
+
+
+def test_large_days_are_written_in_several_files(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "date'2024-01-01' + cast(id % 20 > 18 as int) date", "cast(null as date) d")
+    files.publish(df, str(tmp_path / "t"), rows_per_file=100)
+    counts = [len(list((tmp_path / "t" / f"date=2024-01-0{d}").glob("*.parquet"))) for d in (1, 2)]
+    assert counts[0] >= 3 and counts[1] == 1 and spark.read.parquet(str(tmp_path / "t")).count() == 1000
+    assert files.by_day(df, "d", 100).count() == 1000
+
+
+def test_runs_have_ids_of_their_own():
+    a, b = files.new_run(), files.new_run()
+    assert a[0] != b[0] and a[1].utcoffset().total_seconds() == 0 and a[0].startswith(f"{a[1]:%Y%m%dT%H%M%SZ}")
+
+
+@pytest.mark.parametrize("at", ["before", "after"])
+def test_a_stream_that_fails_midway_is_replayed_to_the_same_table(spark, tmp_path, monkeypatch, at):
+    from gaugeline import streaming
+    from gaugeline.operators.staging import latest_weather
+
+    raw, top = fixtures.raw_tables(spark, SF).weather, str(tmp_path)
+    raw.repartition(4, "event_id").write.parquet(f"{top}/source")
+    start = lambda: streaming.stream_latest(spark, f"{top}/source", raw.schema, f"{top}/target", ["city_id", "valid_ts_utc"], "valid_ts_utc", f"{top}/checkpoint", 1)
+    plain_commit = streaming.commit
+
+    def failing(session, target, batch_id, days):
+        if at == "after":
+            plain_commit(session, target, batch_id, days)
+        if batch_id == 2:
+            raise OSError("lost")
+        if at == "before":
+            plain_commit(session, target, batch_id, days)
+
+    monkeypatch.setattr(streaming, "commit", failing)
+    with pytest.raises(Exception, match="lost"):
+        start().awaitTermination()
+    monkeypatch.setattr(streaming, "commit", plain_commit)
+    start().awaitTermination()
+    got, want = streaming.read_latest(spark, f"{top}/target", raw.schema).drop("_day"), latest_weather(raw)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
