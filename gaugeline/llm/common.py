@@ -23,12 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A setting of Spark's: a query's shuffle files are deleted as soon as it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def hold(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
+
+    What was shuffled for it is not needed again, so it is deleted at once."""
+    spark = df.sparkSession
+    sc, before = spark.sparkContext, spark.conf.get(CLEAN_UP, None)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+        sc.setCheckpointDir(shared_folder(spark))
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint()  # a frame takes the setting when it is made
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
 
 def release(spark: SparkSession) -> None:

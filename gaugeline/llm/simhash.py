@@ -119,8 +119,8 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
     doc_id: within ranges as ranged() has them, and the last row of a range with the first of the next."""
     spark = docs.sparkSession
     step = ranged(docs)
-    release(spark)  # the shuffled texts, as soon as the frames that read them are gone
     full = [r["part"] for r in step.where(F.col("kind") == FIRST_ROW).select("part").orderBy("part").collect()]  # a number a range
+    release(spark)  # the shuffled texts; a query that just ended is held until the next one has run
     after = spark.createDataFrame(list(zip(full, full[1:] + full[:1], strict=True)), "part int, next int")
     firsts = step.where(F.col("kind") == FIRST_ROW).select(F.col("part").alias("next"), F.col("text").alias("following"))
     lasts = step.where(F.col("kind") == LAST_ROW).select("doc_id", "text", "part").join(after, "part").join(firsts, "next")
@@ -191,6 +191,7 @@ def classes(rows: DataFrame, radius: int = RADIUS, block: int = 2048, most: int
     most = block * (radius + 1) if most is None else most
     reps = rows.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     reps = hold(reps.select("node", F.unhex("fingerprint").alias("print"), "copies", "fingerprint"))
+    release(rows.sparkSession)
     cuts = cuts_of(SIZE, radius + 1)
 
     def tables(batches):
