@@ -1,9 +1,15 @@
 """Approximate nearest neighbours with a hierarchical k-means tree and best-bin-first search.
 
-The tree is fitted on a bounded sample of vectors; every vector is filed in a leaf. A query walks the
-tree with a priority queue of branches, nearest centre first, and so meets leaves in best-bin order.
-How many leaves to visit is calibrated: on the sample, held-out queries widen their search until the
-wanted share of true neighbours is in the visited leaves.
+The top of the tree is fitted on a bounded sample of vectors; every vector is filed in one of its leaves.
+Leaves that hold too many rows are split again by Spark, level by level, each by k-means on a bounded
+sample of its own rows, so that leaves grow in number with the table and not in size; these lower
+centres are a table that is joined, never sent whole to a task. A query walks the top with a priority queue
+of branches, nearest centre first, and so meets leaves in best-bin order; at a lower level the bins it holds
+are replaced by their children and ordered again.
+
+How many bins to keep at each level is calibrated on the whole table: for some probe rows the true
+neighbours are found by comparing all rows, and the search is widened until the wanted share of them lies
+in the bins kept.
 
 The search is a join of queries and candidates on the leaf. Equal vectors are one candidate that
 carries its k + 1 least ids, which is all that any query can return of it. A leaf of many vectors is
@@ -29,6 +35,8 @@ from pyspark.sql import functions as F
 from gaugeline.llm.common import groups, hold
 
 BRANCH, CELL = 8, 2048
+FAN, TRAIN = 64, 32  # children of a leaf that is split at most, and rows that train each
+PROBES = 200
 
 
 @dataclass(frozen=True)
@@ -53,13 +61,13 @@ class Tree:
                         todo.append((c, mine))
         return out
 
-    def best_bins(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves in best-bin-first order."""
+    def best_bins(self, q: np.ndarray, most: int) -> list[tuple[int, float]]:
+        """The first `most` leaves in best-bin-first order, each with the cosine of its centre."""
         queue, out = [(0.0, 0)], []
         while queue and len(out) < most:
-            _, node = heapq.heappop(queue)
+            far, node = heapq.heappop(queue)
             if node < 0:
-                out.append(-1 - node)
+                out.append((-1 - node, -far))
                 continue
             for near, c in zip((self.centres[node] @ q).tolist(), self.child[node], strict=True):
                 heapq.heappush(queue, (-near, c))
@@ -99,18 +107,10 @@ def grow(x: np.ndarray, leaf_size: int = 200, seed: int = 7) -> Tree:
     return Tree(centres, child, leaves)
 
 
-def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, queries: int = 200) -> int:
-    """The least number of leaves to visit that holds `recall` of the k nearest of held-out sample vectors."""
-    q = x[:: max(1, len(x) // queries)]
-    leaf = tree.leaf_of(x)
-    near = q @ x.T
-    near[np.arange(len(q)), np.arange(0, len(x), max(1, len(x) // queries))[: len(q)]] = -2
-    true = np.argsort(-near, 1)[:, :k]
-    rank = np.empty((len(q), tree.leaves), np.int64)
-    for i, v in enumerate(q):
-        rank[i, tree.best_bins(v, tree.leaves)] = np.arange(tree.leaves)
-    needed = np.sort(rank[np.arange(len(q))[:, None], leaf[true]].ravel())
-    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+def enough(ranks: list[int], recall: float) -> int:
+    """The least number of bins that holds the share `recall` of neighbours, whose bins have these ranks from 0."""
+    ranks = sorted(ranks)
+    return ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))] + 1 if ranks else 1
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -141,42 +141,160 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
-def search(rows: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, numbers: int = 1_280_000, leaves: int = 96, block: int = 1024) -> DataFrame:
+def against(rows: DataFrame, centres: DataFrame, width: int, all_children: bool) -> DataFrame:
+    """(id, v, leaf, near): the child of its leaf that each row of (leaf, part, id, v) is nearest to, or all of them.
+
+    A row of centres has the leaf and its children's centres of `width` components one after another in v."""
+    heads = centres.join(rows.select("leaf", "part").distinct(), "leaf").selectExpr("leaf", "part", "0 side", "cast(null as long) id", "v")
+    met = heads.unionByName(rows.selectExpr("leaf", "part", "1 side", "id", "v"))
+    met = met.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "side", "id")
+
+    def run(batches):
+        centre = None
+        for (leaf, _, side), t in groups(batches, ["leaf", "part", "side"]):
+            if side == 0:
+                centre = matrix(t.column("v")).reshape(-1, width)
+                continue
+            near = unit(matrix(t.column("v"))) @ centre.T
+            child = np.tile(np.arange(len(centre)), (len(near), 1)) if all_children else near.argmax(1)[:, None]
+            row = np.repeat(np.arange(len(near)), child.shape[1])
+            v = pa.nulls(len(row), pa.list_(pa.float64())) if all_children else t.column("v").combine_chunks()
+            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(pa.array(row)), v, pa.array(leaf * FAN + child.ravel()), pa.array(near[row, child.ravel()])], names=["id", "v", "leaf", "near"])
+
+    return met.mapInArrow(run, "id long, v array<double>, leaf long, near double")
+
+
+def split(filed: DataFrame, width: int, leaf_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """filed (vec_id, v, leaf) with leaves of more than `leaf_rows` rows split until none is, or none gives way,
+    and the centres of each level. At every level all leaves are numbered anew: leaf * FAN + child."""
+    levels, before = [], None
+    while True:
+        big = hold(filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows))
+        left = big.agg(F.sum("n")).first()[0]
+        if left is None or left == before or len(levels) == 8:
+            return filed, levels
+        mine, before = filed.join(big, "leaf"), left
+        nth = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("vec_id"), "vec_id"))
+        train = mine.withColumn("nth", nth).where(F.col("nth") <= FAN * TRAIN).select("leaf", "n", "vec_id", "v")
+
+        def fit(batches):
+            for (leaf, n), t in groups(batches, ["leaf", "n"]):
+                c, _ = kmeans(unit(matrix(t.column("v"))), min(FAN, -(-n // leaf_rows)), np.random.default_rng(leaf))
+                yield pa.RecordBatch.from_arrays([pa.array([leaf]), pa.array([c.ravel().tolist()])], names=["leaf", "v"])
+
+        centres = hold(train.repartition("leaf").sortWithinPartitions("leaf", "n", "vec_id").mapInArrow(fit, "leaf long, v array<double>"))
+        part = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / F.lit(CELL))).cast("int").alias("part")
+        moved = against(mine.select("leaf", part, F.col("vec_id").alias("id"), "v"), centres, width, False)
+        rest = filed.join(big, "leaf", "left_anti").select("vec_id", "v", (F.col("leaf") * FAN).alias("leaf"))
+        filed = hold(rest.union(moved.select("id", "v", "leaf")))
+        levels.append(centres)
+
+
+def neighbours_of(probes: list, filed: DataFrame, k: int) -> DataFrame:
+    """(node, vec_id, leaf): the k nearest rows of each probe, by comparing it with every row."""
+    ids, q = np.array([p["vec_id"] for p in probes]), unit(np.array([p["v"] for p in probes]))
+
+    def run(batches):
+        best = None
+        for b in batches:
+            vec, leaf, near = np.array(b.column(0)), np.array(b.column(2)), q @ unit(matrix(b.column(1))).T
+            near[ids[:, None] == vec] = -2
+            found = np.broadcast_to(vec, near.shape), np.broadcast_to(leaf, near.shape), near
+            best = found if best is None else tuple(np.concatenate([x, y], 1) for x, y in zip(best, found, strict=True))
+            top = np.argsort(-best[2], 1)[:, :k]
+            best = tuple(np.take_along_axis(x, top, 1) for x in best)
+        if best is not None:
+            columns = [np.repeat(ids, best[0].shape[1]), *(x.ravel() for x in best)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "vec_id", "leaf", "near"])
+
+    found = filed.select("vec_id", "v", "leaf").mapInArrow(run, "node long, vec_id long, leaf long, near double").where("near > -2")
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("near"), "vec_id"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= k).select("node", "vec_id", "leaf")
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """Each node's bins with their places in best-bin order, from 1."""
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("near"), "leaf")))
+
+
+def walk_top(nodes: DataFrame, tree: Tree, most: int) -> DataFrame:
+    """(node, leaf, near): the first bins of the top for every row of (node, v)."""
+
+    def walk(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                bins = [tree.best_bins(q, most) for q in unit(matrix(part.column(1)))]
+                leaf, near = (pa.array([[x[i] for x in found] for found in bins]).flatten() for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(part.column(0)), list(map(len, bins)))), leaf, near], names=["node", "leaf", "near"])
+
+    return nodes.select("node", "v").mapInArrow(walk, "node long, leaf long, near double")
+
+
+def descend(found: DataFrame, nodes: DataFrame, centres: DataFrame, width: int, parts: int) -> DataFrame:
+    """The bins (node, leaf, near) of one level below: those of split leaves give way to their children."""
+    marked = found.join(centres.select("leaf", F.lit(True).alias("split")), "leaf", "left")
+    still = marked.where("split is null").select("node", (F.col("leaf") * FAN).alias("leaf"), "near")
+    part = F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part")
+    asks = marked.where("split").select("node", "leaf").join(nodes, "node").select("leaf", part, F.col("node").alias("id"), "v")
+    return still.union(against(asks, centres, width, True).select("id", "leaf", "near"))
+
+
+def calibrate(probes: list, filed: DataFrame, tree: Tree, levels: list[DataFrame], k: int, recall: float) -> list[int]:
+    """How many bins to keep at the top and at each level below for the share `recall` of the probes' true neighbours."""
+    spark, depth = filed.sparkSession, len(levels)
+    share = recall ** (1 / (depth + 1))
+    true = neighbours_of(probes, filed, k).collect()  # k rows a probe
+    probe = {p["vec_id"]: unit(np.array([p["v"]]))[0] for p in probes}
+    ranks = {n: {leaf: i for i, (leaf, _) in enumerate(tree.best_bins(v, tree.leaves))} for n, v in probe.items()}
+    visits = [enough([ranks[t["node"]][t["leaf"] // FAN**depth] for t in true], share)]
+    if levels:
+        nodes = spark.createDataFrame([(p["vec_id"], p["v"]) for p in probes], "node long, v array<double>")
+        found = walk_top(nodes, tree, visits[0])
+        for i, centres in enumerate(levels):
+            found = hold(in_order(descend(found, nodes, centres, len(probes[0]["v"]), 1)))
+            want = spark.createDataFrame([(t["node"], t["leaf"] // FAN ** (depth - i - 1)) for t in true], "node long, leaf long")
+            visits.append(enough([r["nth"] - 1 for r in want.join(found, ["node", "leaf"]).select("nth").collect()], share))
+            found = found.where(F.col("nth") <= visits[-1]).drop("nth")
+    return visits
+
+
+def search(rows: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, numbers: int = 1_280_000, leaves: int = 96, block: int = 1024, leaf_rows: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose vec_id is divisible by `every`; see the module's text.
 
-    The tree, of about `leaves` leaves and more (to be raised with the table), and the number of leaves to
-    visit are fitted on at most `numbers` vector components, of the rows lowest in a hash order of their ids."""
+    The top of the tree, of about `leaves` leaves and more, is fitted on at most `numbers` vector components,
+    of the rows lowest in a hash order of their ids; leaves of more than `leaf_rows` rows are split again."""
     spark = rows.sparkSession
     rows = hold(usable(rows))
     first = rows.first()
     if first is None:
         return spark.createDataFrame([], SCHEMA)
-    bound = max(64, numbers // max(1, len(first["v"])))
-    sample = unit(np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).select("v").collect()]))
+    width = len(first["v"])
+    bound = max(64, numbers // max(1, width))
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).select("vec_id", "v").collect()
+    sample = unit(np.array([r["v"] for r in chosen]))
     tree = grow(sample, max(32, len(sample) // leaves))
-    visits = calibrate(tree, sample, k, recall) if len(sample) > 1 else tree.leaves
 
     def file(batches):
         for b in batches:
             yield b.append_column("leaf", pa.array(tree.leaf_of(unit(matrix(b.column(1)))), pa.int64()))
 
-    def walk(batches):
-        for b in batches:
-            found = [tree.best_bins(q, visits) for q in unit(matrix(b.column(1)))]
-            yield b.append_column("leaves", pa.array(found, pa.list_(pa.int64())))
-
     # every distinct vector stands for itself with its k + 1 least ids; map tasks keep no more of them
     least = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     filed = hold(rows.withColumn("n", least).where(F.col("n") <= k + 1).select("vec_id", "v").mapInArrow(file, "vec_id long, v array<double>, leaf long"))
-    cells = filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("cells"))  # a row a leaf of the tree
-    candidates = filed.join(F.broadcast(cells), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("cells")).cast("int").alias("cell"), F.lit(0).alias("side"), F.lit(0).alias("part"), F.col("vec_id").alias("id"), "v")
+    filed, levels = split(filed, width, leaf_rows)
+    visits = calibrate(chosen[:PROBES], filed, tree, levels, k, recall)
+    cells = hold(filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("cells")))
+    candidates = filed.join(cells, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("cells")).cast("int").alias("cell"), F.lit(0).alias("side"), F.lit(0).alias("part"), F.col("vec_id").alias("id"), "v")
     asked = rows.where(F.col("vec_id") % every == 0)
     nodes = hold(asked.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")))
     parts = max(1, -(-nodes.count() // block))
-    walked = nodes.select("node", "v").mapInArrow(walk, "node long, v array<double>, leaves array<long>")
+    found = walk_top(nodes, tree, visits[0])
+    for centres, most in zip(levels, visits[1:], strict=True):
+        found = in_order(descend(found, nodes, centres, width, parts)).where(F.col("nth") <= most).drop("nth")
     queries = (
-        walked.select("node", "v", F.explode("leaves").alias("leaf"))
-        .join(F.broadcast(cells), "leaf")
+        found.join(cells, "leaf")
+        .join(nodes, "node")
         .select("leaf", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(1).alias("side"), F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part"), F.col("node").alias("id"), "v")
     )
     met = candidates.union(queries).repartition("leaf", "cell").sortWithinPartitions("leaf", "cell", "side", "part", "id")

@@ -56,9 +56,82 @@ def test_best_bins_visits_every_leaf_once():
     rng = np.random.default_rng(1)
     x = kmeans_tree.unit(rng.normal(size=(2000, 8)))
     tree = kmeans_tree.grow(x, 50)
-    order = tree.best_bins(x[0], tree.leaves)
+    order = [leaf for leaf, _ in tree.best_bins(x[0], tree.leaves)]
     assert sorted(order) == list(range(tree.leaves)) and set(tree.leaf_of(x).tolist()) <= set(order)
-    assert kmeans_tree.calibrate(tree, x, 5, 0.95) <= tree.leaves
+
+
+def test_enough_bins_for_a_share():
+    assert [kmeans_tree.enough(list(range(100)), r) for r in (0.0, 0.5, 0.97, 1.0)] == [1, 51, 98, 100]
+    assert kmeans_tree.enough([], 0.9) == 1
+
+
+def clustered(n):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, n)] + 0.3 * rng.normal(size=(n, 16))
+    return [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+
+
+@pytest.fixture
+def parts(spark):
+    """filed and levels of a small top (2 trained leaves or so) whose leaves are split at 40 rows."""
+
+    def of(rows):
+        x = kmeans_tree.unit(np.array([v for _, v in rows], float))
+        tree = kmeans_tree.grow(x[:100], 60)
+        filed = spark.createDataFrame([(i, [float(c) for c in v], int(leaf)) for (i, v), leaf in zip(rows, tree.leaf_of(x), strict=True)], "vec_id long, v array<double>, leaf long")
+        return tree, *kmeans_tree.split(filed, 16, 40)
+
+    return of
+
+
+def test_leaves_grow_with_the_table(parts):
+    counts, shares = [], []
+    for n in (1000, 4000):
+        rows = clustered(n)
+        tree, filed, levels = parts(rows)
+        assert len(levels) >= 1 and sorted(r["vec_id"] for r in filed.select("vec_id").collect()) == list(range(n))
+        counts.append(filed.select("leaf").distinct().count())
+        probes = filed.orderBy("vec_id").limit(60).collect()
+        visits = kmeans_tree.calibrate(probes, filed, tree, levels, 5, 0.97)
+        assert len(visits) == len(levels) + 1
+        shares.append(visits[-1] / counts[-1])
+    assert counts[1] > 2.5 * counts[0] and shares[1] < shares[0] < 1
+
+
+def test_probes_meet_every_row(spark, parts):
+    rows = clustered(1000)
+    _, filed, _ = parts(rows)
+    probes = filed.where("vec_id % 50 = 0").collect()
+    got = {}
+    for r in kmeans_tree.neighbours_of(probes, filed, 5).collect():
+        got.setdefault(r["node"], set()).add(r["vec_id"])
+    assert got == {q: {i for i, _ in near} for q, near in brute(rows, 50, 5).items()}
+
+
+def test_recall_through_split_leaves(spark):
+    rows = clustered(3000)
+    got = {}
+    for r in kmeans_tree.search(frame(spark, rows), leaves=4, leaf_rows=60, block=16).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(rows, 50, 5)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert sum(len(got[q] & {i for i, _ in near}) for q, near in want.items()) >= 0.9 * 5 * len(want)
+
+
+def test_leaves_that_do_not_give_way(spark):
+    rows = [(i, [1.0, 0.0], 0) for i in range(90)]
+    filed, levels = kmeans_tree.split(spark.createDataFrame(rows, "vec_id long, v array<double>, leaf long"), 2, 40)
+    assert filed.count() == 90 and len(levels) <= 1
+
+
+def test_recall_on_the_given_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {}
+    for r in kmeans_tree.search(table).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute([tuple(r) for r in table.select("vec_id", "embedding").collect()], 50, 5)
+    assert set(got) == set(want)
+    assert sum(len(got[q] & {i for i, _ in near}) for q, near in want.items()) >= 0.9 * 5 * len(want)
 
 
 @pytest.mark.parametrize("rows", [[], [(0, None)], [(0, [1.0, 2.0])]])
