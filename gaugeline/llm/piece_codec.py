@@ -140,7 +140,7 @@ class Codec:
         codes[first + size] = 0
         end, start, row = self.edges(codes)
         bounds = np.searchsorted(end, np.arange(len(codes) + 2)).tolist()
-        starts, pieces = start.tolist(), self.ids[row].tolist()
+        starts, pieces, judged = start.tolist(), self.ids[row].tolist(), self.pairs
         for text, a, n in zip(new, first.tolist(), size.tolist(), strict=True):
             last = [UNKNOWN] * (n + 1)
             width = [1] * (n + 1)
@@ -148,7 +148,8 @@ class Codec:
                 for k in range(bounds[a + e], bounds[a + e + 1]):
                     s, piece = starts[k] - a, pieces[k]
                     before = last[s] if s else UNKNOWN
-                    if self.follows(before, piece):
+                    v = judged.get((before << 20) + piece)
+                    if v or (v is None and self.follows(before, piece)):
                         last[e], width[e] = piece, e - s
                         break
             out, e = [], n
@@ -191,16 +192,20 @@ class Codec:
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that a merge never leaves, as little-endian bytes."""
-        cut = self.stretches(texts)
-        new = {s for ss in cut for s in ss} - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
+        known = self.known
+        cut = [[t] if t in known else None for t in texts]
+        todo = [i for i, ss in enumerate(cut) if ss is None]
+        for i, ss in zip(todo, self.stretches([texts[i] for i in todo]), strict=True):
+            cut[i] = ss
+        new = {s for i in todo for s in cut[i]} - known.keys()
+        if len(known) + len(new) > self.most:
+            known.clear()
             new = {s for ss in cut for s in ss}
         runs = [s for s in new if s.count(SPACE) > 1]
-        self.known.update((s, self.run_of(s)) for s in runs)
+        known.update((s, self.run_of(s)) for s in runs)
         if rest := sorted(new.difference(runs)):
             self.learn(rest)
-        return [b"".join(map(self.known.__getitem__, ss)) for ss in cut]
+        return [known[ss[0]] if len(ss) == 1 else b"".join(map(known.__getitem__, ss)) for ss in cut]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's begin (one more entry than texts)."""
