@@ -18,8 +18,11 @@ query its k best at most, and the best of all cells are taken.
 
 Nearness is the cosine of the original vectors in double precision; ties go to the smaller id.
 Defined results: vectors that are null or zero, or hold a null or a non-finite component, take no part,
-nor do ids that are null or vectors of another length than most; rows that repeat an id count once,
-with the least vector; with fewer candidates than k all are returned; extra columns are ignored.
+nor do rows whose id is null. Every other row is a query, if its id says so, and a candidate for all
+queries but itself, so rows that repeat an id, with the same vector or another, are candidates of each
+other. A cosine needs vectors of one length: those of the length that most have are searched by the tree,
+and those of any other length are one bin, which all queries of that length visit. With fewer candidates
+than k all are returned; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from gaugeline.llm.common import groups, hold
 
 BRANCH, CELL = 8, 2048
 FAN, TRAIN = 64, 32  # children of a leaf that is split at most, and rows that train each
-PROBES = 200
+PROBES, COPIES = 200, 4096
 
 
 @dataclass(frozen=True)
@@ -114,13 +117,11 @@ def enough(ranks: list[int], recall: float) -> int:
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): the rows that take part, v an array of doubles, one row an id."""
+    """(vec_id, v, n): the rows that take part, v an array of doubles, n the number of rows that are alike."""
     v = F.col("embedding").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (size["n"] if size else 0))
+    return rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -266,12 +267,13 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, n
     of the rows lowest in a hash order of their ids; leaves of more than `leaf_rows` rows are split again."""
     spark = rows.sparkSession
     rows = hold(usable(rows))
-    first = rows.first()
-    if first is None:
+    widths = rows.groupBy(F.size("v").alias("width")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "width").take(2)
+    if not widths:
         return spark.createDataFrame([], SCHEMA)
-    width = len(first["v"])
+    width, others = widths[0]["width"], len(widths) > 1
+    usual, own_bin = F.size("v") == width, (-F.size("v")).cast("long").alias("leaf")
     bound = max(64, numbers // max(1, width))
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).select("vec_id", "v").collect()
+    chosen = rows.where(usual).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(bound).select("vec_id", "v").collect()
     sample = unit(np.array([r["v"] for r in chosen]))
     tree = grow(sample, max(32, len(sample) // leaves))
 
@@ -279,19 +281,26 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, n
         for b in batches:
             yield b.append_column("leaf", pa.array(tree.leaf_of(unit(matrix(b.column(1)))), pa.int64()))
 
-    # every distinct vector stands for itself with its k + 1 least ids; map tasks keep no more of them
+    # every distinct vector stands for itself with its k + 1 least ids, each at most k + 1 times; map tasks keep no more of them
     least = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    filed = hold(rows.withColumn("n", least).where(F.col("n") <= k + 1).select("vec_id", "v").mapInArrow(file, "vec_id long, v array<double>, leaf long"))
+    copies = F.sequence(F.lit(1), F.least("n", F.lit(k + 1)).cast("int"))
+    standing = rows.withColumn("nth", least).where(F.col("nth") <= k + 1).select("vec_id", "v", F.explode(copies)).select("vec_id", "v")
+    filed = hold(standing.where(usual).mapInArrow(file, "vec_id long, v array<double>, leaf long"))
     filed, levels = split(filed, width, leaf_rows)
-    visits = calibrate(chosen[:PROBES], filed, tree, levels, k, recall)
+    probes = list({r["vec_id"]: r for r in chosen}.values())[:PROBES]
+    visits = calibrate(probes, filed, tree, levels, k, recall)
+    if others:
+        filed = hold(filed.union(standing.where(~usual).select("vec_id", "v", own_bin)))
     cells = hold(filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("cells")))
     candidates = filed.join(cells, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("cells")).cast("int").alias("cell"), F.lit(0).alias("side"), F.lit(0).alias("part"), F.col("vec_id").alias("id"), "v")
     asked = rows.where(F.col("vec_id") % every == 0)
-    nodes = hold(asked.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")))
+    nodes = hold(asked.select("v").distinct().withColumn("node", F.monotonically_increasing_id()))
     parts = max(1, -(-nodes.count() // block))
-    found = walk_top(nodes, tree, visits[0])
+    found = walk_top(nodes.where(usual), tree, visits[0])
     for centres, most in zip(levels, visits[1:], strict=True):
         found = in_order(descend(found, nodes, centres, width, parts)).where(F.col("nth") <= most).drop("nth")
+    if others:
+        found = found.union(nodes.where(~usual).select("node", own_bin, F.lit(1.0)))
     queries = (
         found.join(cells, "leaf")
         .join(nodes, "node")
@@ -299,18 +308,18 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, n
     )
     met = candidates.union(queries).repartition("leaf", "cell").sortWithinPartitions("leaf", "cell", "side", "part", "id")
 
-    def kept(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def kept(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
         """The k + 1 best of every query among what a task has found so far."""
-        node, vec, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        node, vec, score, same = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.lexsort((vec, -score, node))
-        node, vec, score = node[order], vec[order], score[order]
+        node, vec, score, same = node[order], vec[order], score[order], same[order]
         first = np.concatenate([[True], node[1:] != node[:-1]])
         nth = np.arange(len(node)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-        return node[nth <= k], vec[nth <= k], score[nth <= k]
+        return node[nth <= k], vec[nth <= k], score[nth <= k], same[nth <= k]
 
     def best(batches):
         here, ids, x, found, rows = None, None, None, [], 0
-        emit = lambda f: pa.RecordBatch.from_arrays([pa.array(c) for c in kept(f)], names=["node", "vec_id", "score"])
+        emit = lambda f: pa.RecordBatch.from_arrays([pa.array(c) for c in kept(f)], names=["node", "vec_id", "score", "same"])
         for (leaf, cell, side, _), t in groups(batches, ["leaf", "cell", "side", "part"]):
             v, own = matrix(t.column("v")), np.array(t.column("id"))
             if side == 0:
@@ -323,8 +332,9 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, n
             q = np.repeat(np.arange(len(own)), top.shape[1])
             score = cosines(v[q], x[top.ravel()]).reshape(top.shape)
             order = np.lexsort((ids[top], -score), axis=1)[:, : k + 1]
-            take = np.take_along_axis
-            found.append((np.repeat(own, order.shape[1]), ids[take(top, order, 1)].ravel(), take(score, order, 1).ravel()))
+            top, score = np.take_along_axis(top, order, 1).ravel(), np.take_along_axis(score, order, 1).ravel()
+            q = np.repeat(np.arange(len(own)), order.shape[1])
+            found.append((own[q], ids[top], score, (v[q] == x[top]).all(1)))
             rows += order.size
             if rows > 200_000:
                 found = [kept(found)]
@@ -335,10 +345,16 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, n
         if found:
             yield emit(found)
 
-    found = met.mapInArrow(best, "node long, vec_id long, score double")
+    found = met.mapInArrow(best, "node long, vec_id long, score double, same boolean")
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "vec_id"))
-    found = found.withColumn("n", rank).where(F.col("n") <= k + 1).drop("n")
-    named = asked.join(nodes.select("v", "node"), "v").select(F.col("vec_id").alias("query_id"), "node")
-    out = named.join(found, "node").where("query_id != vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = found.withColumn("nth", rank).where(F.col("nth") <= k + 1).drop("nth")
+    named = asked.join(nodes, "v").select(F.col("vec_id").alias("query_id"), "node", "n")
+    out = named.join(found, "node").withColumn("own", F.col("same") & (F.col("query_id") == F.col("vec_id")))
+    # of the rows that are alike, one is the query itself
+    out = out.withColumn("nth", F.row_number().over(Window.partitionBy("node", "query_id", "own").orderBy("vec_id"))).where("not own or nth > 1")
+    rank = F.row_number().over(Window.partitionBy("node", "query_id").orderBy(F.desc("score"), "vec_id"))
+    out = out.withColumn("rank", rank).where(F.col("rank") <= k)
+    # a row of the result for each of the query's rows, made in blocks so that no array grows with them
+    out = out.withColumn("past", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("past"), F.lit(COPIES)).cast("int"))))
+    return out.select("query_id", "rank", "vec_id", "score")

@@ -134,6 +134,31 @@ def test_recall_on_the_given_embeddings(spark):
     assert sum(len(got[q] & {i for i, _ in near}) for q, near in want.items()) >= 0.9 * 5 * len(want)
 
 
+def brute_of_rows(rows, every, k):
+    """All (query_id, rank, vec_id) with every row on its own: a query's candidates are the other rows of its length."""
+    unit = [np.array(v, float) / np.linalg.norm(v) for _, v in rows]
+    out = []
+    for a, (q, v) in enumerate(rows):
+        if q % every == 0:
+            near = sorted((-round(float(unit[a] @ unit[b]), 12), i) for b, (i, w) in enumerate(rows) if b != a and len(w) == len(v))
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(near[:k])]
+    return sorted(out)
+
+
+def test_repeated_ids_scaled_copies_and_other_lengths(spark):
+    rng = np.random.default_rng(5)
+    few = lambda n, width: rng.normal(size=(n, width)).astype(np.float32).tolist()
+    rows = list(enumerate(few(300, 6)))
+    rows += [rows[0]] * 9 + [rows[50]] * 2 + [rows[7]] * 3  # whole rows again, more often than k + 1
+    rows += list(zip([0, 50, 50, 7, 8], few(5, 6), strict=True))  # the same ids with other vectors
+    rows += [(i, [4 * c for c in rows[100][1]]) for i in (100, 101, 900)]  # scaled copies: equal cosines
+    rows += list(zip([0, 50, 350, 351, 352], few(5, 9), strict=True)) + [(400, [1.0])] + list(zip(range(450, 460), few(10, 2000), strict=True))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in kmeans_tree.search(frame(spark, rows), recall=1.0, leaves=2, leaf_rows=80).collect())
+    want = brute_of_rows(rows, 50, 5)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert np.allclose([x[3] for x in got], [x[3] for x in want], atol=1e-11)
+
+
 @pytest.mark.parametrize("rows", [[], [(0, None)], [(0, [1.0, 2.0])]])
 def test_no_candidates(spark, rows):
     out = kmeans_tree.search(frame(spark, rows))
