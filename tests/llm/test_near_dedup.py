@@ -100,3 +100,12 @@ def test_the_stage_links_from_four_fifths_on(spark, docs):
     d = docs(rows)
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_duplicates(spark, d, "").collect()) == [*range(20), *range(40, 80)]
     assert near_dedup.near_duplicates(d).where("kept").count() == 80
+
+
+def test_very_long_texts_of_many_words(docs):
+    words = [f"w{k}" for k in range(120_000)]
+    near = ["x" if k % 2_000 == 0 else w for k, w in enumerate(words)]
+    half = words[:60_000] + [f"v{k}" for k in range(60_000)]
+    out = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs([(5, " ".join(words)), (3, " ".join(near)), (4, " ".join(half)), (9, "  ".join(words))])).collect()}
+    assert {i: r["component_id"] for i, r in out.items()} == {3: 3, 5: 3, 9: 3, 4: 4}
+    assert out[5]["n_shingles"] == out[9]["n_shingles"] == 119_996

@@ -45,3 +45,13 @@ def test_nulls_and_empty_tables(docs, rows):
     out = piece_codec.round_trips(d, PATH).collect()
     assert len(out) == len(rows) and all(r["round_trip"] for r in out)
     assert piece_codec.decode(piece_codec.encode(d, PATH), PATH).count() == len(rows)
+
+
+def test_long_and_repeated_texts_and_clashing_columns(docs):
+    long = "Hello  world, été 漢字 don't " * 30_000
+    texts = [long, long, "a b", "a b", "c" * 50_000, long[5:] + " "]
+    d = docs([(i // 2, t) for i, t in enumerate(texts)]).selectExpr("*", "'x' ids", "0 n_pieces", "1 ids_crc32", "2 decoded_chars", "'y' round_trip")
+    want = sorted(zip([i // 2 for i in range(len(texts))], LIBRARY.encode(texts), strict=True))
+    assert sorted((r["doc_id"], r["ids"]) for r in piece_codec.encode(d, PATH).collect()) == want
+    out = piece_codec.round_trips(d, PATH).collect()
+    assert sorted((r["doc_id"], r["n_pieces"]) for r in out) == sorted((i, len(x)) for i, x in want) and all(r["round_trip"] for r in out)
