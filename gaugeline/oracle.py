@@ -52,28 +52,35 @@ PARTS = {
     "normals": """SELECT city_id, month(date) AS month, {r2(avg(temperature_2m_max))} AS normal_temperature_2m_max FROM daily_weather WHERE city_id <> 'site_9' GROUP BY 1, 2""",
     "baseline_join": """SELECT s.*, month(s.date) AS month, n.normal_temperature_2m_max FROM signal_panel s
       LEFT JOIN normals n ON n.city_id = s.city_id AND n.month = month(s.date)""",
-    "velocity": """SELECT *, coalesce(lead(temperature_2m_max) OVER w - temperature_2m_max, 0) AS temp_velocity,
-      CASE WHEN river_discharge_m3s > 0 THEN coalesce((lead(river_discharge_m3s) OVER w - river_discharge_m3s) / river_discharge_m3s, 0) ELSE 0.0e0 END AS river_velocity_pct
-      FROM baseline_join WINDOW w AS (PARTITION BY city_id ORDER BY date)""",
-    "factor_scores": """SELECT *, {held((temperature_2m_max - normal_temperature_2m_max) * 5.0e0 + greatest(0, temp_velocity) * 5.0e0)} AS heat_score,
-      {held(CASE WHEN wind_gusts_10m_max IS NOT NULL THEN greatest(0, wind_gusts_10m_max - 40) END * 2.5e0)} AS wind_score,
-      {held(precipitation_sum_mm * 2.0e0)} AS rain_score, {held(coalesce(european_aqi_max, 0.0e0))} AS air_score,
-      {held(greatest(0, river_velocity_pct) * 200.0e0)} AS river_score FROM velocity""",
-    "scored": """SELECT city_id, date, temperature_2m_max, precipitation_sum_mm, wind_gusts_10m_max, european_aqi_max, river_discharge_m3s,
-      {r1(heat_score)} AS heat_score, {r1(wind_score)} AS wind_score, {r1(rain_score)} AS rain_score, {r1(air_score)} AS air_score, {r1(river_score)} AS river_score,
-      CASE WHEN heat_score IS NULL OR wind_score IS NULL OR rain_score IS NULL OR air_score IS NULL OR river_score IS NULL THEN NULL
-        ELSE {r1(greatest(heat_score, wind_score, rain_score, air_score, river_score))} END AS global_tipping_score FROM factor_scores""",
-    "risk_history": """SELECT *, CASE WHEN global_tipping_score = 0 THEN 'Stable' WHEN global_tipping_score = heat_score THEN 'Heat'
-      WHEN global_tipping_score = river_score THEN 'River/Flood' WHEN global_tipping_score = wind_score THEN 'Wind'
-      WHEN global_tipping_score = rain_score THEN 'Rain' WHEN global_tipping_score = air_score THEN 'Air Quality' ELSE 'Unknown' END AS primary_driver FROM scored""",
+    "in_turn": """SELECT *, row_number() OVER (PARTITION BY city_id ORDER BY date) AS nth FROM baseline_join""",
+    "velocity": """SELECT a.* EXCLUDE (nth), coalesce(b.temperature_2m_max - a.temperature_2m_max, 0) AS temp_velocity,
+      CASE WHEN a.river_discharge_m3s > 0 AND b.river_discharge_m3s IS NOT NULL THEN (b.river_discharge_m3s - a.river_discharge_m3s) / a.river_discharge_m3s ELSE 0.0e0 END AS river_velocity_pct
+      FROM in_turn a LEFT JOIN in_turn b ON b.city_id = a.city_id AND b.nth = a.nth + 1""",
+    "factor_rows": """SELECT city_id, date, 'heat_score' AS factor, {held((temperature_2m_max - normal_temperature_2m_max) * 5.0e0 + greatest(0, temp_velocity) * 5.0e0)} AS score FROM velocity
+      UNION ALL SELECT city_id, date, 'wind_score', {held((wind_gusts_10m_max - 40) * 2.5e0)} FROM velocity
+      UNION ALL SELECT city_id, date, 'rain_score', {held(precipitation_sum_mm * 2.0e0)} FROM velocity
+      UNION ALL SELECT city_id, date, 'air_score', {held(coalesce(european_aqi_max, 0.0e0))} FROM velocity
+      UNION ALL SELECT city_id, date, 'river_score', {held(river_velocity_pct * 200.0e0)} FROM velocity""",
+    # fixed values: which driver names a day when several factors are the largest, first to last
+    "drivers": """SELECT * FROM (VALUES (1, 'heat_score', 'Heat'), (2, 'river_score', 'River/Flood'), (3, 'wind_score', 'Wind'), (4, 'rain_score', 'Rain'), (5, 'air_score', 'Air Quality')) d(place, factor, driver)""",
+    "overall": """SELECT city_id, date, CASE WHEN count(score) = 5 THEN {r1(max(score))} END AS global_tipping_score FROM factor_rows GROUP BY city_id, date""",
+    "first_driver": """SELECT o.city_id, o.date, arg_min(d.driver, d.place) AS driver FROM overall o
+      JOIN factor_rows f ON f.city_id = o.city_id AND f.date = o.date AND {r1(f.score)} = o.global_tipping_score JOIN drivers d ON d.factor = f.factor GROUP BY 1, 2""",
+    "factor_scores": """PIVOT factor_rows ON factor IN ('heat_score', 'wind_score', 'rain_score', 'air_score', 'river_score') USING max(score) GROUP BY city_id, date""",
+    "risk_history": """SELECT v.city_id, v.date, v.temperature_2m_max, v.precipitation_sum_mm, v.wind_gusts_10m_max, v.european_aqi_max, v.river_discharge_m3s,
+      {r1(s.heat_score)} AS heat_score, {r1(s.wind_score)} AS wind_score, {r1(s.rain_score)} AS rain_score, {r1(s.air_score)} AS air_score, {r1(s.river_score)} AS river_score,
+      o.global_tipping_score, if(o.global_tipping_score = 0, 'Stable', coalesce(l.driver, 'Unknown')) AS primary_driver
+      FROM velocity v JOIN factor_scores s ON s.city_id = v.city_id AND s.date = v.date JOIN overall o ON o.city_id = v.city_id AND o.date = v.date
+      LEFT JOIN first_driver l ON l.city_id = v.city_id AND l.date = v.date""",
     "window_rows": """SELECT *, row_number() OVER (PARTITION BY city_id ORDER BY global_tipping_score DESC NULLS LAST, date, primary_driver) AS rn
       FROM risk_history WHERE date BETWEEN DATE '2024-01-15' AND DATE '2024-01-16'""",
     "risk_current": """SELECT *, rank() OVER (ORDER BY current_tipping_score DESC NULLS LAST) AS rank FROM (
       SELECT city_id, max(global_tipping_score) AS current_tipping_score,
       max(CASE WHEN rn = 1 AND global_tipping_score IS NOT NULL THEN primary_driver END) AS current_primary_driver FROM window_rows GROUP BY city_id)""",
-    "zoned": """SELECT *, CASE WHEN current_tipping_score >= 81 THEN '🔴 Critical' WHEN current_tipping_score >= 61 THEN '🟠 Tipping'
-      WHEN current_tipping_score >= 31 THEN '🟡 Monitoring' ELSE '🟢 Stable' END AS zone_name,
-      CAST(CASE WHEN current_tipping_score >= 81 THEN 1 WHEN current_tipping_score >= 61 THEN 2 WHEN current_tipping_score >= 31 THEN 3 ELSE 4 END AS BIGINT) AS zone_order FROM risk_current""",
+    # fixed values: zones and the least score of each
+    "zones": """SELECT CAST(zone_order AS BIGINT) AS zone_order, least, zone_name FROM (VALUES (1, 81, '🔴 Critical'), (2, 61, '🟠 Tipping'), (3, 31, '🟡 Monitoring'), (4, NULL, '🟢 Stable')) z(zone_order, least, zone_name)""",
+    "zoned": """SELECT r.*, z.zone_name, z.zone_order FROM risk_current r JOIN zones z ON z.least IS NULL OR r.current_tipping_score >= z.least
+      QUALIFY row_number() OVER (PARTITION BY r.city_id ORDER BY z.zone_order) = 1""",
     "zone_summary": """SELECT zone_name, count(city_id) AS city_count, string_agg(city_id, ', ' ORDER BY city_id) AS cities_in_zone,
       string_agg(DISTINCT current_primary_driver, ', ' ORDER BY current_primary_driver) AS drivers_in_zone FROM zoned GROUP BY zone_name, zone_order""",
     "sites": """SELECT DISTINCT city_id, 'Site ' || CAST(site AS VARCHAR) AS city_name, 'XX' AS country_code, CAST(site * 1.5 AS DOUBLE) AS latitude,

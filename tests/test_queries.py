@@ -9,8 +9,10 @@ import pytest
 
 from gaugeline import oracle, plans
 from gaugeline.fixtures import normals_of, raw_tables
-from gaugeline.operators import current, scoring
+from gaugeline.operators import current, scoring, staging
 from gaugeline.queries import AS_OF, models, queries
+from gaugeline.sources import files
+from gaugeline.sources.feeds import WEATHER
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,11 +68,12 @@ def test_a_repeated_run_changes_nothing(spark):
     assert once.exceptAll(twice).count() == 0 and once.count() == twice.count()
 
 
-def test_site_filter_reaches_the_scan(spark):
-    df = models(spark, SF)["latest_weather"].where("city_id = 'site_3'")
+def test_site_filter_reaches_the_scan(spark, tmp_path):
+    files.append_raw(raw_tables(spark, SF).weather, str(tmp_path / "raw"), WEATHER)
+    df = staging.latest_weather(files.read_raw(spark, str(tmp_path / "raw"), WEATHER)).where("city_id = 'site_3'")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan
-    assert plan.rindex("site_3") > plan.index("Window")
+    assert "EqualTo(city_id,site_3)" in plan[plan.index("PushedFilters") :]
 
 
 def test_as_of_defaults_to_today(spark):
