@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeline.llm import crf_langid, kmeans_tree, near_dedup, packing, piece_codec, pii, quality, simhash, toxicity, url_trees
+from gaugeline.llm import crf_langid, kmeans_tree, near_dedup, packing, piece_codec, pii, quality, runs, simhash, toxicity, url_trees
 from gaugeline.llm.common import table
 
 
@@ -55,8 +55,16 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_packing, op3_pii, op4_language, op5_near_dedup, op6_fingerprints, op7_neighbours, op8_toxicity, op9_quality, op10_pieces)}
+    named = (
+        op1_url_filters, op2_packing, op3_pii, op4_language, op5_near_dedup, op6_fingerprints, op7_neighbours, op8_toxicity,
+        op9_quality, op10_pieces, op11_runs,
+    )
+    return {f.__name__: f for f in named}
 
 
 #: Full shingle sets, pairs that share a shingle, and the closure of the links; for small tables only.
