@@ -1,0 +1,133 @@
+import glob
+import hashlib
+import os
+import re
+import zlib
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from gaugeline.llm import prefix_trie, queries
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def brute(paths):
+    """Nodes of {conv_id: [(role, text), ..]} as a dictionary of tuples."""
+    members = defaultdict(list)
+    for c, turns in paths.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    out = {}
+
+    def sums(node):
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", node[-1][1])) if node else 0
+        leaves, saved = int(not children[node]), (len(members[node]) - 1) * words
+        for x in children[node]:
+            a, b = sums(x)
+            leaves, saved = leaves + a, saved + b
+        ends = ",".join(map(str, sorted(c for c in members[node] if len(paths[c]) == len(node))))
+        out[node] = (min(members[node]), len(node), min(members[node[:-1]]) if node else None, len(members[node]), len(children[node]), leaves, saved, hashlib.sha256(ends.encode()).hexdigest())
+        return leaves, saved
+
+    if paths:
+        sums(())
+    return sorted(map(str, out.values()))
+
+
+def rebuilt(paths):
+    out = {}
+    for c, turns in paths.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        out[c] = paths.get(c - c % 20, [])[:h] + turns[h:]
+    return out
+
+
+def rows_of(df):
+    return sorted(str(tuple(r[c] for c in COLUMNS)) for r in df.collect())
+
+
+@pytest.fixture
+def conversations(spark):
+    def make(paths):
+        rows = [(c, t, role, text) for c, turns in paths.items() for t, (role, text) in enumerate(turns)]
+        return spark.createDataFrame(rows[::-1], "conv_id long, turn long, role string, text string").selectExpr("*", "1 end", "'x' path", "2 n", "'y' digest")
+
+    return make
+
+
+def random_paths(seed, n):
+    rng = np.random.default_rng(seed)
+    made = {}
+    for c in rng.permutation(n * 3)[:n].tolist():
+        made[c] = [(["user", "assistant"][d % 2], "w " * int(rng.integers(0, 3))) for d in range(int(rng.integers(1, 9)))]
+    return made
+
+
+@pytest.mark.parametrize("shard", [5, 40, 500_000])
+def test_nodes_equal_brute_force_in_any_number_of_shards(conversations, shard):
+    paths = random_paths(3, 150)
+    df = conversations(paths)
+    assert rows_of(prefix_trie.prefix_trie(prefix_trie.conversation_paths(df), shard)) == brute(paths)
+    got = prefix_trie.with_shared_heads(prefix_trie.conversation_paths(df))
+    assert rows_of(prefix_trie.prefix_trie(got, shard)) == brute(rebuilt(paths))
+
+
+def test_query_equals_brute_force_and_its_sql(spark):
+    table = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        table[r["conv_id"]].append((r["role"] or "", r["text"] or ""))
+    got = rows_of(queries.op13_prefix_trie(spark, SF))
+    assert got == brute(rebuilt(table)) and len(got) > 50
+    c = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    found = c.execute(queries.oracle_sql()["op13_prefix_trie"])
+    names = [d[0] for d in found.description]
+    assert got == sorted(str(tuple(r[names.index(n)] for n in COLUMNS)) for r in found.fetchall())
+
+
+def test_copies_common_starts_and_long_conversations(conversations):
+    first = ("user", "hello there")
+    paths = {c: [first, ("assistant", "same")] for c in range(300)}
+    paths |= {300 + c: [first, ("assistant", str(c))] for c in range(100)} | {400: [("user", str(d % 7)) for d in range(3000)]}
+    got = rows_of(prefix_trie.prefix_trie(prefix_trie.conversation_paths(conversations(paths)), 200))
+    want = brute({c: t for c, t in paths.items() if c != 400})
+    assert len(got) == 3000 + len(want)
+    rows = {r for r in got if not re.match(r"\(400,", r)}
+    assert len(rows - set(want)) == 1 and f"(0, 1, 0, 400, 101, 101, {399 * 2 + 299}," in "".join(rows)
+
+
+def test_slots_are_minimal_and_verified():
+    rng = np.random.default_rng(2)
+    d = rng.integers(0, 2**63, (20_000, 2)).astype(np.uint64)
+    t = prefix_trie.SlotTable(d)
+    assert sorted(t.slots(d).tolist()) == list(range(20_000)) and (t.digests[t.slots(d)] == d).all()
+    with pytest.raises(KeyError):
+        t.slots(d[:1] + np.uint64(1))
+    with pytest.raises(ValueError):
+        prefix_trie.SlotTable(np.concatenate([d[:5], d[:5]]))
+    assert len(prefix_trie.SlotTable(d[:0]).digests) == 0 and prefix_trie.SlotTable(d[:1]).slots(d[:1]).tolist() == [0]
+
+
+def test_nulls_ties_negative_ids_and_an_empty_table(spark, conversations):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(None, 0, "user", "x"), (1, 5, None, "b"), (1, None, "user", None), (2, 0, "", "b"), (-7, 0, "user", ""), (-7, 1, "", "b"), (3, 1, "u", "t"), (3, 1, "u", "s"), (4, 1, "u", "s"), (4, 1, "u", "t")]
+    df = spark.createDataFrame(rows, schema)
+    got = prefix_trie.prefix_trie(prefix_trie.conversation_paths(df)).collect()
+    by = {(r["conv_id"], r["depth"]): r for r in got}
+    assert by[-7, 0]["n_convs"] == 5  # 1, 2, 3, 4 and -7; null takes no part
+    assert by[-7, 2]["n_convs"] == 2  # 1 has its null turn first and reads like -7
+    assert by[-7, 2]["ends_sha256"] == hashlib.sha256(b"-7,1").hexdigest()
+    assert by[3, 2]["n_convs"] == 2  # equal numbers: in order of a hash, whatever the rows' order
+    assert prefix_trie.prefix_trie(prefix_trie.conversation_paths(df.limit(0))).count() == 0
+    lone = next(c for c in range(21, 40) if zlib.crc32(str(c).encode()) % 4)
+    alone = prefix_trie.with_shared_heads(prefix_trie.conversation_paths(spark.createDataFrame([(lone, 0, "u", "a b")], schema)))
+    assert [r["depth"] for r in prefix_trie.prefix_trie(alone).collect()] == [0]  # its one turn is lent by nobody
