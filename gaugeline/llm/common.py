@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -11,12 +12,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline.shared import shared_folder
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Numerals that are neither letters nor decimal digits, such as superscripts, fractions and Roman ones.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,16 +52,30 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, or the name with underscores after it, that no column has in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(n: int, column: str = "doc_id") -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int) -> DataFrame:
-    """At most `bound` labelled ids, lowest in a fixed hash order, with their texts.
+def few_of_each(rows: DataFrame, each: int) -> DataFrame:
+    """At most `each` rows of an id, lowest in a hash order of their texts; map tasks keep no more of them."""
+    in_turn = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    return rows.withColumn("_nth", F.row_number().over(in_turn)).where(F.col("_nth") <= each).drop("_nth")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int, each: int = 4) -> DataFrame:
+    """At most `bound` labelled ids, lowest in a fixed hash order, with their texts, `each` of an id that repeats.
 
     A document labelled more than once takes its largest label; null and other labels are left out.
-    The ids are bounded by `bound`, so they may be broadcast.
+    The ids are bounded by `bound`, so they may be broadcast; the rows by bound x each.
     """
     chosen = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep)
@@ -67,7 +84,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return few_of_each(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), each)
 
 
 _in_use: dict[str, Callable[[], object]] = {}

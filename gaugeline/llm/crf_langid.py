@@ -10,8 +10,8 @@ transfer matrices are multiplied up, and each block is then swept from its true
 A document's language is the one with the largest share of the words' posterior mass (weighed by
 letters); that share is the score.
 
-Fitting uses a bounded sample: at most `bound` labelled rows and `stretch` words of each, from a place
-given by a hash; the lexicon holds the `lexicon_size` most frequent words of each language in it. Everything
+Fitting uses a bounded sample: at most `bound` labelled ids, `each` rows of an id that repeats and `stretch`
+words of each row, from a place given by a hash, which the driver collects; the lexicon holds the `lexicon_size` most frequent words of each language in it. Everything
 else reads whole texts and whole words.
 Defined results: a text that is null or has no letter is `und` with score 0; ties go to the first
 language in alphabetical order; without labelled texts all are `und`; repeated rows get equal results;
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import LETTERS, mapped, mix, remainder, words_of
+from gaugeline.llm.common import LETTERS, few_of_each, mapped, mix, remainder, words_of
 
 BITS, BLOCK = 16, 64
 
@@ -168,7 +168,7 @@ def letter_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(number), at, np.concatenate([[0], end])[words.first]
 
 
-def sample_stretches(docs: DataFrame, bound: int, stretch: int) -> DataFrame:
+def sample_stretches(docs: DataFrame, bound: int, stretch: int, each: int) -> DataFrame:
     """(lang, words) of at most `bound` labelled rows whose crc32(doc_id as text) mod 3 is not 1."""
     schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string()))])
 
@@ -182,12 +182,12 @@ def sample_stretches(docs: DataFrame, bound: int, stretch: int) -> DataFrame:
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (remainder(3) != 1))
     chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = rows.join(F.broadcast(chosen), "doc_id").select(F.col("lang").cast("string"), F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2**31)).alias("h"))
+    rows = few_of_each(rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id"), each).select(F.col("lang").cast("string"), F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2**31)).alias("h"))
     return rows.mapInArrow(mapped(cut, schema), "lang string, words array<string>")
 
 
-def fit(docs: DataFrame, bound: int = 2_000, stretch: int = 200, steps: int = 40, lexicon_size: int = 300) -> Model | None:
-    rows = sorted((r["lang"], r["words"]) for r in sample_stretches(docs, bound, stretch).collect() if r["words"])
+def fit(docs: DataFrame, bound: int = 2_000, stretch: int = 200, steps: int = 40, lexicon_size: int = 300, each: int = 4) -> Model | None:
+    rows = sorted((r["lang"], r["words"]) for r in sample_stretches(docs, bound, stretch, each).collect() if r["words"])
     if not rows:
         return None
     langs = sorted({lang for lang, _ in rows})

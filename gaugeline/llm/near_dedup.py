@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import HASHES, Words, chain, groups, hold, mapped, mix, using, words_of
+from gaugeline.llm.common import HASHES, Words, chain, groups, hold, mapped, mix, slices, unused, using, words_of
 from gaugeline.llm.components import components
 
 SHINGLE = 5
@@ -259,10 +259,8 @@ def exact_links(docs: DataFrame, groups_of: DataFrame, percent: int, miss: float
     return rows.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, bucket_block: int = 512, set_block: int = 128) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row: see the module's text.
-
-    `percent` is the least similarity in hundredths, `miss` the posterior probability at which a pair is pruned."""
+def classes(docs: DataFrame, percent: int, miss: float, bucket_block: int, set_block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, words_hash, n_shingles, ..) of every row, and (words_hash, node, component_id) of every text with words."""
     rows = hold(first_pass(docs, percent))
     reps = hold(
         rows.where("n_shingles > 0 and doc_id is not null")
@@ -272,8 +270,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, buck
     )
     near = components(candidate_links(reps, percent / 100, miss, bucket_block))
     roots = components(exact_links(docs, near, percent, miss, set_block)).withColumnRenamed("v", "node")
-    named = reps.select("words_hash", "node").join(roots, "node", "left").select("words_hash", F.coalesce("root", "node").alias("component_id"))
-    out = rows.select("doc_id", "words_hash", "n_shingles").join(named, "words_hash", "left")
+    return rows, reps.select("words_hash", "node").join(roots, "node", "left").select("words_hash", "node", F.coalesce("root", "node").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, bucket_block: int = 512, set_block: int = 128) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row: see the module's text.
+
+    `percent` is the least similarity in hundredths, `miss` the posterior probability at which a pair is pruned."""
+    rows, named = classes(docs, percent, miss, bucket_block, set_block)
+    out = rows.select("doc_id", "words_hash", "n_shingles").join(named.drop("node"), "words_hash", "left")
     return out.select(
         "doc_id",
         "n_shingles",
@@ -281,11 +286,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, buck
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = 85, miss: float = 1e-6, bucket_block: int = 512, set_block: int = 128) -> DataFrame:
     """One row of each group of near-duplicates, the one with the least doc_id, with the columns it came with.
 
-    Rows that repeat a kept doc_id stay once for each text; all rows without an id stay."""
-    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    with_id = docs.where(F.col("doc_id").isNotNull()).join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
-    # dealt by doc_id already, so that copies of an id are told apart without another shuffle
-    return with_id.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    What is kept is a doc_id with its words: of an id that repeats with several texts, those stay that are
+    the least of their group, once each. Rows without words are copies only of rows of the same id and text;
+    all rows without an id stay."""
+    rows, named = classes(docs, percent, miss, bucket_block, set_block)
+    rows = rows.where("doc_id is not null").select("doc_id", F.coalesce("words_hash", F.lit("")).alias("words_hash"))
+    first = named.where("node = component_id").select(F.col("node").alias("doc_id"), "words_hash")
+    stays = first.union(rows.where("words_hash = ''")).distinct()
+    mixed = rows.groupBy("doc_id").agg((F.min("words_hash") != F.max("words_hash")).alias("mixed"))
+    ids = stays.groupBy("doc_id").agg(F.bool_or(F.col("words_hash") == "").alias("wordless")).join(mixed, "doc_id")
+    key, bare, words = (unused(docs.columns, n) for n in ("mixed", "wordless", "words_hash"))
+    met = docs.join(ids.select("doc_id", F.col("mixed").alias(key), F.col("wordless").alias(bare)).hint("shuffle_hash"), "doc_id")
+    # dealt by doc_id already, so that copies of an id of one text are told apart without another shuffle
+    plain = met.where(~F.col(key)).withColumn(words, F.when(F.col(bare), F.col("text"))).dropDuplicates(["doc_id", words]).select(docs.columns)
+    at, kinds = docs.columns.index("text"), ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in slices(b)):
+            found = words_of(part.column(at).cast(pa.string()), lower=True)
+            h = HASHES.of(found.tokens)[found.at]
+            hashes = [xxhash.xxh3_128_hexdigest(h[a:b]) if b > a else "" for a, b in itertools.pairwise(found.first.tolist())]
+            yield part.append_column(words, pa.array(hashes, pa.string()))
+
+    several = met.where(key).select(docs.columns).mapInArrow(hashed, f"{kinds}, `{words}` string")
+    several = several.join(stays.withColumnRenamed("words_hash", words), ["doc_id", words], "left_semi")
+    several = several.withColumn(key, F.when(F.col(words) == "", F.col("text"))).dropDuplicates(["doc_id", words, key])
+    return plain.unionByName(several.select(docs.columns)).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -1,7 +1,7 @@
 """Quality: logistic regression on hashed word n-grams, trained with follow-the-regularised-leader.
 
 Tokens are the words between white space. A token gives two terms, its lower-cased form and its shape
-(capitals, title, small letters, digits, marks); neighbouring tokens give the pair of their forms and
+(runs of capitals, of title, of small letters and of digits as one sign each, and marks); neighbouring tokens give the pair of their forms and
 the pair of their shapes. Terms are hashed into a fixed number of weights, and a
 text's vector holds each term's share of the terms; the score is the logistic of a sparse dot product.
 
@@ -62,7 +62,7 @@ def shape(token: str) -> str:
         return "s"
     for pattern, sign in SHAPES:
         token = pattern.sub(sign, token)
-    return token[:8]
+    return token
 
 
 TERMS = Terms()

@@ -46,7 +46,7 @@ WORDS = {"aa": "alpha banal canal fatal naval papal", "zz": "zuzu yuzu kudzu uzz
 @pytest.fixture
 def labelled(spark):
     rows = [(i, " ".join(WORDS[lang].split()[(i + k) % 6] + str(k % 3 or "") for k in range(12)), lang) for i, lang in enumerate(["aa", "zz"] * 40)]
-    rows += [(1000, None, "aa"), (1001, "", "zz"), (1002, "123 !!", "aa"), (None, "banal canal", None), (3, rows[3][1], "zz"), (1003, "papal zulu " * 9000, None)]
+    rows += [(1000, None, "aa"), (1001, "", "zz"), (1002, "123 !!", "aa"), (1004, "²½ Ⅷ ٣", "aa"), (None, "banal canal", None), (3, rows[3][1], "zz"), (1003, "papal zulu " * 9000, None)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 score", "'x' words", "0 n")
 
 
@@ -56,7 +56,7 @@ def test_predictions_and_defined_cases(labelled):
     assert len(rows) == labelled.count()
     by = {r["doc_id"]: r for r in rows}
     assert all(by[i]["lang_pred"] == ("aa", "zz")[i % 2] and by[i]["score"] > 0.8 for i in range(80))
-    assert [by[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3 and by[1000]["score"] == 0
+    assert [by[i]["lang_pred"] for i in (1000, 1001, 1002, 1004)] == ["und"] * 4 and by[1000]["score"] == 0
     assert by[None]["lang_pred"] == "aa" and by[1003]["lang_pred"] in ("aa", "zz")
 
 
@@ -112,3 +112,10 @@ def test_held_out_is_the_checksum_rule_and_votes_are_posterior_mass(labelled):
     mass = sum(p * len(w) for p, w in zip(post, text.split(), strict=True))
     r = crf.predict(labelled.limit(1).selectExpr("cast(1 as long) doc_id", f"'{text}' text"), model).first()
     assert r["lang_pred"] == model.langs[mass.argmax()] and abs(r["score"] - mass.max() / mass.sum()) < 1e-9
+
+
+def test_an_id_that_repeats_very_often_fills_no_sample(spark):
+    rows = spark.range(50_000).selectExpr("7L doc_id", "concat('banal papal word', id) text", "'aa' lang").unionAll(spark.createDataFrame([(i, "zuzu yuzu kudzu", "zz") for i in (2, 5, 8)], "doc_id long, text string, lang string"))
+    assert crf.sample_stretches(rows, 2_000, 200, 4).where("lang = 'aa'").count() <= 4
+    model = crf.fit(rows)
+    assert crf.predict(rows.where("doc_id = 7"), model).count() == 50_000

@@ -63,6 +63,16 @@ def test_repeated_rows_null_ids_and_columns(docs):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 2, 3, 5]
 
 
+def test_an_id_with_several_texts_keeps_those_that_are_no_copies(docs):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b.upper()), (7, c), (7, c), (7, None), (7, ""), (7, ""), (2, "  "), (8, c), (8, a + " z"), (9, b), (9, "other words")]
+    kept = sorted((r["doc_id"], str(r["text"]).lower()) for r in near_dedup.keep_first(docs(rows)).collect())
+    assert kept == sorted([(1, a), (5, b), (7, c), (7, "none"), (7, ""), (2, "  "), (9, "other words")])
+    renamed = docs(rows).selectExpr("*", "'m' mixed", "'w' words_hash", "'z' wordless")
+    out = near_dedup.keep_first(renamed)
+    assert out.columns == renamed.columns and out.count() == len(kept) and {(r["mixed"], r["words_hash"]) for r in out.collect()} == {("m", "w")}
+
+
 def test_empty_table(docs):
     assert near_dedup.near_duplicates(docs([])).count() == 0
 
