@@ -8,9 +8,17 @@ text that holds an entity is weighed by how much of the entity's information it
     PMI = log2(N n(t, e) / (n(t) n(e))),  IC = log2(N / n(e)),
 where N and n() count distinct whole texts of the whole corpus, so that copies count once. A disclosure of 1
 means that the term occurs in no text without the entity. Terms of at least `remove` are removed, those
-of at least `generalise` are replaced by a general word, in every text and wherever they stand outside the
-fixed patterns; a pair must stand in `support` distinct texts. A term that discloses several entities is
-treated by the largest disclosure.
+of at least `generalise` are replaced by the general word <TERM>, in every text and wherever they stand outside
+the fixed patterns. A term that discloses several entities is treated by the largest disclosure.
+
+Chance is kept out by a test of independence among the M texts that hold any entity, so that words which are
+merely common where data of some kind stands disclose no single entity. Were the entity's texts drawn at random
+from these, so many of them with the term, n(t, e), would come up with a probability (the tail of a
+hypergeometric distribution) of at most exp(-m(t) KL(n(t, e) / m(t) || n(e) / M)), m(t) being the term's texts
+among the M, and likewise with the roles of term and entity changed. A pair counts only if the smaller of the two
+bounds, times the number of pairs that are tested (all entities of more than one text with all terms of the M
+texts), is `chance` at most. So where entities are dealt to these texts at random, the probability that any term
+is found is `chance`. An entity that stands in all of them is tested against all texts instead.
 
 Texts are read three times: for the patterns and the terms of texts that hold any, to count the texts of
 terms, and to find the places of those that disclose. The last two skip words that cannot be wanted with a
@@ -25,6 +33,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -32,10 +41,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import LETTERS, hold, mapped, slices, words_of
+from gaugeline.llm.common import LETTERS, hold, mapped, slices, unused, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns. Email is matched from its @; the local part is the run before it.
@@ -227,20 +236,39 @@ def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFram
     return all_rows.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms, "term", "left_semi")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
-    """(entity, term, disclosure, action) for pairs whose disclosure reaches `generalise`."""
+def tail_bound(both: Column, n: Column, share: Column) -> Column:
+    """The logarithm of a bound on the probability that `both` or more of n texts drawn without replacement are
+    among a `share` of all; 0 where that many are expected."""
+    a = both / n
+    kl = a * F.log(a / share) + F.when(a < 1, (1 - a) * F.log((1 - a) / (1 - share))).otherwise(0.0)
+    return F.when((share < 1) & (a > share), -n * kl).otherwise(0.0)
+
+
+def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.6, remove: float = 0.9, chance: float = 0.05) -> DataFrame:
+    """(entity, term, disclosure, action) for pairs whose disclosure reaches `generalise` and is no chance."""
     held = found.where(F.size("entities") > 0).dropDuplicates(["text_hash"]).select("text_hash", "entities", "terms")
     entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # an entity of fewer than `support` texts has no pair that stands in so many
-    recurring = held.select("terms", F.explode("entities").alias("entity")).join(entities.where(F.col("n_entity") >= support), "entity")
-    pairs = recurring.select("entity", F.explode("terms").alias("term"))
-    both = hold(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support))
-    texts = found.select("text_hash").distinct().count()
+    # what stands in one text only cannot be told from chance
+    recurring = held.select("terms", F.explode("entities").alias("entity")).join(entities.where("n_entity > 1"), "entity")
+    texts, tested = found.select("text_hash").distinct().count(), entities.where("n_entity > 1").count()
+    tested *= int(1.1 * found.where(F.size("entities") > 0).select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term", 0.02)).first()[0]) + 1
+    pairs = recurring.select("entity", "n_entity", F.explode("terms").alias("term"))
+    both = pairs.groupBy("entity", "term").agg(F.first("n_entity").alias("n_entity"), F.count(F.lit(1)).alias("n_both"))
+    holders = held.count()
+    among = F.when(F.col("n_entity") < holders, float(holders)).otherwise(float(max(texts, 1)))
+    # a term stands in n_both texts at least, where the first bound is the smaller one; pairs that would be
+    # chance even then need no count
+    least = math.log(max(tested, 1)) + tail_bound(F.col("n_both"), F.col("n_both"), F.col("n_entity") / among)
+    both = hold(both.where((F.col("n_both") > 1) & (least <= math.log(chance))).drop("n_entity"))
     terms = hold(both.select("term").distinct())
-    n = both.join(entities, "entity").join(term_counts(docs, found, terms), "term")
+    of_holders = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_held"))
+    n = both.join(entities, "entity").join(term_counts(docs, found, terms), "term").join(of_holders, "term")
     pmi = F.log2(F.lit(float(texts)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     ic = F.log2(F.lit(float(texts)) / F.col("n_entity"))
     share = F.when(ic > 0, pmi / ic).otherwise(0.0)
+    n_term = F.when(F.col("n_entity") < holders, F.col("n_held")).otherwise(F.col("n_term"))
+    bound = F.least(tail_bound(F.col("n_both"), n_term, F.col("n_entity") / among), tail_bound(F.col("n_both"), F.col("n_entity"), n_term / among))
+    n = n.where(bound + math.log(max(tested, 1)) <= math.log(chance))
     return n.withColumn("disclosure", share).where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
@@ -271,10 +299,10 @@ def marked(docs: DataFrame, rules: DataFrame) -> DataFrame:
     return hold(places.join(rules, "term").groupBy("text_hash").agg(F.sort_array(F.collect_list(mark)).alias("terms")))  # at most a text's words
 
 
-def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
+def find(docs: DataFrame, generalise: float = 0.6, remove: float = 0.9, chance: float = 0.05) -> DataFrame:
     """Every row's doc_id, text_hash, base, n_email .. n_phone and terms, an array of (start, end, action) in order."""
     found = hold(base_pass(docs))
-    marks = marked(docs, disclosing(docs, found, generalise, remove, support))
+    marks = marked(docs, disclosing(docs, found, generalise, remove, chance))
     return found.drop("entities", "terms").join(marks, "text_hash", "left")
 
 
@@ -286,14 +314,6 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"))
 
 
-def unused(columns: list[str], name: str) -> str:
-    """The name, or the name with underscores after it, that no column has in any case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def cleaned(text: str, terms: list[dict]) -> str:
     spans = [(a, b, f"<{KINDS[k].upper()}>") for k, a, b in base_spans(text)]
     spans += [(t["start"], t["end"], "" if t["action"] == "remove" else "<TERM>") for t in terms]

@@ -2,6 +2,9 @@ import hashlib
 import math
 import re
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from gaugeline.llm import pii
 
 TEXTS = [
@@ -86,7 +89,22 @@ def test_a_term_goes_wherever_it_stands_in_a_text_with_the_entity(docs):
     assert texts[0].count("paragraph") == 4 and texts[7] == rows[7][1]
 
 
-def brute_terms(rows, generalise=0.8, remove=0.95, support=2):
+def brute_bound(both, n, share):
+    """The bound of the module's text on the tail of the hypergeometric distribution."""
+    a = both / n
+    if a <= share:
+        return 1.0
+    return math.exp(-n * (a * math.log(a / share) + ((1 - a) * math.log((1 - a) / (1 - share)) if a < 1 else 0)))
+
+
+def test_the_bound_is_never_under_the_tail():
+    for texts, n_term, n_entity in [(40, 4, 4), (100, 7, 20), (300, 50, 9), (60, 30, 30)]:
+        for both in range(1, min(n_term, n_entity) + 1):
+            tail = sum(math.comb(n_entity, k) * math.comb(texts - n_entity, n_term - k) for k in range(both, min(n_term, n_entity) + 1)) / math.comb(texts, n_term)
+            assert brute_bound(both, n_term, n_entity / texts) >= tail * (1 - 1e-9)
+
+
+def brute_terms(rows, generalise=0.6, remove=0.9, chance=0.05):
     """doc_id -> term spans by the definition, over distinct texts, with plain loops."""
     texts = {t or "" for _, t in rows}
     spans = {t: [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in brute(t).split(","))] if brute(t) else [] for t in texts}
@@ -104,13 +122,18 @@ def brute_terms(rows, generalise=0.8, remove=0.95, support=2):
     held = {t: entities(t) for t in texts}
     words = {t: {m.lower() for m in re.findall(r"[^\W\d_]+", t)} for t in texts}
     outer = {t: {w for w, _, _ in places(t)} for t in texts}
-    rules = {}
+    rules, every = {}, set().union(*held.values())
+    recurring = [e for e in every if sum(e in held[t] for t in texts) > 1]
+    tested = len(recurring) * (1.1 * len(set().union(*(outer[t] for t in texts if held[t]))) + 1)
     for e in set().union(*held.values()):
         with_e = [t for t in texts if e in held[t]]
         ic = math.log2(len(texts) / len(with_e))
         for w in set().union(*(outer[t] for t in with_e)):
             n_both, n_term = sum(w in outer[t] for t in with_e), sum(w in words[t] for t in texts)
-            if n_both >= support and ic > 0:
+            among = [t for t in texts if held[t]]
+            among, m_term = (among, sum(w in outer[t] for t in among)) if len(with_e) < len(among) else (texts, n_term)
+            bound = min(brute_bound(n_both, m_term, len(with_e) / len(among)), brute_bound(n_both, len(with_e), m_term / len(among)))
+            if n_both > 1 and ic > 0 and bound * tested <= chance:
                 share = math.log2(len(texts) * n_both / (n_term * len(with_e))) / ic
                 if share >= generalise:
                     rules[w] = max(rules.get(w, ""), "remove" if share >= remove else "generalise")
@@ -157,9 +180,20 @@ def test_clashing_columns_are_handed_on(docs, spark):
     assert pii.digest(pii.find(d)).count() == 41
 
 
-def test_the_given_documents_get_term_spans(spark):
-    rows = pii.digest(pii.find(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))).agg({"n_term": "sum"}).first()
-    assert rows[0] > 0
+def test_entities_dealt_at_random_disclose_nothing(spark):
+    """The permutation null: the texts that hold an entity swap their entities; on the texts as they are, a planted term is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    found = pii.base_pass(docs).persist()
+    holders = found.where("size(entities) > 0").dropDuplicates(["text_hash"])
+    for seed in (1, 2):
+        number = lambda s: F.row_number().over(Window.orderBy(F.xxhash64("text_hash", F.lit(s)))).alias("k")
+        swapped = holders.select("text_hash", number(0)).join(holders.select("entities", number(seed)), "k").drop("k")
+        dealt = found.drop("entities").join(swapped, "text_hash", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<bigint>")))
+        assert pii.disclosing(docs, dealt).count() <= 1
+    found.unpersist()
+    planted = docs.union(spark.createDataFrame([(10**6 + i, f"note {i} by zorblatine ann{i}@zorblat.example.com, {i * 7} more") for i in range(6)], "doc_id long, text string"))
+    rules = {r["term"]: r["action"] for r in pii.disclosing(planted, pii.base_pass(planted)).collect()}
+    assert rules["zorblatine"] == "remove"
 
 
 def test_very_long_texts_and_small_bitmaps(docs, monkeypatch):
