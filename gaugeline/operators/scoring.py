@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.config import ScoringConfig
@@ -21,14 +21,19 @@ def with_baseline(panel: DataFrame, normals: DataFrame) -> DataFrame:
     return panel.withColumn("month", F.month("date")).join(base, ["city_id", "month"], "left")
 
 
+def changes(next_temperature: Column, next_river: Column) -> dict[str, Column]:
+    """The changes to the next row's temperature and discharge, by name."""
+    river = F.col("river_discharge_m3s")
+    return {
+        "temp_velocity": F.coalesce(next_temperature - F.col("temperature_2m_max"), F.lit(0.0)),
+        "river_velocity_pct": F.when(river.isNotNull() & (river > 0), F.coalesce((next_river - river) / river, F.lit(0.0))).otherwise(0.0),
+    }
+
+
 def with_velocity(df: DataFrame) -> DataFrame:
     """Adds the change to the site's next row in temperature, and the relative one in discharge; 0 where unknown."""
     w = Window.partitionBy("city_id").orderBy("date")
-    river = F.col("river_discharge_m3s")
-    return df.withColumns({
-        "temp_velocity": F.coalesce(F.lead("temperature_2m_max").over(w) - F.col("temperature_2m_max"), F.lit(0.0)),
-        "river_velocity_pct": F.when(river.isNotNull() & (river > 0), F.coalesce((F.lead(river).over(w) - river) / river, F.lit(0.0))).otherwise(0.0),
-    })
+    return df.withColumns(changes(F.lead("temperature_2m_max").over(w), F.lead("river_discharge_m3s").over(w)))
 
 
 def with_factors(df: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
@@ -59,5 +64,8 @@ def scored(panel: DataFrame, normals: DataFrame, cfg: ScoringConfig = ScoringCon
     return with_overall(with_factors(with_velocity(with_baseline(panel, normals)), cfg), cfg)
 
 
+HISTORY = ("city_id", "date", *CONTEXT, *FACTORS, "global_tipping_score", "primary_driver")
+
+
 def risk_history(panel: DataFrame, normals: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
-    return scored(panel, normals, cfg).select("city_id", "date", *CONTEXT, *FACTORS, "global_tipping_score", "primary_driver")
+    return scored(panel, normals, cfg).select(*HISTORY)

@@ -149,6 +149,9 @@ FINAL = {
     "history_incremental": "SELECT * FROM risk_history",
     "history_published": "SELECT * FROM risk_history",
     "raw_appended": "SELECT * EXCLUDE (event_id), CAST(valid_ts_utc AS DATE) AS _day FROM raw_weather",
+    "raw_replayed": "SELECT * EXCLUDE (event_id), CAST(valid_ts_utc AS DATE) AS _day FROM raw_weather",
+    "history_by_runs": "SELECT * FROM risk_history",
+    "history_stream": "SELECT * FROM risk_history",
     "raw_required": """SELECT *, CASE WHEN city_id IS NULL OR valid_ts_utc IS NULL THEN 'missing_required' END AS reason FROM (
       SELECT event_id, CASE WHEN event_id % 23 <> 0 THEN city_id END AS city_id, CASE WHEN event_id % 29 <> 0 THEN valid_ts_utc END AS valid_ts_utc FROM raw_weather)""",
     "raw_stamped": "SELECT city_id, count(*) AS n, CAST(1 AS BIGINT) AS runs, CAST(1 AS BIGINT) AS times, true AS named_by_time FROM raw_weather GROUP BY city_id",

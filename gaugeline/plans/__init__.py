@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from datetime import date
+from datetime import date, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline.config import ScoringConfig, ZoneConfig
 from gaugeline.operators import current, scoring, staging
 from gaugeline.shared import shared_folder
-from gaugeline.sources.files import publish
+from gaugeline.sources import files, marks
+from gaugeline.sources.feeds import AIR, FEEDS, OBSERVED, RIVER, WEATHER
 
 
 def panel_of(weather: DataFrame, air: DataFrame, river: DataFrame, observed: DataFrame) -> DataFrame:
@@ -69,14 +72,109 @@ def refresh_history(existing: DataFrame, feeds: tuple[DataFrame, DataFrame, Data
     return existing.join(sites, "city_id", "left_anti").unionByName(again.select(*existing.columns))
 
 
-def refresh_published(spark: SparkSession, path: str, feeds: tuple[DataFrame, DataFrame, DataFrame, DataFrame], changed: DataFrame, normals: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> None:
-    """refresh_history of a published history, of which only the dates with new rows are written.
+def _changed_rows(feeds: tuple[DataFrame, ...], changed: DataFrame, days: list[date]) -> DataFrame:
+    """The panel's rows of the changed (city_id, date); of feeds with _day only those partitions are read."""
 
-    Those rows are written aside first, so that no partition is read while it is replaced."""
-    existing = spark.read.parquet(path)
-    fresh = refresh_history(existing, feeds, changed, normals, cfg)
-    aside = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
-    fresh.exceptAll(existing).select("date").unionByName(changed.select("date")).distinct().write.parquet(f"{aside}/dates")
-    dates = spark.read.parquet(f"{aside}/dates")
-    fresh.join(F.broadcast(dates), "date", "left_semi").write.parquet(f"{aside}/rows")
-    publish(spark.read.parquet(f"{aside}/rows"), path, "changed")
+    def of_changed(raw: DataFrame) -> DataFrame:
+        day = F.to_date("valid_ts_utc") if "valid_ts_utc" in raw.columns else F.col("date")
+        if "_day" in raw.columns:
+            raw = raw.where(F.col("_day").isin(days))
+        near = changed.withColumnRenamed("date", "_date")
+        return raw.withColumn("_date", day).join(near, ["city_id", "_date"], "left_semi").drop("_date", "_day")
+
+    return panel_of(*map(of_changed, feeds)).select("city_id", "date", *scoring.CONTEXT)
+
+
+def _stored_days(spark: SparkSession, path: str) -> list[date]:
+    """The dates of a published table, from the names of its partitions."""
+    return [date.fromisoformat(n.removeprefix("date=")) for n in marks.names(spark, path) if re.fullmatch(r"date=\d{4}-\d{2}-\d{2}", n)]
+
+
+def refresh_published(spark: SparkSession, path: str, feeds: tuple[DataFrame, DataFrame, DataFrame, DataFrame], changed: DataFrame, normals: DataFrame, cfg: ScoringConfig = ScoringConfig(), reach: int = 7) -> None:
+    """A published history after the raw rows of some (city_id, date) changed; equal to a full rebuild.
+
+    Scored again are the changed rows and the row before each. Which row that is, and which one follows, is
+    looked up in the stored dates of `reach` days around the changed ones, and for the sites that have none
+    there, in all dates (two columns of those sites). Of the history only the dates of rows to be scored and of
+    the rows that follow them are read, and only the former are written. Run again after a failure midway, it
+    gives the same table. A date that left the panel must be among the changed ones."""
+    on, context, top = ["city_id", "date"], list(scoring.CONTEXT), f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    files.recover(spark, path)
+
+    def aside(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{top}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{top}/{name}")
+
+    try:
+        changed = aside(changed.select(*on).where("city_id is not null and date is not null").distinct(), "changed")
+        days = [r["date"] for r in changed.select("date").distinct().collect()]  # a row a day
+        if not days:
+            return
+        fresh = aside(_changed_rows(feeds, changed, days), "fresh")
+        stored = _stored_days(spark, path)
+        if not stored:
+            return files.publish(scoring.risk_history(fresh, normals, cfg), path)
+        existing = spark.read.parquet(path)
+        near = {d + timedelta(k) for d in days for k in range(-reach, reach + 1)} & set(stored)
+        keys = changed.join(fresh.select(*on, F.lit(True).alias("there")), on, "left").select(*on, F.lit(True).alias("new"), F.coalesce("there", F.lit(False)).alias("there"))
+        sites = changed.select("city_id").distinct()
+
+        def old_keys(of: DataFrame, dates: Column) -> DataFrame:
+            rows = existing.where(dates).select(*on).join(of, "city_id", "left_semi").join(changed, on, "left_anti")
+            return rows.select(*on, F.lit(False).alias("new"), F.lit(True).alias("there"))
+
+        in_near = F.col("date").isin(near)
+        known = keys.union(old_keys(sites, in_near))
+        in_turn = Window.partitionBy("city_id").orderBy("date")
+        if missing := set(stored) - near:  # keys whose neighbouring rows may be further away
+            day, before, after = F.col("date"), F.lag("date").over(in_turn), F.lead("date").over(in_turn)
+            early, late = F.date_sub(day, reach), F.date_add(day, reach)
+            is_open = (F.coalesce(before < early, F.lit(True)) & (early > F.lit(min(missing)))) | (F.coalesce(after > late, F.lit(True)) & (late < F.lit(max(missing))))
+            beyond = aside(known.withColumn("open", F.col("new") & is_open).where("open").select("city_id").distinct(), "beyond")
+            known = known.union(old_keys(beyond, ~in_near))
+        # a key that left the panel still stands before its neighbours here; what follows a row is the next key that is there
+        rows = known.withColumn("next_date", F.min(F.when(F.col("there"), F.col("date"))).over(in_turn.rowsBetween(1, Window.unboundedFollowing)))
+        rows = rows.withColumn("again", F.col("there") & (F.col("new") | F.coalesce(F.lead("new").over(in_turn), F.lit(False))))
+        rows = aside(rows.select(*on, "new", "there", "again", "next_date"), "keys")
+        again, gone = rows.where("again"), rows.where("not there")
+        written = {r["date"] for r in again.select("date").union(gone.select("date")).distinct().collect()}
+        needed = written | {r["next_date"] for r in again.select("next_date").distinct().collect()} - {None}
+        held = existing.where(F.col("date").isin(needed & set(stored)))
+        values = fresh.unionByName(held.join(sites, "city_id", "left_semi").join(changed, on, "left_anti").select(*on, *context))
+        following = values.select("city_id", F.col("date").alias("next_date"), F.col("temperature_2m_max").alias("next_temperature"), F.col("river_discharge_m3s").alias("next_river"))
+        panel = values.join(again.select(*on, "next_date"), on).join(following, ["city_id", "next_date"], "left")
+        panel = scoring.with_baseline(panel, normals).withColumns(scoring.changes(F.col("next_temperature"), F.col("next_river")))
+        scored = scoring.with_overall(scoring.with_factors(panel, cfg), cfg).select(*scoring.HISTORY)
+        kept = existing.where(F.col("date").isin(written & set(stored))).join(again.unionByName(gone).select(*on), on, "left_anti").select(*scoring.HISTORY)
+        out = aside(scored.unionByName(kept), "rows")
+        full = {r["date"] for r in out.select("date").distinct().collect()}
+        files.publish(out, path, "changed")
+        for day in written - full:
+            marks.drop(spark, f"{path}/date={day}")
+    finally:
+        marks.drop(spark, top)
+
+
+def refresh_runs(spark: SparkSession, path: str, raw: dict[str, str], normals: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> list[str]:
+    """Brings a published history up to the committed runs of the raw tables (feed name -> path); returns the
+    runs it has taken up as feed/run.
+
+    Marks in `<path>.runs` say which runs are in the history; what is new is told by the other runs' rows alone.
+    The first time all is built. The marks are set last, and the work gives the same again, so a refresh that
+    fails midway is simply repeated."""
+    by_feed = {f.name: f for f in FEEDS}
+    files.recover(spark, path)
+    done = set(marks.names(spark, f"{path}.runs"))
+    new = {name: [r for r in files.committed_runs(spark, at) if f"{name}@{r}" not in done] for name, at in raw.items()}
+    if not any(new.values()):
+        return []
+    feeds = tuple(files.read_raw(spark, raw[f.name], f) for f in (WEATHER, AIR, RIVER, OBSERVED))
+    if done:
+        keys = [files.read_raw(spark, at, by_feed[name], new[name]).select("city_id", F.col("_day").alias("date")) for name, at in raw.items() if new[name]]
+        refresh_published(spark, path, feeds, reduce(DataFrame.union, keys), normals, cfg)
+    else:
+        files.publish(scoring.risk_history(panel_of(*(f.drop("_day") for f in feeds)), normals, cfg), path)
+    taken = [f"{name}@{r}" for name, runs in new.items() for r in runs]
+    for name in taken:
+        marks.put(spark, f"{path}.runs", name)
+    return [t.replace("@", "/") for t in taken]

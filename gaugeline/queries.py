@@ -13,10 +13,10 @@ from gaugeline import fixtures, plans
 from gaugeline.operators import analysis, current, quality, scoring, staging
 from gaugeline.shared import shared_folder
 from gaugeline.sources import files
-from gaugeline.sources.feeds import NORMALS, SITES, WEATHER
+from gaugeline.sources.feeds import AIR, NORMALS, OBSERVED, RIVER, SITES, WEATHER
 from gaugeline.sources.files import active_sites
 from gaugeline.sources.payloads import parse_payload
-from gaugeline.streaming import read_latest, stream_latest
+from gaugeline.streaming import read_latest, stream_history, stream_latest
 
 AS_OF = date(2024, 1, 15)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +177,28 @@ def raw_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(files.read_raw(spark, at, WEATHER))
 
 
+def raw_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by two runs of which one fails midway and is tried again, and both are replayed."""
+    at, raw = _place(spark, "raw"), fixtures.raw_tables(spark, sf_dir).weather
+    one, two = (raw.where(F.col("event_id") % 2 == k) for k in (0, 1))
+    files.append_raw(one, at, WEATHER, "run-1")
+    files.write_run(two.where(F.col("event_id") % 3 == 0), at, WEATHER, "run-2")  # ends before it is committed
+    for rows, run in ((two, "run-2"), (two, "run-2"), (one.unionAll(two), "run-1")):
+        files.append_raw(rows, at, WEATHER, run)
+    return plain(files.read_raw(spark, at, WEATHER))
+
+
+def history_by_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of stored raw tables, built after a first run and brought up to the second by its rows alone."""
+    top, raw = _place(spark, "runs"), fixtures.raw_tables(spark, sf_dir)
+    at = {f.name: f"{top}/{f.name}" for f in (WEATHER, AIR, RIVER, OBSERVED)}
+    for run, mine in (("run-1", F.col("event_id") % 10 != 0), ("run-2", F.col("event_id") % 10 == 0)):
+        for feed, rows in ((WEATHER, raw.weather), (AIR, raw.air), (RIVER, raw.river), (OBSERVED, raw.observed)):
+            files.append_raw(rows.where(mine), at[feed.name], feed, run)
+        plans.refresh_runs(spark, f"{top}/history", at, fixtures.normals_of(raw))
+    return spark.read.parquet(f"{top}/history")
+
+
 def raw_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw weather of which some rows lack a site or a time, with what becomes of each row."""
     k, raw = F.col("event_id"), fixtures.raw_tables(spark, sf_dir).weather
@@ -223,6 +245,20 @@ def latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(read_latest(spark, f"{top}/target", raw.schema).drop("_day"))
 
 
+def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of stored raw tables that follows a stream of half of the weather, batch by batch."""
+    top, raw = _place(spark, "stream"), fixtures.raw_tables(spark, sf_dir)
+    at, late = {f.name: f"{top}/{f.name}" for f in (WEATHER, AIR, RIVER, OBSERVED)}, F.col("event_id") % 2 == 1
+    for feed, rows in ((WEATHER, raw.weather.where(~late)), (AIR, raw.air), (RIVER, raw.river), (OBSERVED, raw.observed)):
+        files.append_raw(rows, at[feed.name], feed, "run-1")
+    fixtures.normals_of(raw).write.parquet(f"{top}/normals")
+    normals = spark.read.parquet(f"{top}/normals")
+    plans.refresh_runs(spark, f"{top}/history", at, normals)
+    raw.weather.where(late).select(WEATHER.raw_schema.fieldNames()).repartition(4, "city_id", "valid_ts_utc").write.parquet(f"{top}/source")
+    stream_history(spark, f"{top}/source", WEATHER, at, f"{top}/history", normals, f"{top}/checkpoint", 2).awaitTermination()
+    return spark.read.parquet(f"{top}/history")
+
+
 MODELS = ("latest_weather", "latest_air", "latest_river", "latest_observed", "daily_weather", "daily_air", "signal_panel", "risk_history", "risk_current", "zone_summary")
 
 
@@ -231,6 +267,6 @@ def queries() -> dict[str, Query]:
         baseline_join, velocity, factor_scores, risk_rank_histogram, ranking, trend, factor_unpivot, site_map, zone_counts,
         quality_report, completeness, run_summary, payload_errors, sites_active, run_windows, climatology,
         forecast_deviation, projection_deviation, coverage_gaps, history_incremental, history_published,
-        latest_stream, raw_appended, raw_required, raw_stamped, sites_file, normals_file, risk_today,
+        latest_stream, raw_appended, raw_required, raw_stamped, sites_file, normals_file, risk_today, raw_replayed, history_by_runs, history_stream,
     )
     return {m: _model(m) for m in MODELS} | {p: _payload(p) for p in fixtures.FEED_OF} | {f.__name__: f for f in named}

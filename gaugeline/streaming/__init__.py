@@ -1,9 +1,14 @@
-"""The raw feed as a stream: an upsert that keeps the newest revision, however late it comes.
+"""The raw feed as a stream: an upsert that keeps the newest revision, however late it comes, or a history of
+scores that follows the stream.
 
-A batch writes new versions of the days that it touches under target/days/_v=<batch>, and then one small
+For the upsert, a batch writes new versions of the days that it touches under target/days/_v=<batch>, and then one small
 file under target/commits that makes them current. Until that file is there, readers see the versions
 before; a batch that failed midway is run again under its own number from the versions before it, so a
-replay gives the same table whether or not the first attempt was committed.
+replay gives the same table whether or not the first attempt was committed. Every COMPACT batches the commits
+of the batches before are put together in one, so their number stays bounded.
+
+For the history, a batch is a run of the raw table: it is appended once and then taken up by the history, which
+scores again what the run has changed.
 """
 
 from __future__ import annotations
@@ -15,19 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DateType, StructField, StructType
 
+from gaugeline.config import ScoringConfig
 from gaugeline.operators.staging import TIES, latest
-from gaugeline.sources.files import by_day
-
+from gaugeline.plans import refresh_runs
+from gaugeline.sources import marks
+from gaugeline.sources.feeds import Feed
+from gaugeline.sources.files import append_raw, by_day
 
-def _path(spark: SparkSession, name: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+COMPACT = 20
 
 
 def versions(spark: SparkSession, target: str, before: int | None = None) -> dict[date | None, int]:
     """The current version of every day, or the one before a batch; a row a day reaches the driver."""
-    path, fs = _path(spark, f"{target}/commits")
-    if not fs.exists(path):
+    if not marks.exists(spark, f"{target}/commits"):
         return {}
     rows = spark.read.schema("_day date, _v long").option("recursiveFileLookup", "true").json(f"{target}/commits")
     if before is not None:
@@ -54,11 +59,28 @@ def commit(spark: SparkSession, target: str, batch_id: int, days: list[date | No
     rows.coalesce(1).write.mode("overwrite").json(f"{target}/commits/{batch_id}")
 
 
+def compact(spark: SparkSession, target: str, batch_id: int) -> None:
+    """Puts the commits of all batches before this one together in one that keeps each day's newest version.
+
+    The batch's own commit is left as it is, so that it can be replayed from the versions before it."""
+    old = [n for n in marks.names(spark, f"{target}/commits") if int(n.removeprefix("to-")) < batch_id]
+    if len(old) < 2:
+        return
+    newest = versions(spark, target, before=batch_id)
+    rows = spark.createDataFrame(list(newest.items()), "_day date, _v long")
+    rows.coalesce(1).write.mode("overwrite").json(f"{target}/commits/to-{batch_id - 1}")
+    for name in old:
+        if name != f"to-{batch_id - 1}":
+            marks.drop(spark, f"{target}/commits/{name}")
+
+
 def upsert(batch: DataFrame, batch_id: int, target: str, keys: list[str], time_column: str, rows_per_file: int = 2_000_000) -> None:
     """Merges a batch into the days that it touches; other days are neither read nor written.
 
     Versions older than the one before the batch's are deleted."""
     spark = batch.sparkSession
+    if batch_id % COMPACT == 0:
+        compact(spark, target, batch_id)
     batch = batch.withColumn("_day", F.to_date(time_column)).persist()
     try:
         days = [r["_day"] for r in batch.select("_day").distinct().collect()]
@@ -66,15 +88,14 @@ def upsert(batch: DataFrame, batch_id: int, target: str, keys: list[str], time_c
             return
         held = read_latest(spark, target, batch.schema, before=batch_id, days=set(days))
         merged = latest(batch.unionByName(held), keys, tiebreak=TIES)
-        by_day(merged, "_day", rows_per_file).write.option("maxRecordsPerFile", rows_per_file).partitionBy("_day").mode("overwrite").parquet(f"{target}/days/_v={batch_id}")
+        by_day(merged, "_day").write.option("maxRecordsPerFile", rows_per_file).partitionBy("_day").mode("overwrite").parquet(f"{target}/days/_v={batch_id}")
         was, older = versions(spark, target, before=batch_id), {}
         if was:
             older = versions(spark, target, before=max(was.values()))
         commit(spark, target, batch_id, days)
         for d in days:
             if d in older and older[d] < was.get(d, -1):
-                path, fs = _path(spark, _folder(target, d, older[d]))
-                fs.delete(path, True)
+                marks.drop(spark, _folder(target, d, older[d]))
     finally:
         batch.unpersist()
 
@@ -93,3 +114,21 @@ def stream_latest(spark: SparkSession, source: str, schema: StructType, target:
         .trigger(availableNow=True)
         .start()
     )
+
+
+def stream_history(
+    spark: SparkSession, source: str, feed: Feed, raw: dict[str, str], history: str, normals: DataFrame, checkpoint: str, files_per_batch: int | None = None, cfg: ScoringConfig = ScoringConfig()
+) -> StreamingQuery:
+    """Starts a query that appends every new file under source to the feed's raw table and brings the history up to it.
+
+    `raw` names the raw tables of all feeds. A batch is the run stream-<number>: when it is replayed, its rows are
+    there already and are not appended twice, and a history that has taken it up does not change."""
+    reader = spark.readStream.schema(feed.raw_schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+
+    def take_up(batch: DataFrame, batch_id: int) -> None:
+        append_raw(batch, raw[feed.name], feed, f"stream-{batch_id:09d}")
+        refresh_runs(spark, history, raw, normals, cfg)
+
+    return reader.parquet(source).writeStream.foreachBatch(take_up).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

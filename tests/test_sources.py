@@ -93,7 +93,7 @@ def test_large_days_are_written_in_several_files(spark, tmp_path):
     files.publish(df, str(tmp_path / "t"), rows_per_file=100)
     counts = [len(list((tmp_path / "t" / f"date=2024-01-0{d}").glob("*.parquet"))) for d in (1, 2)]
     assert counts[0] >= 3 and counts[1] == 1 and spark.read.parquet(str(tmp_path / "t")).count() == 1000
-    assert files.by_day(df, "d", 100).count() == 1000
+    assert files.by_day(df, "d").count() == 1000
 
 
 def test_runs_have_ids_of_their_own():
