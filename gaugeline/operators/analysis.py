@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,35 @@ def climatology(daily: DataFrame) -> DataFrame:
     )
 
 
+MEASURES = {
+    "temperature_2m_mean": "normal_temperature_2m_mean", "temperature_2m_max": "normal_temperature_2m_max",
+    "precipitation_sum_mm": "normal_daily_precipitation_mm", "wind_speed_10m_max": "normal_wind_speed_10m_max",
+}
+
+
+def climatology_state(daily: DataFrame, sign: int = 1) -> DataFrame:
+    """What climatology needs of daily rows, so that it can be added up: sums and counts of every (city_id, month).
+
+    Sums are decimals, so they are the same in any order, and with sign=-1 take back rows that were revised."""
+    sums = [(F.coalesce(F.sum(F.col(c).cast("decimal(28,9)")), F.lit(0)) * sign).cast("decimal(38,9)").alias(f"sum_{c}") for c in MEASURES]
+    counts = [(F.count(c) * sign).alias(f"n_{c}") for c in MEASURES]
+    return daily.groupBy("city_id", F.month("date").alias("month")).agg(*sums, *counts, (F.count(F.lit(1)) * sign).alias("days"))
+
+
+def merged_climatology(*states: DataFrame) -> DataFrame:
+    """One state of several; months whose days were all taken back fall away."""
+    every = reduce(DataFrame.unionByName, states)
+    numbers = [c for c in every.columns if c not in ("city_id", "month")]
+    kinds = dict(every.dtypes)
+    return every.groupBy("city_id", "month").agg(*(F.sum(c).cast(kinds[c]).alias(c) for c in numbers)).where("days > 0")
+
+
+def climatology_of(state: DataFrame) -> DataFrame:
+    """The monthly means of a state: equal to climatology() of its days."""
+    mean = lambda c: F.when(F.col(f"n_{c}") > 0, F.round(F.col(f"sum_{c}") / F.col(f"n_{c}"), 2).cast("double"))
+    return state.select("city_id", "month", *(mean(c).alias(n) for c, n in MEASURES.items()))
+
+
 def forecast_deviation(raw: DataFrame, observed: DataFrame) -> DataFrame:
     """How far forecasts of every lead time stood from what was observed: days, mean error, mean absolute error."""
     day, made = F.to_date("valid_ts_utc"), F.to_date("ingested_at_utc")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,19 +28,32 @@ CHECKS = (
 )
 
 
+def not_null_counts(name: str, specs: tuple[Check, ...] = CHECKS) -> list[Column]:
+    """For every not_null check of a model how many rows fail it, named by the column."""
+    return [F.count_if(F.col(s.column).isNull()).alias(s.column) for s in specs if s.model == name and s.kind == "not_null"]
+
+
+def repeated(df: DataFrame, column: str, *counts: str) -> DataFrame:
+    """One row: the values of a column that occur more than once, and the sums of counts made on the way."""
+    each = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(F.col(c).isNull()).alias(f"_{c}") for c in counts))
+    twice = F.count_if(F.col(column).isNotNull() & (F.col("_n") > 1)).alias("_twice")
+    return each.agg(twice, *(F.coalesce(F.sum(f"_{c}"), F.lit(0)).alias(f"_{c}") for c in counts))
+
+
 def run_checks(models: dict[str, DataFrame], specs: tuple[Check, ...] = CHECKS) -> DataFrame:
-    """(model, column, check, violations, passed): one pass over a model for all its not_null checks;
-    unique counts the values that occur more than once."""
+    """(model, column, check, violations, passed), each model evaluated once for all its checks; unique counts
+    the values that occur more than once. See plans.store_models for checks made while models are written."""
     parts = []
+    row = lambda c, kind, n: F.struct(F.lit(c).alias("column"), F.lit(kind).alias("check"), n.alias("violations"))
     for name in dict.fromkeys(s.model for s in specs):
-        columns = [s.column for s in specs if s.model == name and s.kind == "not_null"]
-        if columns:
-            found = F.array(*(F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("violations")) for c in columns))
-            parts.append(models[name].agg(found.alias("x")).select(F.lit(name).alias("model"), F.inline("x")).withColumn("check", F.lit("not_null")))
-        for s in specs:
-            if s.model == name and s.kind == "unique":
-                twice = models[name].where(F.col(s.column).isNotNull()).groupBy(s.column).count().where("count > 1")
-                parts.append(twice.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("model"), F.lit(s.column).alias("column"), "violations", F.lit("unique").alias("check")))
+        filled = [s.column for s in specs if s.model == name and s.kind == "not_null"]
+        unique = [s.column for s in specs if s.model == name and s.kind == "unique"]
+        if unique:  # the counts of the others ride along with the first
+            ones = [repeated(models[name], c, *(filled if k == 0 else ())) for k, c in enumerate(unique)]
+            found = [one.select(F.array(row(c, "unique", F.col("_twice")), *(row(f, "not_null", F.col(f"_{f}")) for f in (filled if k == 0 else ()))).alias("x")) for k, (one, c) in enumerate(zip(ones, unique, strict=True))]
+        else:
+            found = [models[name].agg(F.array(*(row(c, "not_null", F.count_if(F.col(c).isNull())) for c in filled)).alias("x"))]
+        parts += [f.select(F.lit(name).alias("model"), F.inline("x")) for f in found]
     out = reduce(lambda a, b: a.unionByName(b), parts)
     return out.select("model", "column", "check", "violations", (F.col("violations") == 0).alias("passed"))
 

@@ -36,6 +36,24 @@ def with_velocity(df: DataFrame) -> DataFrame:
     return df.withColumns(changes(F.lead("temperature_2m_max").over(w), F.lead("river_discharge_m3s").over(w)))
 
 
+def with_velocity_in_blocks(df: DataFrame, days: int = 1000) -> DataFrame:
+    """with_velocity for sites of very long histories: blocks of `days` calendar days are tasks of their own.
+
+    A block's last row takes its next row from the first of the site's next block that has any, which is
+    handed over in a table of a row a block. Rows are shuffled once, by site and block. df has one row a
+    (city_id, date); `_block` and `_next` must not be columns."""
+    key, values = ["city_id", "_block"], ("temperature_2m_max", "river_discharge_m3s")
+    rows = df.withColumn("_block", F.floor(F.unix_date("date") / days)).repartition(*key)
+    heads = rows.groupBy(*key).agg(F.min_by(F.struct(*values), "date").alias("head"))
+    following = F.lead("head").over(Window.partitionBy("city_id").orderBy("_block"))
+    heads = heads.select("city_id", "_block", following.alias("_next"))
+    w = Window.partitionBy(*key).orderBy("date")
+    last = F.lead("date").over(w).isNull()
+    after = lambda c: F.when(last, F.col("_next")[c]).otherwise(F.lead(c).over(w))
+    found = rows.join(heads, key)
+    return found.withColumns(changes(*map(after, values))).drop("_block", "_next")
+
+
 def with_factors(df: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
     """Adds the five factor scores, unrounded; a null signal gives a null score."""
     up = lambda c: null_greatest(F.lit(0.0), c)

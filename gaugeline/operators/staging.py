@@ -65,6 +65,17 @@ def daily_air(hours: DataFrame) -> DataFrame:
 OBSERVED = ("temperature_2m_mean", "temperature_2m_max", "temperature_2m_min", "precipitation_sum_mm", "wind_speed_10m_max")
 
 
+def bucketed(df: DataFrame, name: str, path: str, buckets: int = 200) -> DataFrame:
+    """Stores daily rows as a table of the catalog with its files under path, bucketed and sorted by (city_id, date).
+
+    signal_panel over tables of equally many buckets shuffles nothing. A bucket is one file, so that its order
+    holds; choose so many buckets that one fits a task."""
+    on = ["city_id", "date"]
+    writer = df.repartition(buckets, *on).write.bucketBy(buckets, *on).sortBy(*on).option("path", path).mode("overwrite")
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def signal_panel(weather: DataFrame, air: DataFrame, river: DataFrame, observed: DataFrame) -> DataFrame:
     """One row per (city_id, date) of weather, with what the other feeds hold for it. All sides share
     the key, so each is shuffled once and no join shuffles again."""

@@ -82,7 +82,7 @@ PARTS = {
     "zoned": """SELECT r.*, z.zone_name, z.zone_order FROM risk_current r JOIN zones z ON z.least IS NULL OR r.current_tipping_score >= z.least
       QUALIFY row_number() OVER (PARTITION BY r.city_id ORDER BY z.zone_order) = 1""",
     "zone_summary": """SELECT zone_name, count(city_id) AS city_count, string_agg(city_id, ', ' ORDER BY city_id) AS cities_in_zone,
-      string_agg(DISTINCT current_primary_driver, ', ' ORDER BY current_primary_driver) AS drivers_in_zone FROM zoned GROUP BY zone_name, zone_order""",
+      string_agg(DISTINCT current_primary_driver, ', ' ORDER BY current_primary_driver) AS drivers_in_zone, count(city_id) > 1000 AS names_cut FROM zoned GROUP BY zone_name, zone_order""",
     "sites": """SELECT DISTINCT city_id, 'Site ' || CAST(site AS VARCHAR) AS city_name, 'XX' AS country_code, CAST(site * 1.5 AS DOUBLE) AS latitude,
       CAST(site * 2.5 - 10 AS DOUBLE) AS longitude, 'UTC' AS timezone, 'Region' AS region, CASE WHEN site = 3 THEN 'false' WHEN site = 4 THEN 'TRUE' ELSE 'true' END AS active,
       CASE WHEN site IN (0, 5, 7) THEN 'True' WHEN site <> 1 THEN 'false' END AS river_enabled, CAST(site AS BIGINT) AS display_order FROM base""",
@@ -152,17 +152,27 @@ FINAL = {
     "raw_replayed": "SELECT * EXCLUDE (event_id), CAST(valid_ts_utc AS DATE) AS _day FROM raw_weather",
     "history_by_runs": "SELECT * FROM risk_history",
     "history_stream": "SELECT * FROM risk_history",
+    "velocity_blocks": "SELECT city_id, date, temp_velocity, river_velocity_pct FROM velocity",
+    "panel_bucketed": "SELECT * FROM signal_panel",
+    "landed_files": """SELECT ingestion_run_id, city_id, coalesce(reason, 'good') AS reason, count(*) FILTER (WHERE reason IS NULL) AS rows FROM (
+      SELECT ingestion_run_id, city_id, CASE WHEN right(city_id, 1) = '2' AND CAST(right(ingestion_run_id, 2) AS INTEGER) % 7 = 0 THEN 'too_large' ELSE reason END AS reason FROM landed) GROUP BY 1, 2, 3""",
+    "risk_history_sql": "SELECT * FROM risk_history",
     "raw_required": """SELECT *, CASE WHEN city_id IS NULL OR valid_ts_utc IS NULL THEN 'missing_required' END AS reason FROM (
       SELECT event_id, CASE WHEN event_id % 23 <> 0 THEN city_id END AS city_id, CASE WHEN event_id % 29 <> 0 THEN valid_ts_utc END AS valid_ts_utc FROM raw_weather)""",
     "raw_stamped": "SELECT city_id, count(*) AS n, CAST(1 AS BIGINT) AS runs, CAST(1 AS BIGINT) AS times, true AS named_by_time FROM raw_weather GROUP BY city_id",
     "sites_file": "SELECT * FROM sites_active",
     "normals_file": """SELECT city_id, month(date) AS month, {r2(avg(temperature_2m_mean))} AS normal_temperature_2m_mean, {r2(avg(temperature_2m_max))} AS normal_temperature_2m_max,
       {r2(avg(precipitation_sum_mm))} AS normal_daily_precipitation_mm, {r2(avg(wind_speed_10m_max))} AS normal_wind_speed_10m_max FROM latest_observed GROUP BY 1, 2""",
+    "climatology_merged": """SELECT city_id, month(date) AS month, {r2(avg(temperature_2m_mean))} AS normal_temperature_2m_mean, {r2(avg(temperature_2m_max))} AS normal_temperature_2m_max,
+      {r2(avg(precipitation_sum_mm))} AS normal_daily_precipitation_mm, {r2(avg(wind_speed_10m_max))} AS normal_wind_speed_10m_max FROM latest_observed GROUP BY 1, 2""",
     "risk_today": "SELECT * FROM risk_current",
     "latest_stream": "SELECT * FROM latest_weather",
 }
 
 
+FINAL["quality_lazy"] = FINAL["quality_report"]
+
+
 def expand(sql: str) -> str:
     """Writes out {r1(x)}, {r2(x)}, {r4(x)}: x rounded by way of a decimal, and {held(x)}: x held within 0 and 100, null staying null."""
     out, at = "", 0
@@ -177,6 +187,21 @@ def expand(sql: str) -> str:
     return out + sql[at:]
 
 
+#: Queries over 1,500 sites instead of ten: a site's last digit is what it was there.
+MANY = {
+    "risk_rank_range": ("SELECT * FROM risk_current", 6),
+    "zone_members": ("""SELECT zone_name, zone_order, nth // 100 AS chunk, string_agg(city_id, ', ' ORDER BY city_id) AS cities
+      FROM (SELECT *, row_number() OVER (PARTITION BY zone_order ORDER BY city_id) - 1 AS nth FROM zoned) GROUP BY 1, 2, 3""", 1),
+}
+
+
+def of_many(sql: str, digits: int) -> str:
+    """A part of the chain for 1,500 sites, with scores of so many digits."""
+    sql = sql.replace("user_id % 10 AS site", "user_id % 1500 % 10 AS site").replace("CAST(user_id % 10 AS VARCHAR)", "CAST(user_id % 1500 AS VARCHAR)")
+    return sql.replace("city_id <> 'site_9'", "right(city_id, 1) <> '9'").replace("{r1(", f"{{r{digits}(")
+
+
 def oracle_sql() -> dict[str, str]:
     chain = ",\n".join(f"{name} AS ({expand(sql)})" for name, sql in PARTS.items())
-    return {name: f"WITH {chain}\n{expand(sql)}" for name, sql in FINAL.items()}
+    many = {name: ",\n".join(f"{part} AS ({expand(of_many(sql, digits))})" for part, sql in PARTS.items()) for name, (_, digits) in MANY.items()}
+    return {name: f"WITH {chain}\n{expand(sql)}" for name, sql in FINAL.items()} | {name: f"WITH {many[name]}\n{sql}" for name, (sql, _) in MANY.items()}

@@ -7,11 +7,11 @@ import uuid
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline.config import ScoringConfig, ZoneConfig
-from gaugeline.operators import current, scoring, staging
+from gaugeline.operators import current, quality, scoring, staging
 from gaugeline.shared import shared_folder
 from gaugeline.sources import files, marks
 from gaugeline.sources.feeds import AIR, FEEDS, OBSERVED, RIVER, WEATHER
@@ -43,6 +43,44 @@ def build(
     return models
 
 
+def store_models(
+    spark: SparkSession, path: str, weather: DataFrame, air: DataFrame, river: DataFrame, observed: DataFrame, normals: DataFrame, as_of: date | None = None, scoring_cfg: ScoringConfig = ScoringConfig(),
+    zones: ZoneConfig = ZoneConfig(), specs: tuple[quality.Check, ...] = quality.CHECKS,
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every model written under path, and the report of its checks (model, column, check, violations, passed).
+
+    A model is computed once, from the stored ones before it. Its missing values are counted as its rows go by
+    to be written; values that repeat are counted in the stored column alone."""
+    models: dict[str, DataFrame] = {}
+    report: list[tuple[str, str, str, int, bool]] = []
+
+    def put(name: str, df: DataFrame) -> None:
+        counts, seen, at = quality.not_null_counts(name, specs), Observation(), f"{path}/{name}"
+        checked = df.observe(seen, *counts) if counts else df
+        if name == "risk_history":
+            files.publish(checked, at)
+        else:
+            checked.write.mode("overwrite").parquet(at)
+        models[name] = spark.read.schema(df.schema).parquet(at)
+        report.extend((name, c, "not_null", n, n == 0) for c, n in (seen.get.items() if counts else ()))
+        for s in specs:
+            if s.model == name and s.kind == "unique":
+                n = quality.repeated(models[name], s.column).first()["_twice"]
+                report.append((name, s.column, "unique", n, n == 0))
+
+    put("latest_weather", staging.latest_weather(weather))
+    put("latest_air", staging.latest_air(air))
+    put("latest_river", staging.latest_river(river))
+    put("latest_observed", staging.latest_observed(observed))
+    put("daily_weather", staging.daily_weather(models["latest_weather"]))
+    put("daily_air", staging.daily_air(models["latest_air"]))
+    put("signal_panel", staging.signal_panel(models["daily_weather"], models["daily_air"], models["latest_river"], models["latest_observed"]))
+    put("risk_history", scoring.risk_history(models["signal_panel"], normals, scoring_cfg))
+    put("risk_current", current.risk_current(models["risk_history"], as_of))
+    put("zone_summary", current.zone_summary(models["risk_current"], zones))
+    return models, spark.createDataFrame(report, "model string, column string, check string, violations long, passed boolean")
+
+
 def refresh_history(existing: DataFrame, feeds: tuple[DataFrame, DataFrame, DataFrame, DataFrame], changed: DataFrame, normals: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
     """The history after the raw rows of some (city_id, date) changed; the result equals a full rebuild.
 

@@ -9,16 +9,18 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline import fixtures, plans
+from gaugeline import fixtures, plans, sql
+from gaugeline.config import ScoringConfig
 from gaugeline.operators import analysis, current, quality, scoring, staging
 from gaugeline.shared import shared_folder
-from gaugeline.sources import files
+from gaugeline.sources import files, landing
 from gaugeline.sources.feeds import AIR, NORMALS, OBSERVED, RIVER, SITES, WEATHER
 from gaugeline.sources.files import active_sites
 from gaugeline.sources.payloads import parse_payload
 from gaugeline.streaming import read_latest, stream_history, stream_latest
 
 AS_OF = date(2024, 1, 15)
+MANY = 1500
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -81,6 +83,13 @@ def zone_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of models that are stored, made while they are written."""
+    raw = fixtures.raw_tables(spark, sf_dir)
+    return plans.store_models(spark, _place(spark, "models"), raw.weather, raw.air, raw.river, raw.observed, fixtures.normals_of(raw), AS_OF)[1]
+
+
+def quality_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same checks of models that are not stored."""
     return quality.run_checks(models(spark, sf_dir))
 
 
@@ -245,6 +254,58 @@ def latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(read_latest(spark, f"{top}/target", raw.schema).drop("_day"))
 
 
+def risk_rank_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking of 1,500 sites by scores of six digits, which are hardly ever equal."""
+    raw = fixtures.raw_tables(spark, sf_dir, MANY)
+    panel = plans.panel_of(raw.weather, raw.air, raw.river, raw.observed)
+    return current.risk_current(scoring.risk_history(panel, fixtures.normals_of(raw), ScoringConfig(digits=6)), AS_OF, rank="range")
+
+
+def zone_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of 1,500 sites by zone, a hundred names a row."""
+    return plain(current.zone_members(models(spark, sf_dir, MANY)["risk_current"], chunk=100))
+
+
+def velocity_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """velocity in blocks of three days."""
+    based = scoring.with_baseline(models(spark, sf_dir)["signal_panel"], fixtures.normals_of(fixtures.raw_tables(spark, sf_dir)))
+    return scoring.with_velocity_in_blocks(based, 3).select("city_id", "date", "temp_velocity", "river_velocity_pct")
+
+
+def panel_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """signal_panel over stored tables that need no shuffle."""
+    top, m, tag = _place(spark, "buckets"), models(spark, sf_dir), uuid.uuid4().hex
+    names = ("daily_weather", "daily_air", "latest_river", "latest_observed")
+    return plain(staging.signal_panel(*(staging.bucketed(m[n], f"{n}_{tag}", f"{top}/{n}", 8) for n in names)))
+
+
+def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of the weather's payload files, of which some are broken and some too large: for every run,
+    site and reason the files, and the rows of the good ones."""
+    at = _place(spark, "landing")
+    payloads = fixtures.damaged(fixtures.payloads(fixtures.raw_tables(spark, sf_dir).weather, WEATHER))
+    vast = F.col("city_id").endswith("2") & (F.substring("ingestion_run_id", -2, 2).cast("int") % 7 == 0)
+    landing.land(payloads.withColumn("payload", F.when(vast, F.rpad("payload", 400_000, " ")).otherwise(F.col("payload"))), at)
+    rows, errors = landing.read_landed(spark, at, WEATHER, 300_000)
+    good = rows.groupBy("ingestion_run_id", "city_id").agg(F.lit("good").alias("reason"), F.count(F.lit(1)).alias("rows"))
+    bad = errors.groupBy("ingestion_run_id", "city_id", "reason").agg(F.lit(0).cast("long").alias("rows"))
+    return good.unionByName(bad)
+
+
+def risk_history_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score history by plain SQL over temporary views."""
+    m = models(spark, sf_dir) | {"normals": fixtures.normals_of(fixtures.raw_tables(spark, sf_dir))}
+    return sql.risk_history(spark, sql.register(spark, m, f"v{uuid.uuid4().hex[:8]}_"))
+
+
+def climatology_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """climatology of a state that grew: early days, later ones, and a day put in twice and taken back."""
+    daily = models(spark, sf_dir)["latest_observed"]
+    day = F.dayofmonth("date")
+    parts = [analysis.climatology_state(daily.where(day <= 12)), analysis.climatology_state(daily.where(day >= 12)), analysis.climatology_state(daily.where(day == 12), -1)]
+    return plain(analysis.climatology_of(analysis.merged_climatology(*parts)))
+
+
 def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history of stored raw tables that follows a stream of half of the weather, batch by batch."""
     top, raw = _place(spark, "stream"), fixtures.raw_tables(spark, sf_dir)
@@ -268,5 +329,6 @@ def queries() -> dict[str, Query]:
         quality_report, completeness, run_summary, payload_errors, sites_active, run_windows, climatology,
         forecast_deviation, projection_deviation, coverage_gaps, history_incremental, history_published,
         latest_stream, raw_appended, raw_required, raw_stamped, sites_file, normals_file, risk_today, raw_replayed, history_by_runs, history_stream,
+        risk_rank_range, zone_members, velocity_blocks, panel_bucketed, landed_files, risk_history_sql, climatology_merged, quality_lazy,
     )
     return {m: _model(m) for m in MODELS} | {p: _payload(p) for p in fixtures.FEED_OF} | {f.__name__: f for f in named}

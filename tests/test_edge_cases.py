@@ -88,8 +88,12 @@ def test_current_window_ties_and_ranks(spark, rank):
 def test_zone_summary_orders_and_caps_names(spark):
     rows = [("b", 90.0, "Wind", 1), ("a", 85.0, "Heat", 2), ("c", 10.0, None, 3)]
     df = spark.createDataFrame(rows, "city_id string, current_tipping_score double, current_primary_driver string, rank long")
-    assert [tuple(r)[1:] for r in current.zone_summary(df).collect()] == [(2, "a, b", "Heat, Wind"), (1, "c", None)]
-    assert current.zone_summary(df, max_items=1).first()["cities_in_zone"] == "a"
+    assert [tuple(r)[1:] for r in current.zone_summary(df).collect()] == [(2, "a, b", "Heat, Wind", False), (1, "c", None, False)]
+    assert [tuple(r)[1:] for r in current.zone_summary(df, max_items=None).collect()] == [(2, "a, b", "Heat, Wind", False), (1, "c", None, False)]
+    cut = current.zone_summary(df, max_items=1).collect()
+    assert [(r["cities_in_zone"], r["names_cut"]) for r in cut] == [("a", True), ("c", False)]
+    nameless = current.zone_summary(df.union(spark.createDataFrame([(None, 90.0, "Rain", 1)], df.schema)), max_items=2).first()
+    assert (nameless["city_count"], nameless["cities_in_zone"], nameless["drivers_in_zone"]) == (2, "a, b", "Heat, Rain, Wind")
 
 
 WEATHER = "ingestion_run_id string, ingested_at_utc timestamp, city_id string, valid_ts_utc timestamp_ntz, temperature_2m double, precipitation_mm double, wind_speed_10m double, wind_gusts_10m double, weather_code long"
