@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import gc
+import itertools
 import re
-import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -17,9 +17,30 @@ from pyspark.sql import functions as F
 
 from gaugeline.shared import shared_folder
 
-#: Numerals that are neither letters nor decimal digits, such as superscripts, fractions and Roman ones.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+#: Runs of letters and of numerals that are no decimal digits (superscripts, fractions, Roman ones).
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    found = LETTERS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return ["".join(run) for w in found for alpha, run in itertools.groupby(w, str.isalpha) if alpha]
+
+
+def letter_spans(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of letters of a text."""
+    for m in LETTERS.finditer(text):
+        if m[0].isalpha():
+            yield m.span()
+            continue
+        at = m.start()
+        for alpha, run in itertools.groupby(m[0], str.isalpha):
+            n = len(list(run))
+            if alpha:
+                yield at, at + n
+            at += n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

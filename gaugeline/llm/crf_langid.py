@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import LETTERS, few_of_each, mapped, mix, remainder, words_of
+from gaugeline.llm.common import few_of_each, letter_runs, mapped, mix, remainder, words_of
 
 BITS, BLOCK = 16, 64
 
@@ -159,7 +159,7 @@ def letter_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words of letters in small letters, the number of every word in order, and where texts begin."""
     words = words_of(texts)
     number: dict[str, int] = {}
-    each = [[number.setdefault(w, len(number)) for w in LETTERS.findall(t.lower())] for t in words.tokens]
+    each = [[number.setdefault(w, len(number)) for w in letter_runs(t.lower())] for t in words.tokens]
     count = np.fromiter(map(len, each), np.int64, len(each))
     start, flat = np.cumsum(count) - count, np.array([x for xs in each for x in xs], np.int64)
     n = count[words.at]

@@ -36,6 +36,7 @@ import itertools
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import LETTERS, hold, mapped, slices, unused, words_of
+from gaugeline.llm.common import hold, letter_runs, letter_spans, mapped, slices, unused, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns. Email is matched from its @; the local part is the run before it.
@@ -102,20 +103,38 @@ def entities_of(kind: int, value: str) -> tuple[int, int]:
 
 def outer_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
     """(term, start, end) of the words of a text that touch none of its spans."""
+    return [(text[a:b].lower(), a, b) for a, b in untouched(letter_spans(text), spans)]
+
+
+def untouched(places: Iterable[tuple[int, int]], spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The places (start, end) that touch no span."""
     taken = sorted((a, b) for _, a, b in spans)
     starts = [a for a, _ in taken]
     reach = list(itertools.accumulate((b for _, b in taken), max))
-    out = []
-    for m in LETTERS.finditer(text):
-        k = bisect.bisect_left(starts, m.end())  # the first k spans start before the word ends
-        if not k or reach[k - 1] <= m.start():
-            out.append((m[0].lower(), m.start(), m.end()))
-    return out
+    for a, b in places:
+        k = bisect.bisect_left(starts, b)  # the first k spans start before the place ends
+        if not k or reach[k - 1] <= a:
+            yield a, b
+
+
+def outer_places(text: str, terms: set[str]) -> list[tuple[str, int, int]]:
+    """Those of outer_terms() that are among a few terms, found without looking at every word."""
+    low, found = text.lower(), []
+    if len(low) != len(text):  # a letter whose small form is longer
+        return [t for t in outer_terms(text, base_spans(text)) if t[0] in terms]
+    for term in terms:
+        at = low.find(term)
+        while at >= 0:
+            to = at + len(term)
+            if not (at and low[at - 1].isalpha()) and not low[to : to + 1].isalpha():
+                found.append((at, to))
+            at = low.find(term, at + 1)
+    return [(low[a:b], a, b) for a, b in untouched(sorted(found), base_spans(text))]
 
 
 def terms_of(token: str) -> list[str]:
     """The terms of a word between white space."""
-    return [token.lower()] if token.isalpha() else [w.lower() for w in LETTERS.findall(token)]
+    return [token.lower()] if token.isalpha() else [w.lower() for w in letter_runs(token)]
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.string()), ("base", pa.string()), *((f"n_{k}", pa.int64()) for k in KINDS), ("entities", pa.list_(pa.int64())), ("terms", pa.list_(pa.string()))])
@@ -288,7 +307,7 @@ def marked(docs: DataFrame, rules: DataFrame) -> DataFrame:
                 a, b = words.first[i], words.first[i + 1]
                 here = {w for k in set(words.at[a:b][full[a:b]].tolist()) for w in hit[k]}
                 text = texts[int(i)].as_py()
-                places = [{"term": w, "start": x, "end": y} for w, x, y in outer_terms(text, base_spans(text)) if w in here]
+                places = [{"term": w, "start": x, "end": y} for w, x, y in outer_places(text, here)]
                 if places:
                     out.append((xxhash.xxh3_128_hexdigest(text), places))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else ((), ()), schema, strict=True)], schema=schema)

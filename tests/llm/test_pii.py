@@ -202,3 +202,20 @@ def test_very_long_texts_and_small_bitmaps(docs, monkeypatch):
     assert len(want[0]) > 200_000 and "zorblat" not in want[0]
     monkeypatch.setattr(pii, "MOST_BITS", 16)
     assert want == {r["doc_id"]: r["text"] for r in pii.sanitised(docs(rows)).collect()}
+
+
+def test_places_of_a_few_terms_equal_those_among_all():
+    import random
+
+    rng, parts = random.Random(2), ["ab", "AB", "Abc", "ab2", "ab²", "²ab", "İab", "é", "éab", "ab.ab", "x@ab.com", "1.2.3.4ab", "ab-ab", "Ⅷab", " ", "_ab", "ßab"]
+    for _ in range(500):
+        text, terms = " ".join(rng.choice(parts) for _ in range(rng.randrange(12))) + rng.choice(parts), {"ab", "abc", "é"}
+        assert pii.outer_places(text, terms) == [t for t in pii.outer_terms(text, pii.base_spans(text)) if t[0] in terms], text
+
+
+def test_runs_of_letters_leave_out_other_numerals():
+    from gaugeline.llm.common import letter_runs, letter_spans
+
+    text = "a²b ½ Ⅷ x9y It's ñandú_z ٣"
+    assert letter_runs(text) == ["a", "b", "x", "y", "It", "s", "ñandú", "z"]
+    assert [text[a:b] for a, b in letter_spans(text)] == letter_runs(text)
