@@ -1,9 +1,10 @@
 """Toxicity: gradient-boosted trees over dense text features, with isotonic calibration.
 
 The features of a whole text are lexicon counts and densities, second-person proximity, capitals,
-punctuation and obfuscation rates. The lexicon is a short list of common insults joined with the
-words that the labelled sample shows to be tied to the label. Trees and calibration are fitted on a
-bounded sample of labelled rows, of which only numbers reach the driver.
+punctuation and obfuscation rates. The lexicon is a short list of common insults joined with the words
+that labelled rows show to be tied to the label, at most `most` of them (200). Lexicon, trees and calibration
+are fitted on a bounded sample of labelled rows, of which only numbers and the lexicon reach the driver; a
+quarter of the rows, chosen by a hash of the id, calibrate and take no part in the lexicon or the trees.
 
 Defined results: a null text counts as empty; an empty text is scored from its (zero) features;
 repeated rows get equal scores; without labels of both kinds the score is constant; extra columns
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm import boosting
-from gaugeline.llm.common import LETTERS, Words, labelled_sample, mapped, remainder, slices, using, words_of
+from gaugeline.llm.common import Words, labelled_sample, letter_runs, mapped, remainder, slices, using, words_of
 
 #: Insults and second-person words that stand at the start of the lexicon.
 INSULTS = (
@@ -59,7 +60,7 @@ class Tokens(dict):
                 self.hits[i] = [word]
             self.fresh.append((1, n, plain is not word and plain[0].isupper(), hit, lexicon[word] if hit else 0, word in YOU, 0, 0, len(token) - n, 0, 0, 0, STRETCH.search(word) is not None, n == 1))
             return i
-        words = LETTERS.findall(low)
+        words = letter_runs(low)
         if found := [w for w in words if w in lexicon]:
             self.hits[i] = found
         mixed = MIXED.findall(low)
@@ -99,7 +100,7 @@ def spaced_out(words: Words, single: np.ndarray, lexicon: dict[str, float]) -> t
         while end < words.first[text + 1] and single[end]:
             end += 1
         runs[text] += 1
-        spelt[text] += "".join(LETTERS.findall("".join(words.tokens[k] for k in words.at[i:end]).lower())) in lexicon
+        spelt[text] += "".join(letter_runs("".join(words.tokens[k] for k in words.at[i:end]).lower())) in lexicon
     return runs, spelt
 
 
@@ -175,7 +176,8 @@ def learn_lexicon(sample: DataFrame, most: int = 200, support: int = 5) -> dict[
 def fit(docs: DataFrame, labels: DataFrame, bound: int = 12_000) -> Model:
     """Fit on at most `bound` labelled rows whose crc32(doc_id as text) mod 5 is not 0; a quarter of them calibrate."""
     sample = labelled_sample(docs, labels, "toxic", remainder(5) != 0, bound)
-    lexicon = learn_lexicon(sample)
+    calibrates = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 3
+    lexicon = learn_lexicon(sample.where(~calibrates))
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
     f = mapped(lambda b: [b.column(0), b.column(1), pa.array(list(features(b.column(2), lexicon)), pa.list_(pa.float64()))], schema)
     rows = (
@@ -183,12 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 12_000) -> Model:
         .mapInArrow(f, "doc_id long, label int, x array<double>")
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"), F.min("x").alias("x"))
+        .withColumn("calibrates", calibrates)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .collect()
     )
     x = np.array([r["x"] for r in rows], float).reshape(-1, N_FEATURES)
     y = np.array([r["label"] for r in rows], float)
-    test = np.arange(len(rows)) % 4 == 3
+    test = np.array([r["calibrates"] for r in rows], bool)
     trees = boosting.fit(x[~test], y[~test])
     return Model(lexicon, trees, *boosting.isotonic(trees.margin(x[test]), y[test]))
 
