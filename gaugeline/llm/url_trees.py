@@ -137,6 +137,7 @@ def fit(labelled: DataFrame, trees: int = 12, depth: int = 3, rate: float = 0.3,
     if rows > bound:
         labelled = labelled.where(F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(1_000_000)) < int(1e6 * bound / rows))
     lexical = with_lexical(labelled.select("url", "y", F.pmod(F.xxhash64(F.coalesce("url", F.lit("")), F.lit(3)), F.lit(folds)).alias("fold")))
+    lexical = hold(lexical.drop("url"))  # about `bound` rows, read by the statistics, the cuts and the cells
     model = Model(hold(counted(lexical, "suffix")), hold(counted(lexical, "site")), [], 0.0)
     joined = lexical
     for key, table in (("suffix", model.suffixes), ("site", model.sites)):
