@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept. The first four
 return the columns of documents; the last returns the packed pieces. run() writes each stage's rows
-as Parquet in the shared folder that the session names in spark.checkpoint.dir and reads them again.
+as Parquet in the shared folder that the session names in spark.checkpoint.dir and reads them again; a
+stage's folder is deleted once the next one is written, so that only the last stays, which the result reads.
+
+Defined results: null and empty texts are scored as texts without words and are no copies of anything; rows
+without a doc_id are never dropped as copies; of an id that repeats with several texts, each text is judged on
+its own, and those stay that are the first of their group, once each; a group of copies is kept by its least
+doc_id; scores at the border of 0.5 are toxic and of good quality; other columns are handed on; empty tables
+pass all stages and give no pieces.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gaugeline.llm import near_dedup, packing, pii, quality, toxicity
 from gaugeline.llm.common import table
 from gaugeline.shared import shared_folder
+from gaugeline.sources import marks
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,4 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}_{name}")
         docs = spark.read.parquet(f"{at}/{k}_{name}")
+        if k:
+            marks.drop(spark, f"{at}/{k - 1}_{STAGES[k - 1][0]}")
     return docs
