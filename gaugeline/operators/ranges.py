@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.shared import shared_folder
+from gaugeline.shared import stored
 
 
 def with_sum_before(df: DataFrame, order: list[Column], value: str, name: str, groups: tuple[str, ...] = ()) -> DataFrame:
@@ -17,10 +15,9 @@ def with_sum_before(df: DataFrame, order: list[Column], value: str, name: str, g
     Sums within a range are made by its task; what the ranges before it hold is a number a range and group,
     which is what the driver adds up and tasks get. Rows that are equal in the order count each other by chance,
     so the order should tell them apart. `_range` and `_local` must not be columns."""
-    spark, at = df.sparkSession, f"{shared_folder(df.sparkSession)}/ranges-{uuid.uuid4().hex}"
+    spark = df.sparkSession
     parts = df.repartitionByRange(*(F.col(g) for g in groups), *order).withColumn("_range", F.spark_partition_id())
-    parts.write.parquet(at)
-    rows, keys = spark.read.schema(parts.schema).parquet(at), [*groups, "_range"]
+    rows, keys = stored(parts, "ranges"), [*groups, "_range"]
     totals = rows.groupBy(*keys).agg(F.sum(value).cast("long").alias("n")).collect()  # a row a range, and one more a group at most
     offsets, so_far = [], {}
     for r in sorted(totals, key=lambda r: r["_range"]):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.config import ScoringConfig, ZoneConfig
 from gaugeline.operators import current, quality, scoring, staging
-from gaugeline.shared import shared_folder
+from gaugeline.shared import shared_folder, stored
 from gaugeline.sources import files, marks
 from gaugeline.sources.feeds import AIR, FEEDS, OBSERVED, RIVER, WEATHER
 
@@ -81,6 +81,19 @@ def store_models(
     return models, spark.createDataFrame(report, "model string, column string, check string, violations long, passed boolean")
 
 
+def _changed_rows(feeds: tuple[DataFrame, ...], changed: DataFrame, days: list[date]) -> DataFrame:
+    """The panel's rows of the changed (city_id, date); of feeds with _day only those partitions are read."""
+
+    def of_changed(raw: DataFrame) -> DataFrame:
+        day = F.to_date("valid_ts_utc") if "valid_ts_utc" in raw.columns else F.col("date")
+        if "_day" in raw.columns:
+            raw = raw.where(F.col("_day").isin(days))
+        near = changed.withColumnRenamed("date", "_date")
+        return raw.withColumn("_date", day).join(near, ["city_id", "_date"], "left_semi").drop("_date", "_day")
+
+    return panel_of(*map(of_changed, feeds)).select("city_id", "date", *scoring.CONTEXT)
+
+
 def refresh_history(existing: DataFrame, feeds: tuple[DataFrame, DataFrame, DataFrame, DataFrame], changed: DataFrame, normals: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
     """The history after the raw rows of some (city_id, date) changed; the result equals a full rebuild.
 
@@ -89,17 +102,9 @@ def refresh_history(existing: DataFrame, feeds: tuple[DataFrame, DataFrame, Data
     again are the changed rows and the row before each, whose velocity looks ahead. A date that left the
     panel must be among the changed ones."""
     on, context = ["city_id", "date"], scoring.CONTEXT
-    changed = changed.select(*on).distinct()
+    changed = stored(changed.select(*on).distinct(), "changed")  # small, and read several times
     days = [r["date"] for r in changed.select("date").distinct().collect()]  # a row a day, so that partitions are pruned in planning
-
-    def of_changed(raw: DataFrame) -> DataFrame:
-        day = F.to_date("valid_ts_utc") if "valid_ts_utc" in raw.columns else F.col("date")
-        if "_day" in raw.columns:
-            raw = raw.where(F.col("_day").isin(days))
-        near = changed.withColumnRenamed("date", "_date")
-        return raw.withColumn("_date", day).join(near, ["city_id", "_date"], "left_semi").drop("_date", "_day")
-
-    fresh = panel_of(*map(of_changed, feeds)).select(*on, *context)
+    fresh = _changed_rows(feeds, changed, days)
     sites = changed.select("city_id").distinct()
     scores = [c for c in existing.columns if c not in on]
     old = existing.join(sites, "city_id", "left_semi").join(changed, on, "left_anti").select(*on, *context, F.struct(*scores).alias("_old"), F.lit(False).alias("_gone"))
@@ -110,19 +115,6 @@ def refresh_history(existing: DataFrame, feeds: tuple[DataFrame, DataFrame, Data
     return existing.join(sites, "city_id", "left_anti").unionByName(again.select(*existing.columns))
 
 
-def _changed_rows(feeds: tuple[DataFrame, ...], changed: DataFrame, days: list[date]) -> DataFrame:
-    """The panel's rows of the changed (city_id, date); of feeds with _day only those partitions are read."""
-
-    def of_changed(raw: DataFrame) -> DataFrame:
-        day = F.to_date("valid_ts_utc") if "valid_ts_utc" in raw.columns else F.col("date")
-        if "_day" in raw.columns:
-            raw = raw.where(F.col("_day").isin(days))
-        near = changed.withColumnRenamed("date", "_date")
-        return raw.withColumn("_date", day).join(near, ["city_id", "_date"], "left_semi").drop("_date", "_day")
-
-    return panel_of(*map(of_changed, feeds)).select("city_id", "date", *scoring.CONTEXT)
-
-
 def _stored_days(spark: SparkSession, path: str) -> list[date]:
     """The dates of a published table, from the names of its partitions."""
     return [date.fromisoformat(n.removeprefix("date=")) for n in marks.names(spark, path) if re.fullmatch(r"date=\d{4}-\d{2}-\d{2}", n)]
@@ -149,11 +141,11 @@ def refresh_published(spark: SparkSession, path: str, feeds: tuple[DataFrame, Da
         if not days:
             return
         fresh = aside(_changed_rows(feeds, changed, days), "fresh")
-        stored = _stored_days(spark, path)
-        if not stored:
+        present = _stored_days(spark, path)
+        if not present:
             return files.publish(scoring.risk_history(fresh, normals, cfg), path)
         existing = spark.read.parquet(path)
-        near = {d + timedelta(k) for d in days for k in range(-reach, reach + 1)} & set(stored)
+        near = {d + timedelta(k) for d in days for k in range(-reach, reach + 1)} & set(present)
         keys = changed.join(fresh.select(*on, F.lit(True).alias("there")), on, "left").select(*on, F.lit(True).alias("new"), F.coalesce("there", F.lit(False)).alias("there"))
         sites = changed.select("city_id").distinct()
 
@@ -164,7 +156,7 @@ def refresh_published(spark: SparkSession, path: str, feeds: tuple[DataFrame, Da
         in_near = F.col("date").isin(near)
         known = keys.union(old_keys(sites, in_near))
         in_turn = Window.partitionBy("city_id").orderBy("date")
-        if missing := set(stored) - near:  # keys whose neighbouring rows may be further away
+        if missing := set(present) - near:  # keys whose neighbouring rows may be further away
             day, before, after = F.col("date"), F.lag("date").over(in_turn), F.lead("date").over(in_turn)
             early, late = F.date_sub(day, reach), F.date_add(day, reach)
             is_open = (F.coalesce(before < early, F.lit(True)) & (early > F.lit(min(missing)))) | (F.coalesce(after > late, F.lit(True)) & (late < F.lit(max(missing))))
@@ -177,13 +169,13 @@ def refresh_published(spark: SparkSession, path: str, feeds: tuple[DataFrame, Da
         again, gone = rows.where("again"), rows.where("not there")
         written = {r["date"] for r in again.select("date").union(gone.select("date")).distinct().collect()}
         needed = written | {r["next_date"] for r in again.select("next_date").distinct().collect()} - {None}
-        held = existing.where(F.col("date").isin(needed & set(stored)))
+        held = existing.where(F.col("date").isin(needed & set(present)))
         values = fresh.unionByName(held.join(sites, "city_id", "left_semi").join(changed, on, "left_anti").select(*on, *context))
         following = values.select("city_id", F.col("date").alias("next_date"), F.col("temperature_2m_max").alias("next_temperature"), F.col("river_discharge_m3s").alias("next_river"))
         panel = values.join(again.select(*on, "next_date"), on).join(following, ["city_id", "next_date"], "left")
         panel = scoring.with_baseline(panel, normals).withColumns(scoring.changes(F.col("next_temperature"), F.col("next_river")))
         scored = scoring.with_overall(scoring.with_factors(panel, cfg), cfg).select(*scoring.HISTORY)
-        kept = existing.where(F.col("date").isin(written & set(stored))).join(again.unionByName(gone).select(*on), on, "left_anti").select(*scoring.HISTORY)
+        kept = existing.where(F.col("date").isin(written & set(present))).join(again.unionByName(gone).select(*on), on, "left_anti").select(*scoring.HISTORY)
         out = aside(scored.unionByName(kept), "rows")
         full = {r["date"] for r in out.select("date").distinct().collect()}
         files.publish(out, path, "changed")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
@@ -24,3 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
     if master == "local" or master.startswith("local["):
         return _of_this_machine()
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read from it, so that it is computed once."""
+    spark, at = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
