@@ -161,25 +161,27 @@ def refresh_published(spark: SparkSession, path: str, feeds: tuple[DataFrame, Da
             early, late = F.date_sub(day, reach), F.date_add(day, reach)
             is_open = (F.coalesce(before < early, F.lit(True)) & (early > F.lit(min(missing)))) | (F.coalesce(after > late, F.lit(True)) & (late < F.lit(max(missing))))
             beyond = aside(known.withColumn("open", F.col("new") & is_open).where("open").select("city_id").distinct(), "beyond")
-            known = known.union(old_keys(beyond, ~in_near))
+            if not beyond.isEmpty():
+                known = known.union(old_keys(beyond, ~in_near))
         # a key that left the panel still stands before its neighbours here; what follows a row is the next key that is there
         rows = known.withColumn("next_date", F.min(F.when(F.col("there"), F.col("date"))).over(in_turn.rowsBetween(1, Window.unboundedFollowing)))
         rows = rows.withColumn("again", F.col("there") & (F.col("new") | F.coalesce(F.lead("new").over(in_turn), F.lit(False))))
         rows = aside(rows.select(*on, "new", "there", "again", "next_date"), "keys")
         again, gone = rows.where("again"), rows.where("not there")
-        written = {r["date"] for r in again.select("date").union(gone.select("date")).distinct().collect()}
-        needed = written | {r["next_date"] for r in again.select("next_date").distinct().collect()} - {None}
+        dates = {"again": F.when(F.col("again"), F.col("date")), "next": F.when(F.col("again"), F.col("next_date")), "gone": F.when(~F.col("there"), F.col("date"))}
+        of = rows.agg(*(F.collect_set(c).alias(n) for n, c in dates.items())).first()  # dates of the calendar
+        written, needed = {*of["again"], *of["gone"]}, {*of["again"], *of["next"]}
         held = existing.where(F.col("date").isin(needed & set(present)))
-        values = fresh.unionByName(held.join(sites, "city_id", "left_semi").join(changed, on, "left_anti").select(*on, *context))
+        values = fresh.unionByName(held.join(changed, on, "left_anti").select(*on, *context))
         following = values.select("city_id", F.col("date").alias("next_date"), F.col("temperature_2m_max").alias("next_temperature"), F.col("river_discharge_m3s").alias("next_river"))
         panel = values.join(again.select(*on, "next_date"), on).join(following, ["city_id", "next_date"], "left")
         panel = scoring.with_baseline(panel, normals).withColumns(scoring.changes(F.col("next_temperature"), F.col("next_river")))
         scored = scoring.with_overall(scoring.with_factors(panel, cfg), cfg).select(*scoring.HISTORY)
         kept = existing.where(F.col("date").isin(written & set(present))).join(again.unionByName(gone).select(*on), on, "left_anti").select(*scoring.HISTORY)
         out = aside(scored.unionByName(kept), "rows")
-        full = {r["date"] for r in out.select("date").distinct().collect()}
         files.publish(out, path, "changed")
-        for day in written - full:
+        left = {r["date"] for r in out.select("date").distinct().collect()} if of["gone"] else written
+        for day in written - left:
             marks.drop(spark, f"{path}/date={day}")
     finally:
         marks.drop(spark, top)
