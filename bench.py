@@ -26,7 +26,7 @@ from gaugeline.sources import files  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 SITES = 1500
-REVISIONS = 60  # of every raw row in the stored tables; forecasts are made again every day for a week or more
+REVISIONS = 200  # of every raw row in the stored tables; forecasts are made again every day for a week or more
 
 
 def latest_by_aggregate(raw):

@@ -7,7 +7,7 @@ import uuid
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline.config import ScoringConfig, ZoneConfig
@@ -155,21 +155,25 @@ def refresh_published(spark: SparkSession, path: str, feeds: tuple[DataFrame, Da
 
         in_near = F.col("date").isin(near)
         known = keys.union(old_keys(sites, in_near))
-        in_turn = Window.partitionBy("city_id").orderBy("date")
-        if missing := set(present) - near:  # keys whose neighbouring rows may be further away
-            day, before, after = F.col("date"), F.lag("date").over(in_turn), F.lead("date").over(in_turn)
+        in_turn, missing = Window.partitionBy("city_id").orderBy("date"), set(present) - near
+        day, before, after, open_ = F.col("date"), F.lag("date").over(in_turn), F.lead("date").over(in_turn), F.lit(False)
+        if missing:  # the neighbours of a key may be further away
             early, late = F.date_sub(day, reach), F.date_add(day, reach)
-            is_open = (F.coalesce(before < early, F.lit(True)) & (early > F.lit(min(missing)))) | (F.coalesce(after > late, F.lit(True)) & (late < F.lit(max(missing))))
-            beyond = aside(known.withColumn("open", F.col("new") & is_open).where("open").select("city_id").distinct(), "beyond")
-            if not beyond.isEmpty():
-                known = known.union(old_keys(beyond, ~in_near))
-        # a key that left the panel still stands before its neighbours here; what follows a row is the next key that is there
-        rows = known.withColumn("next_date", F.min(F.when(F.col("there"), F.col("date"))).over(in_turn.rowsBetween(1, Window.unboundedFollowing)))
-        rows = rows.withColumn("again", F.col("there") & (F.col("new") | F.coalesce(F.lead("new").over(in_turn), F.lit(False))))
-        rows = aside(rows.select(*on, "new", "there", "again", "next_date"), "keys")
+            open_ = F.col("new") & ((F.coalesce(before < early, F.lit(True)) & (early > F.lit(min(missing)))) | (F.coalesce(after > late, F.lit(True)) & (late < F.lit(max(missing)))))
+
+        def placed(known: DataFrame, is_open: Column, name: str) -> tuple[DataFrame, Row]:
+            """The keys with what becomes of them, and the dates that this touches, which are dates of the calendar."""
+            # a key that left the panel still stands before its neighbours here; what follows a row is the next key that is there
+            follows = F.min(F.when(F.col("there"), day)).over(in_turn.rowsBetween(1, Window.unboundedFollowing))
+            again = F.col("there") & (F.col("new") | F.coalesce(F.lead("new").over(in_turn), F.lit(False)))
+            rows = aside(known.select(*on, "there", follows.alias("next_date"), again.alias("again"), is_open.alias("open")), name)
+            sets = {"again": F.when(F.col("again"), day), "next": F.when(F.col("again"), F.col("next_date")), "gone": F.when(~F.col("there"), day)}
+            return rows, rows.agg(*(F.collect_set(c).alias(n) for n, c in sets.items()), F.bool_or("open").alias("open")).first()
+
+        rows, of = placed(known, open_, "keys")
+        if of["open"]:
+            rows, of = placed(known.union(old_keys(rows.where("open").select("city_id").distinct(), ~in_near)), F.lit(False), "all_keys")
         again, gone = rows.where("again"), rows.where("not there")
-        dates = {"again": F.when(F.col("again"), F.col("date")), "next": F.when(F.col("again"), F.col("next_date")), "gone": F.when(~F.col("there"), F.col("date"))}
-        of = rows.agg(*(F.collect_set(c).alias(n) for n, c in dates.items())).first()  # dates of the calendar
         written, needed = {*of["again"], *of["gone"]}, {*of["again"], *of["next"]}
         held = existing.where(F.col("date").isin(needed & set(present)))
         values = fresh.unionByName(held.join(changed, on, "left_anti").select(*on, *context))
