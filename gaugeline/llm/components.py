@@ -11,12 +11,16 @@ from gaugeline.llm.common import hold
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(v, root) for every node of the edges (u, v), two long columns: root is the component's least node.
 
-    Each round takes the least label among a node's neighbours and then the label of that label, so
-    that a path shortens by more than half a round. Only a flag per round reaches the driver; labels
-    are cut with a shared checkpoint. Edges to a node of many are plain rows of a join, which Spark
-    splits when they are skewed. Nulls and loops are left out; no edges give no rows.
+    First the edges of a node to several lesser ones are replaced by one to the least of them and by edges
+    between those, of which a large group has few. Each round takes the least label among a node's neighbours
+    and then the label of that label, so that a path shortens by more than half a round. Only a flag per round
+    reaches the driver; labels are cut with a shared checkpoint. Edges to a node of many are plain rows of a
+    join, which Spark splits when they are skewed. Nulls and loops are left out; no edges give no rows.
     """
-    e = edges.where("u is not null and v is not null and u != v").select("u", "v")
+    e = edges.where("u is not null and v is not null and u != v")
+    e = hold(e.select(F.least("u", "v").alias("lesser"), F.greatest("u", "v").alias("node")).distinct())
+    least = e.groupBy("node").agg(F.min("lesser").alias("least"))
+    e = e.join(least, "node").where("lesser != least").select(F.col("least").alias("u"), F.col("lesser").alias("v")).union(least.select("least", "node"))
     e = hold(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = hold(e.groupBy(F.col("u").alias("v")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
     for _ in range(rounds):
