@@ -1,7 +1,7 @@
 """Quality: logistic regression on hashed word n-grams, trained with follow-the-regularised-leader.
 
 Tokens are the words between white space. A token gives two terms, its lower-cased form and its shape
-(runs of capitals, of title, of small letters and of digits as one sign each, and marks); neighbouring tokens give the pair of their forms and
+(runs of capitals, of title, of small letters, of digits and of equal marks as one sign each); neighbouring tokens give the pair of their forms and
 the pair of their shapes. Terms are hashed into a fixed number of weights, and a
 text's vector holds each term's share of the terms; the score is the logistic of a sparse dot product.
 
@@ -30,6 +30,7 @@ from gaugeline.llm.common import Words, labelled_sample, mapped, mix, remainder,
 BITS = 18
 SCALE = 8.0
 SHAPES = ((re.compile(r"[^\W\d_]*[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ]+[^\W\d_]*"), "C"), (re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]*"), "T"), (re.compile(r"[^\W\d_A-Z]+"), "s"), (re.compile(r"\d+"), "9"))
+AGAIN = re.compile(r"(.)\1+")
 
 
 class Terms(dict):
@@ -57,12 +58,12 @@ class Terms(dict):
 
 
 def shape(token: str) -> str:
-    """Runs of letters as C (capitals), T (title) or s (small), of digits as 9, and marks as they are."""
+    """Runs of letters as C (capitals), T (title) or s (small), of digits as 9, and marks as they are; runs of one sign are one."""
     if token.isalpha() and token.islower():
         return "s"
     for pattern, sign in SHAPES:
         token = pattern.sub(sign, token)
-    return token
+    return AGAIN.sub(r"\1", token)
 
 
 TERMS = Terms()
