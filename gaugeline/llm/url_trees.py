@@ -26,7 +26,7 @@ from gaugeline.llm.common import hold
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the query, as (verdict, host and path).
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 BINS = 16
 NUMERIC = ("f_length", "f_host", "f_path", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_entropy", "f_params", "f_marks", "f_scheme", "f_last", "f_suffix_rows", "f_suffix_rate", "f_site_rows", "f_site_rate")
 
