@@ -34,6 +34,8 @@ SIZE = 256
 LANES = np.arange(1, SIZE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 RADIUS = 24  # near copies of five-word similarity 0.8 are some 17 bits apart, 23 in nine of ten; other texts about 120
 FIRST = 11  # bits of a block that name its bucket at most
+TERMS = 8192  # terms of a text whose bits are held at once
+PAIRS = 16_384  # near pairs of a bucket that are looked at at once
 BIT_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -49,9 +51,11 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
             continue
         u, v = np.unique(h[a:b]), np.unique(pairs[a : b - 1])
         weight = np.repeat(np.array([2, 1], np.float32), [len(u), len(v)])
-        bits = np.unpackbits(mix(np.concatenate([u, v])[:, None] ^ LANES).view(np.uint8), axis=1)
-        votes = weight @ bits.astype(np.float32)
-        out[i] = np.packbits(2 * votes > weight.sum(dtype=np.float32))
+        terms, votes = np.concatenate([u, v]), np.zeros(SIZE)
+        for at in range(0, len(terms), TERMS):
+            bits = np.unpackbits(mix(terms[at : at + TERMS, None] ^ LANES).view(np.uint8), axis=1)
+            votes += weight[at : at + TERMS] @ bits.astype(np.float32)
+        out[i] = np.packbits(2 * votes > weight.sum(dtype=np.float64))
     return out
 
 
@@ -145,14 +149,19 @@ def number(bits: np.ndarray) -> np.ndarray:
     return bits.astype(np.int32) @ (1 << np.arange(bits.shape[1], dtype=np.int32))
 
 
-def first_shared(apart: np.ndarray, cuts: list[int]) -> np.ndarray:
-    """For rows of differing bits the number of the first block whose leading bits are all alike."""
-    leading = np.arange(cuts[-1]) - np.repeat(cuts[:-1], np.diff(cuts)) < FIRST
-    return (np.add.reduceat(apart & leading, cuts[:-1], axis=1) == 0).argmax(1)
+def numbers(bits: np.ndarray, borders: list[int]) -> np.ndarray:
+    """number() of every block, a column each."""
+    return np.stack([number(bits[:, a:z]) for a, z in itertools.pairwise(borders)], axis=1)
+
+
+def shares_one(blocks: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j agree in a column."""
+    return (blocks[i] == blocks[j]).any(axis=1)
 
 
 def near_pairs(prints: np.ndarray, radius: int, part: np.ndarray, cross: bool, cells: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius, each once: all of one part, or with `cross` only those across two."""
+    """Index pairs within the radius, each once and up to PAIRS at a time, since of a group of near copies all
+    are: all of one part, or with `cross` only those across two."""
     lanes = prints.view(np.uint64)
     rows = max(1, cells // len(prints))
     for at in range(0, len(prints), rows):
@@ -166,8 +175,8 @@ def near_pairs(prints: np.ndarray, radius: int, part: np.ndarray, cross: bool, c
         if cross:
             keep = part[i] != part[j]
             i, j = i[keep], j[keep]
-        if len(i):
-            yield i, j
+        for k in range(0, len(i), PAIRS):
+            yield i[k : k + PAIRS], j[k : k + PAIRS]
 
 
 def inner_cuts(table: int, cuts: list[int], radius: int) -> tuple[np.ndarray, list[int]]:
@@ -178,6 +187,20 @@ def inner_cuts(table: int, cuts: list[int], radius: int) -> tuple[np.ndarray, li
     return np.flatnonzero(inside), cuts_of(int(inside.sum()), radius + 1)
 
 
+def own_pairs(prints: np.ndarray, radius: int, part: np.ndarray, cross: bool, bucket: int, inner: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """near_pairs that no table before that of `bucket` finds and, within a second cut, no combination before `inner`."""
+    cuts, before = cuts_of(SIZE, radius + 1), None
+    for i, j in near_pairs(prints, radius, part, cross):
+        if before is None:  # most buckets have no pair
+            bits = np.unpackbits(prints, axis=1)
+            inside, borders = inner_cuts(bucket >> FIRST, cuts, radius)
+            before = [numbers(bits, cuts)[:, : bucket >> FIRST]]
+            if inner >= 0:
+                before.append(numbers(bits[:, inside], borders)[:, : inner >> FIRST])
+        own = ~np.logical_or.reduce([shares_one(b, i, j) for b in before])
+        yield i[own], j[own]
+
+
 FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
 
@@ -230,13 +253,8 @@ def classes(rows: DataFrame, radius: int = RADIUS, block: int = 2048, most: int
                 continue
             node, copies, links = np.array(t.column("node")), np.array(t.column("copies")), np.zeros(t.num_rows)
             prints = np.frombuffer(b"".join(t.column("print").to_pylist()), np.uint8).reshape(-1, SIZE // 8)
-            joined, (inside, borders) = Joined(len(node)), inner_cuts(bucket >> FIRST, cuts, radius)
-            for i, j in near_pairs(prints, radius, np.array(t.column("part")), lo != hi):
-                apart = np.unpackbits(prints[i] ^ prints[j], axis=1)
-                own = first_shared(apart, cuts) == bucket >> FIRST
-                if inner >= 0:
-                    own &= first_shared(apart[:, inside], borders) == inner >> FIRST
-                i, j = i[own], j[own]
+            joined = Joined(len(node))
+            for i, j in own_pairs(prints, radius, np.array(t.column("part")), lo != hi, bucket, inner):
                 links += np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
                 out += [(int(node[a]), int(node[b]), None) for a, b in zip(i.tolist(), j.tolist(), strict=True) if joined.join(a, b)]
             out += [(int(node[a]), None, int(links[a])) for a in np.flatnonzero(links)]

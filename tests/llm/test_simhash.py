@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -135,3 +136,37 @@ def test_link_counts_equal_brute_force(spark):
     for block, most in ((2048, None), (2048, 1), (1, None), (1, 10**6), (2, 1)):
         got = {r["fingerprint"]: r["n_links"] for r in simhash.classes(df, 24, block, most).collect()}
         assert [got[f] for _, f in rows] == near.tolist()
+
+
+def test_memory_of_a_bucket_of_near_copies_is_bounded():
+    """All pairs of the group are near; their bits are not held at once."""
+    rng = np.random.default_rng(9)
+    bits = np.repeat(rng.integers(0, 2, (1, 256), dtype=np.uint8), 1500, axis=0)
+    for row in bits:
+        row[rng.choice(np.arange(20, 256), 10, replace=False)] ^= 1  # the first block is the same in all
+    prints, part, cuts = np.packbits(bits, axis=1), np.zeros(1500, np.int64), simhash.cuts_of(256, 25)
+    apart = np.array([(bits != b).sum(1) for b in bits])
+    shared = np.array([[(bits[:, a:z] == b[a:z]).all(1) for a, z in zip(cuts[:-1], cuts[1:], strict=True)] for b in bits[:60]])
+    inside, borders = simhash.inner_cuts(0, cuts, 24)
+    second = np.array([[(bits[:, inside[a:z]] == b[inside[a:z]]).all(1) for a, z in zip(borders[:-1], borders[1:], strict=True)] for b in bits[:60]])
+    for table, inner, first in ((0, -1, None), (3, -1, shared), (0, 5, second)):
+        tracemalloc.start()
+        got = set()
+        for i, j in simhash.own_pairs(prints, 24, part, False, table << simhash.FIRST, inner if inner < 0 else inner << simhash.FIRST):
+            assert len(i) <= simhash.PAIRS
+            few = i < 60
+            got |= set(zip(i[few].tolist(), j[few].tolist(), strict=True))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        before = table if inner < 0 else inner
+        assert got == {(i, j) for i in range(60) for j in range(i + 1, 1500) if apart[i, j] <= 24 and (first is None or not first[i, :before, j].any())}
+        assert peak < 60e6
+
+
+def test_memory_of_a_long_text_is_bounded():
+    text = " ".join(map(str, range(60_000)))
+    tracemalloc.start()
+    simhash.fingerprints(pa.array([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
